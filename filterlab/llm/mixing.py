@@ -19,7 +19,8 @@ from pyspark.sql.window import Window as W
 
 from filterlab.llm.common import WORD, stored
 
-ROWS_PER_BUCKET, TIME_BUCKETS = 50_000, 4096
+#: Rows of a bucket of the shuffled order on average, buckets at least, ranges of a time histogram.
+ROWS_PER_BUCKET, MIN_BUCKETS, TIME_BUCKETS = 50_000, 64, 4096
 
 
 def n_words(text: Column) -> Column:
@@ -54,7 +55,7 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
     # string order in Spark is that of UTF-8 bytes, which is code point order
     slim = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), shuffled(F.col(id_col), seed).alias("u")), "mix-sizes")
     rows = slim.count()
-    buckets = max(1, rows // ROWS_PER_BUCKET)
+    buckets = max(MIN_BUCKETS, rows // ROWS_PER_BUCKET)
     # one row for each source: their number doesn't grow with the documents
     sources = stored(targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most).coalesce(1), "mix-targets")
     bucketed = slim.withColumn("bucket", F.floor(F.col("u") / F.lit(2.0**60) * buckets).cast("int"))
