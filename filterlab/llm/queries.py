@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filterlab.llm import chat, html_extract, langid, mixing, quality, sharding, simhash, spm, topk
+from filterlab.llm import chat, html_extract, langid, line_dedup, mixing, quality, sharding, simhash, spm, topk
 from filterlab.llm.common import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
@@ -58,7 +62,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op3_topk, op4_chat, op5_simhash, op6_html, op7_sentencepiece, op8_langid, op9_sharding, op10_quality)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_mixing, op3_topk, op4_chat, op5_simhash, op6_html, op7_sentencepiece, op8_langid, op9_sharding, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
