@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from filterlab.llm.common import small_batches
+
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]")
 _ESCAPE = re.compile(r"([<\[])(\\*)(/?s>|/?INST\])")
 _UNESCAPE = re.compile(r"([<\[])\\(\\*)(/?s>|/?INST\])")
@@ -107,13 +109,14 @@ FIELDS = "formatted string, ids array<int>, starts array<int>, ends array<int>,
 
 def formatted(turns: DataFrame, tokenizer_path: str) -> DataFrame:
     """conv_id and FIELDS, one row for each conversation of (conv_id, turn, role, text) rows."""
-    whole = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("turns"))
+    whole = small_batches(turns).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("turns"))
 
     @F.pandas_udf(FIELDS)
     def code(roles: pd.Series, texts: pd.Series) -> pd.DataFrame:
-        rendered = [render(list(zip(r, t, strict=True))) for r, t in zip(roles, texts, strict=True)]
         out, t = [], tokenizer(tokenizer_path)
-        for (text, spans), e in zip(rendered, t.encode_batch([x for x, _ in rendered], add_special_tokens=False), strict=True):
+        for r, texts_of in zip(roles, texts, strict=True):
+            text, spans = render(list(zip(r, texts_of, strict=True)))
+            e = t.encode(text, add_special_tokens=False)
             offsets = np.array(e.offsets, np.int32).reshape(-1, 2)
             starts, ends = np.ascontiguousarray(offsets[:, 0]), np.ascontiguousarray(offsets[:, 1])
             out.append((text, np.array(e.ids, np.int32), starts, ends, loss_mask(starts, ends, spans)))

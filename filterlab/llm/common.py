@@ -34,3 +34,15 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark)}/filterlab/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows that Spark hands to Python at a time: texts are long, so the usual 10,000 take much memory.
+BATCH_ROWS = 500
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session that hands at most BATCH_ROWS rows at a time to Python."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
