@@ -19,7 +19,6 @@ repeated results; other columns of the input are ignored.
 from __future__ import annotations
 
 import re
-import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,23 +27,57 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from filterlab.llm.common import small_batches
+
 DOCS_PER_LANG, TRAIN_CHARS, MAX_LANGS = 150, 20_000, 60
-BUCKETS, STEPS, RATE, L2, SEED = 1 << 15, 40, 0.3, 1e-6, 7
+BUCKET_BITS, STEPS, RATE, L2, SEED = 15, 40, 0.3, 1e-6, 7
+BUCKETS = 1 << BUCKET_BITS
+#: Words whose emissions a worker keeps; words that are labelled at a time.
 CACHE_WORDS, CHUNK_WORDS = 400_000, 200_000
 UND = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def features(word: str) -> list[int]:
-    """Hashed features of a word; none if it has no letter."""
-    core = "".join(_LETTERS.findall(word.lower()))
-    if not core:
-        return []
-    core = core[:40] if len(core) > 40 else core  # of a word, not of the text
-    mark = f"^{core}$"
-    named = ["w" + core, *("p" + core[:k] for k in (1, 2, 3)), *("s" + core[-k:] for k in (1, 2, 3))]
-    named += [mark[i : i + 2] for i in range(len(mark) - 1)] + [mark[i : i + 3] for i in range(len(mark) - 2)]
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in named]
+def core(word: str) -> str:
+    """The letters of a word, in lower case."""
+    return "".join(_LETTERS.findall(word.lower()))
+
+
+def features(cores: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(position of the word, hashed feature) pairs of words of letters, none of them empty.
+
+    Marked ``^word$``, a word has its n-grams of two and three characters (those at its ends are
+    affixes of one and two), its affixes of three, and itself."""
+    lengths = np.fromiter(map(len, cores), np.int64, len(cores)) + 2
+    points = np.frombuffer(("^" + "$^".join(cores) + "$").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    begin = lengths.cumsum() - lengths
+    word = np.repeat(np.arange(len(cores)), lengths)
+    left = np.repeat(begin + lengths, lengths) - np.arange(len(points))  # characters of the word from here on
+    with np.errstate(over="ignore"):
+        one = points * np.uint64(0x9E3779B97F4A7C15)
+        two = (one[:-1] ^ (one[:-1] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + one[1:]
+        three = (two[:-1] ^ (two[:-1] >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) + one[2:]
+        four = (three[:-1] ^ (three[:-1] >> np.uint64(30))) * np.uint64(0xD6E8FEB86659FD93) + one[3:]
+        powers = np.r_[np.uint64(1), np.full(int(lengths.max()) - 1, 0xA24BAED4963EE407, np.uint64)].cumprod(dtype=np.uint64)
+        whole = np.add.reduceat(one * powers[np.arange(len(points)) - begin[word]], begin)
+    at2, at3 = np.flatnonzero(left[: len(two)] >= 2), np.flatnonzero(left[: len(three)] >= 3)
+    long = np.flatnonzero(lengths >= 4)
+    where = [word[at2], word[at3], long, long, np.arange(len(cores))]
+    what = [two[at2], three[at3], four[begin[long]], four[begin[long] + lengths[long] - 4], whole]
+    with np.errstate(over="ignore"):
+        hashed = [((h + np.uint64(k)) * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(64 - BUCKET_BITS) for k, h in enumerate(what)]
+    return np.concatenate(where), np.concatenate(hashed).astype(np.int64)
+
+
+def emissions(cores: list[str], weights: np.ndarray) -> np.ndarray:
+    """The summed weights of each word's features; zeros for words without letters."""
+    out = np.zeros((len(cores), weights.shape[1]))
+    have = np.array([k for k, c in enumerate(cores) if c], np.int64)
+    if len(have):
+        word, feature = features([cores[k] for k in have])
+        for c in range(weights.shape[1]):
+            out[have, c] = np.bincount(word, weights[feature, c], len(have))
+    return out
 
 
 @dataclass
@@ -112,57 +145,58 @@ class Tagger:
         self.__dict__.update(state)
         self._fresh()
 
-    def _row(self, word: str) -> int:
-        k = len(self.index)
-        if k == len(self.rows):
-            self.rows, self.lettered = np.concatenate([self.rows, np.empty_like(self.rows)]), np.concatenate([self.lettered, np.empty_like(self.lettered)])
-        f = features(word)
-        self.lettered[k] = bool(f)
-        e = self.weights[f].sum(0) if f else np.zeros(len(self.labels), np.float32)
-        self.rows[k] = np.exp(e - e.max())
-        self.index[word] = k
-        return k
+    def _learn(self, words: set[str]) -> None:
+        """Puts the emissions of new words into the cache."""
+        if len(self.index) + len(words) > CACHE_WORDS:
+            self._fresh()
+        k, new = len(self.index), list(words)
+        if k + len(new) > len(self.rows):
+            more = max(len(self.rows), k + len(new) - len(self.rows))
+            self.rows = np.concatenate([self.rows, np.empty((more, len(self.labels)), np.float32)])
+            self.lettered = np.concatenate([self.lettered, np.empty(more, bool)])
+        cores = [core(w) for w in new]
+        e = emissions(cores, self.weights)
+        self.rows[k : k + len(new)] = np.maximum(np.exp(e - e.max(1, keepdims=True)), 1e-12)
+        self.lettered[k : k + len(new)] = [bool(c) for c in cores]
+        self.index.update(zip(new, range(k, k + len(new)), strict=True))
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """The mean marginals of each text's words that have letters; zeros if it has none."""
-        out = np.zeros((len(texts), len(self.labels)))
-        if not self.labels:
-            return out
+        out, total = np.zeros((len(texts), len(self.labels))), np.zeros(len(texts))
         docs: list[int] = []
-        sizes: list[int] = []
         lengths: list[int] = []
-        words: list[int] = []
-        if len(self.index) > CACHE_WORDS:
-            self._fresh()
+        words: list[str] = []
 
         def done() -> None:
-            if words:
-                chains = lay_out(np.array(lengths))
-                flat = np.array(words)[chains.order]
-                marginals, _, _ = forward_backward(np.maximum(self.rows[flat], 1e-12), chains, self.start, self.move)
-                doc = np.repeat(docs, sizes)[chains.order]
-                have = self.lettered[flat]
-                for k in range(len(self.labels)):
-                    out[:, k] += np.bincount(doc[have], marginals[have, k], len(texts))
-                total[:] += np.bincount(doc[have], minlength=len(texts))
-            for x in (docs, sizes, lengths, words):
+            known = self.index
+            if new := {w for w in words if w not in known}:
+                self._learn(new)
+                known = self.index
+                if again := {w for w in words if w not in known}:  # the cache was emptied meanwhile
+                    self._learn(again)
+            rows = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+            chains = lay_out(np.array(lengths, np.int64))
+            rows = rows[chains.order]
+            marginals, _, _ = forward_backward(self.rows[rows], chains, self.start, self.move)
+            doc = np.repeat(docs, lengths)[chains.order]
+            have = self.lettered[rows]
+            for k in range(len(self.labels)):
+                out[:, k] += np.bincount(doc[have], marginals[have, k], len(texts))
+            total[:] += np.bincount(doc[have], minlength=len(texts))
+            for x in (docs, lengths, words):
                 x.clear()
 
-        total = np.zeros(len(texts))
-        for i, text in enumerate(texts):
+        for i, text in enumerate(texts if self.labels else []):
             for line in (text or "").split("\n"):
                 parts = line.split()
-                found = [self.index.get(w, -1) for w in parts]
-                if -1 in found:
-                    found = [self.index[w] if w in self.index else self._row(w) for w in parts]
-                if found:
+                if parts:
                     docs.append(i)
-                    sizes.append(len(found))
-                    lengths.append(len(found))
-                    words += found
-                if len(words) >= CHUNK_WORDS:
-                    done()
-        done()
+                    lengths.append(len(parts))
+                    words += parts
+            if len(words) >= CHUNK_WORDS:
+                done()
+        if words:
+            done()
         return out / np.maximum(total, 1)[:, None]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -188,8 +222,10 @@ def fit(texts: list[str], langs: list[str]) -> Tagger:
     gold = np.array([lab for c in chains for lab, line in c for _ in line], int)
     layout = lay_out(np.array([sum(len(line) for _, line in c) for c in chains], int))
     flat, gold = flat[layout.order], gold[layout.order]
-    feats = [features(w) for w in names]
-    f_word, f_id = np.repeat(np.arange(len(feats)), [len(f) for f in feats]), np.array([x for f in feats for x in f], int)
+    cores = [core(w) for w in names]
+    have = np.array([k for k, c in enumerate(cores) if c], np.int64)
+    f_word, f_id = features([cores[k] for k in have]) if len(have) else (np.empty(0, np.int64), np.empty(0, np.int64))
+    f_word = have[f_word] if len(have) else f_word
     hits = np.zeros((len(names), n_labels))
     np.add.at(hits, (flat, gold), 1)
     first = np.zeros(n_labels)
@@ -254,4 +290,4 @@ def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, held_out, lang_pred, score of every row; learns from the rows that aren't held out."""
     out = held_out(F.col(id_col))
     tagger = train(docs, F.col(id_col).isNotNull() & ~out, id_col, text_col, lang_col)
-    return docs.select(F.col(id_col).alias("doc_id"), out.alias("held_out"), predictions(tagger)(F.col(text_col)).alias("p")).select("doc_id", "held_out", "p.*")
+    return small_batches(docs).select(F.col(id_col).alias("doc_id"), out.alias("held_out"), predictions(tagger)(F.col(text_col)).alias("p")).select("doc_id", "held_out", "p.*")
