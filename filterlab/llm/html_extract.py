@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from filterlab.llm.common import small_batches
+
 WINDOW, SURGE = 3, 40
 #: Elements whose content is no text of the page.
 _MUTE = "script|style|noscript|template|svg|math|iframe|object|canvas|textarea|select|audio|video|title"
@@ -131,4 +133,4 @@ def extracted(pages: DataFrame) -> DataFrame:
     def main_texts(html: pd.Series) -> pd.Series:
         return pd.Series([main_text(p) for p in html], dtype=object)
 
-    return pages.select("page_id", "url", main_texts("html").alias("text"))
+    return small_batches(pages).select("page_id", "url", main_texts("html").alias("text"))

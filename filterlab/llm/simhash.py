@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filterlab.llm.common import stored
+from filterlab.llm.common import small_batches, stored
 from filterlab.llm.graph import components
 
 SHINGLE, SEED, THRESHOLD = 3, 42, 3
@@ -108,7 +108,7 @@ def fingerprint_components(prints: DataFrame) -> DataFrame:
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row of docs."""
-    rows = stored(docs.select(F.col(id_col).alias("doc_id"), fingerprints(F.col(text_col)).alias("fp")), "simhash-prints")
+    rows = stored(small_batches(docs).select(F.col(id_col).alias("doc_id"), fingerprints(F.col(text_col)).alias("fp")), "simhash-prints")
     prints = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-distinct")
     roots = fingerprint_components(prints)
     named = prints.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
