@@ -1,11 +1,650 @@
-"""The registered queries of the filter engine and their DuckDB SQL."""
+"""The registered queries of the filter engine and their DuckDB SQL.
+
+Each query is registered with its SQL by ``@query``; a query without SQL can't be said in it. Where
+a query checks an invariant, its SQL states the invariant's value.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from filterlab.functions import bits
+from filterlab.operators import analytics as an
+from filterlab.operators import bloom, checks, joins, ribbon
+from filterlab.sources import artifacts, keys
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def order_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"))
+
+
+def line_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"))
+
+
+# --- key sources -------------------------------------------------------------------------------
+def _sql_stream(n: int, seed: int, rep: int = 0) -> str:
+    step = f"(((ordinal + 1)::UHUGEINT * {bits.GOLDEN}::UHUGEINT + {seed + rep}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT"
+    return f"i AS (SELECT range AS ordinal FROM range({n})), k AS (SELECT ordinal, {step} AS s FROM i), {bits.sql_mix64('stream', 'k', 's', 'u')}"
+
+
+_ABSENT = _sql_stream(200_000, keys.ABSENT_SEED) + f", absent AS (SELECT ordinal, xor(u, {keys.ABSENT_XOR}::UBIGINT) AS u FROM stream)"
+
+
+@query(f"WITH {_sql_stream(20_000, keys.MEMBER_SEED)} SELECT ordinal, {bits.sql_signed('u')} AS key FROM stream")
+def keystream_members(spark, sf_dir):
+    return keys.key_stream(spark, 20_000)
+
+
+@query(f"WITH {_sql_stream(1000, keys.MEMBER_SEED, 3)} SELECT ordinal, {bits.sql_signed('u')} AS key FROM stream")
+def keystream_repetition(spark, sf_dir):
+    return keys.key_stream(spark, 1000, rep=3)
+
+
+@query(f"WITH {_ABSENT} SELECT ordinal, {bits.sql_signed('u')} AS key FROM absent")
+def keystream_absent(spark, sf_dir):
+    return keys.absent_stream(spark, 200_000)
+
+
+@query(f"WITH {_ABSENT} SELECT ordinal // 8192 AS batch, count(*) AS n, min({bits.sql_signed('u')}) AS least FROM absent GROUP BY 1")
+def probe_batches(spark, sf_dir):
+    return keys.probe_batches(keys.absent_stream(spark, 200_000)).groupBy("batch").agg(F.count("*").alias("n"), F.min("key").alias("least"))
+
+
+@query("SELECT range AS ordinal, chr(1) || 'probe-' || range AS key FROM range(1000)")
+def string_probe_stream(spark, sf_dir):
+    return keys.string_probes(spark, 1000)
+
+
+@query(f"WITH k AS (SELECT o_orderkey AS key, o_orderkey::UBIGINT AS s FROM orders), {bits.sql_hash('a', 'k', 's', 'u')}, {bits.sql_hash('b', 'a', 's', 'v', 7)} SELECT key, {bits.sql_signed('u')} AS h0, {bits.sql_signed('v')} AS h7 FROM b")
+def hash_fn_seeded(spark, sf_dir):
+    return bits.with_hash(bits.with_hash(order_keys(spark, sf_dir), "key", "h0"), "key", "h7", 7)
+
+
+@query("SELECT c_custkey, ('0x' || substr(md5(c_name), 1, 15))::BIGINT AS key FROM customer")
+def string_key_hash(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", bits.string_key(F.col("c_name")).alias("key"))
+
+
+@query("SELECT o_orderkey AS key, bit_count(o_orderkey)::BIGINT % 2 AS parity, CASE WHEN o_orderkey > 0 THEN bit_count(xor(o_orderkey, o_orderkey - 1))::BIGINT - 1 END AS zeros FROM orders")
+def bit_functions(spark, sf_dir):
+    k = F.col("key")
+    return order_keys(spark, sf_dir).select("key", bits.parity(k).cast("bigint").alias("parity"), F.when(k > 0, bits.trailing_zeros(k)).cast("bigint").alias("zeros"))
+
+
+@query(f"WITH d AS (SELECT DISTINCT o_orderkey AS key FROM orders), k AS (SELECT key, xor(key::UBIGINT, 231::UBIGINT) AS s FROM d), {bits.sql_mix64('m', 'k', 's', 'u')}, t AS (SELECT key FROM m ORDER BY u, key LIMIT 1000) SELECT key FROM t ORDER BY key")
+def sample_keys_sorted(spark, sf_dir):
+    return keys.sample_keys(order_keys(spark, sf_dir), 1000, 0xE7)
+
+
+_HOST = "regexp_extract(url, '^[a-z]+://([^/]+)', 1)"
+
+
+@query(f"WITH h AS (SELECT page_id, {_HOST} AS host FROM pages), l AS (SELECT *, lag(host) OVER (ORDER BY page_id) AS b FROM h) SELECT page_id, host FROM l WHERE host IS DISTINCT FROM b AND host IS NOT NULL")
+def dedupe_adjacent_hosts(spark, sf_dir):
+    hosts = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"))
+    return keys.without_adjacent_repeats(hosts, "host", "page_id")
+
+
+# --- Bloom filters -------------------------------------------------------------------------------
+def _sql_blocks(n: str, bpk: str) -> str:
+    return f"greatest(1, ceil(ceil({n} * {bpk}) / 256))::BIGINT"
+
+
+def _sql_placed(source: str, bpk: str = "10.0") -> str:
+    """CTEs up to placed(key, block, p0 .. p7) over the distinct keys of source(key)."""
+    low = "(u % 4294967296)::UBIGINT"
+    places = ", ".join(f"((({low} * {s}::UBIGINT) % 4294967296) >> 27)::BIGINT AS p{k}" for k, s in enumerate(bits.SALTS))
+    return (
+        f"keys AS (SELECT DISTINCT key FROM ({source}) WHERE key IS NOT NULL), size AS (SELECT {_sql_blocks('count(*)', bpk)} AS blocks FROM keys), "
+        f"k AS (SELECT key, {bits.sql_unsigned('key')} AS s FROM keys), {bits.sql_mix64('mixed', 'k', 's', 'u')}, "
+        f"placed AS (SELECT key, (((u >> 32) * blocks::UBIGINT) >> 32)::BIGINT AS block, {places} FROM mixed, size)"
+    )
+
+
+_WORDS = ", ".join(f"bit_or(1::BIGINT << p{k}::INT) AS w{k}" for k in range(8))
+_LINE_KEYS = "SELECT l_orderkey AS key FROM lineitem"
+_SQL_FILTER = f"{_sql_placed(_LINE_KEYS)}, filter AS (SELECT block, {_WORDS} FROM placed GROUP BY block)"
+_SQL_BUILD = f"WITH {_SQL_FILTER} SELECT * FROM filter"
+
+
+def _line_filter(spark, sf_dir, strategy="grouped", bits_per_key=10.0):
+    distinct = line_keys(spark, sf_dir).distinct()
+    blocks = bloom.n_blocks(distinct.count(), bits_per_key)
+    return bloom.build(line_keys(spark, sf_dir) if strategy == "grouped" else distinct, blocks, strategy=strategy), blocks
+
+
+@query("SELECT n::BIGINT AS n, b::DOUBLE AS bits_per_key, " + _sql_blocks("n", "b") + " AS blocks, " + _sql_blocks("n", "b") + " * 32 AS bytes FROM (SELECT unnest([0, 1, 25, 26, 1000, 10007, 1000000]) AS n), (SELECT unnest([6.0, 8.0, 10.0, 12.5, 16.0]) AS b)")
+def bloom_size(spark, sf_dir):
+    rows = [(n, b, bloom.n_blocks(n, b), 32 * bloom.n_blocks(n, b)) for n in (0, 1, 25, 26, 1000, 10007, 1000000) for b in (6.0, 8.0, 10.0, 12.5, 16.0)]
+    return spark.createDataFrame(rows, "n bigint, bits_per_key double, blocks bigint, bytes bigint")
+
+
+@query(_SQL_BUILD)
+def bloom_build(spark, sf_dir):
+    return _line_filter(spark, sf_dir)[0]
+
+
+@query(_SQL_BUILD)
+def bloom_build_range(spark, sf_dir):
+    return _line_filter(spark, sf_dir, "range")[0]
+
+
+@query(_SQL_BUILD)
+def bloom_build_partial_merge(spark, sf_dir):
+    return _line_filter(spark, sf_dir, "partials")[0]
+
+
+@query(_SQL_BUILD)
+def bloom_build_owners(spark, sf_dir):
+    return _line_filter(spark, sf_dir, "owners")[0]
+
+
+@query(_SQL_BUILD)
+def bloom_union(spark, sf_dir):
+    """The filters of three disjoint sets of rows, merged, are the filter of all."""
+    rows = table(spark, sf_dir, "lineitem")
+    blocks = bloom.n_blocks(line_keys(spark, sf_dir).distinct().count())
+    return bloom.union(*(bloom.build(rows.where(F.col("l_returnflag") == f).select(F.col("l_orderkey").alias("key")), blocks) for f in ("A", "N", "R")))
+
+
+@query(f"WITH {_SQL_FILTER} SELECT block, 'w' || k AS word, CASE k {' '.join(f'WHEN {k} THEN w{k}' for k in range(8))} END AS value FROM filter, range(8) r(k)")
+def bloom_packed_words(spark, sf_dir):
+    """The words read back from the packed little-endian bytes."""
+    packed = bloom.packed(_line_filter(spark, sf_dir)[0])
+    each = packed.select("block", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"), "bytes")
+    hexed = F.concat(*(F.hex(F.substring(F.col("bytes"), 4 * F.col("k") + 4 - j, F.lit(1))) for j in range(4)))
+    return each.select("block", F.concat(F.lit("w"), F.col("k")).alias("word"), F.conv(hexed, 16, 10).cast("bigint").alias("value"))
+
+
+@query("SELECT count(*) AS n, 0::BIGINT AS false_negatives FROM lineitem")
+def bloom_probe_members(spark, sf_dir):
+    filter_, blocks = _line_filter(spark, sf_dir)
+    hits = bloom.might_contain(line_keys(spark, sf_dir), filter_, blocks)
+    return hits.agg(F.count("*").alias("n"), F.count_if(~F.col("hit")).alias("false_negatives"))
+
+
+_HIT = " AND ".join(f"(w{k} >> (((((u % 4294967296)::UBIGINT * {s}::UBIGINT) % 4294967296) >> 27)::INT)) & 1 = 1" for k, s in enumerate(bits.SALTS))
+
+
+def _sql_fpr(bpk: str = "10.0") -> str:
+    """CTE fpr(fp, n) of the absent probes against the filter of the line keys."""
+    return (
+        f"{_sql_placed(_LINE_KEYS, bpk)}, filter AS (SELECT block, {_WORDS} FROM placed GROUP BY block), "
+        f"{_ABSENT.replace('i AS', 'ai AS').replace('FROM i)', 'FROM ai)').replace('k AS (SELECT ordinal', 'ak AS (SELECT ordinal').replace('FROM k)', 'FROM ak)')}, "
+        f"{bits.sql_mix64('probe', '(SELECT ordinal, u AS a FROM absent)', 'a', 'u')}, "
+        f"fpr AS (SELECT count(*) FILTER (WHERE {_HIT}) AS fp, count(*) AS n FROM probe CROSS JOIN size LEFT JOIN filter ON filter.block = (((u >> 32) * blocks::UBIGINT) >> 32)::BIGINT)"
+    )
+
+
+@query(f"WITH {_sql_fpr()} SELECT fp, n, round(fp / n, 9) AS fpr FROM fpr")
+def bloom_fpr(spark, sf_dir):
+    return bloom.false_positives(keys.absent_stream(spark, 200_000), *_line_filter(spark, sf_dir))
+
+
+@query(f"WITH {_sql_fpr()} SELECT round(log2(n / fp), 6) AS information_bits, round(1.44 * log2(n / fp), 6) AS bloom_bits, 10.0::DOUBLE AS bits_per_key, 10.0 >= 1.44 * log2(n / fp) AS holds FROM fpr")
+def bloom_bound_check(spark, sf_dir):
+    found = bloom.false_positives(keys.absent_stream(spark, 200_000), *_line_filter(spark, sf_dir))
+    bound = F.log2(F.col("n") / F.col("fp"))
+    return found.select(F.round(bound, 6).alias("information_bits"), F.round(1.44 * bound, 6).alias("bloom_bits"), F.lit(10.0).alias("bits_per_key"), (F.lit(10.0) >= 1.44 * bound).alias("holds"))
+
+
+_SWEEP = (6.0, 8.0, 12.0, 16.0)
+
+
+@query(" UNION ALL ".join(f"(WITH {_sql_fpr(str(b))} SELECT {b}::DOUBLE AS bits_per_key, blocks, fp, n, round(fp / n, 9) AS fpr FROM fpr, size)" for b in _SWEEP))
+def bloom_bits_per_key_sweep(spark, sf_dir):
+    out = None
+    for b in _SWEEP:
+        filter_, blocks = _line_filter(spark, sf_dir, bits_per_key=b)
+        row = bloom.false_positives(keys.absent_stream(spark, 200_000), filter_, blocks).select(F.lit(b).alias("bits_per_key"), F.lit(blocks).cast("bigint").alias("blocks"), "fp", "n", "fpr")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(f"WITH {_sql_placed(_LINE_KEYS)}, c AS (SELECT block, count(*) AS keys FROM placed GROUP BY block) SELECT keys, count(*) AS blocks FROM c GROUP BY keys")
+def bloom_block_occupancy(spark, sf_dir):
+    distinct = line_keys(spark, sf_dir).distinct()
+    placed = bloom.placed(distinct, bloom.n_blocks(distinct.count()))
+    return placed.groupBy("block").agg(F.count("*").alias("keys")).groupBy("keys").agg(F.count("*").alias("blocks"))
+
+
+@query("SELECT 4::BIGINT AS strategies, 1::BIGINT AS fingerprints")
+def bloom_identity_gate(spark, sf_dir):
+    every = None
+    for strategy in ("grouped", "range", "partials", "owners"):
+        filter_, blocks = _line_filter(spark, sf_dir, strategy)
+        row = bloom.digest(filter_, blocks)
+        every = row if every is None else every.unionByName(row)
+    return every.agg(F.count("*").alias("strategies"), F.count_distinct("fingerprint").alias("fingerprints"))
+
+
+# --- joins behind a filter -------------------------------------------------------------------------
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def prefilter_semi_join(spark, sf_dir):
+    building = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'")
+    return joins.semi_join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), building, "o_custkey", "c_custkey")
+
+
+@query("SELECT o_orderpriority, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY 1")
+def prefilter_inner_agg(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice", "l_discount")
+    finished = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_orderpriority")
+    joined = joins.inner_join(lines, finished, "l_orderkey", "o_orderkey")
+    return joined.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def definite_absent_anti(spark, sf_dir):
+    return joins.anti_join(order_keys(spark, sf_dir).withColumnRenamed("key", "o_orderkey"), table(spark, sf_dir, "lineitem").select("l_orderkey"), "o_orderkey", "l_orderkey")
+
+
+# --- ribbon filters --------------------------------------------------------------------------------
+_SPEC = ribbon.Spec()
+
+
+def _sql_slots(n: str, w: int = 64, r: int = 7, overhead: float | None = None) -> str:
+    factor = overhead or 1 + (4 + r * 0.25) / w
+    return f"greatest({2 * w}, ceil(floor({n} * {factor!r}::DOUBLE) / 64) * 64)::BIGINT"
+
+
+_SQL_STARTED = (
+    f"keys AS (SELECT DISTINCT o_orderkey AS key FROM orders), size AS (SELECT {_sql_slots('count(*)')} AS slots FROM keys), k AS (SELECT key, key::UBIGINT AS s FROM keys), "
+    f"{bits.sql_hash('hashed', 'k', 's', 'u')}, started AS (SELECT key, slots, {bits.sql_scaled('u', 'slots - 63')} AS start FROM hashed, size)"
+)
+_SQL_WINDOWS = f"{_SQL_STARTED}, counts AS (SELECT start >> 8 AS win, count(*) AS n FROM started GROUP BY 1), windows AS (SELECT win, n, coalesce(sum(n) OVER (ORDER BY win ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM counts)"
+
+
+def _started(spark, sf_dir):
+    distinct = order_keys(spark, sf_dir).distinct()
+    slots = _SPEC.slots(distinct.count())
+    return ribbon.starts(distinct, slots), slots
+
+
+@query("SELECT w::BIGINT AS w, r::BIGINT AS r, n::BIGINT AS n, greatest(2 * w, ceil(floor(n * (1 + (4 + r * 0.25::DOUBLE) / w)) / 64) * 64)::BIGINT AS slots FROM (SELECT unnest([64, 128]) AS w), (SELECT unnest([7, 8, 16]) AS r), (SELECT unnest([0, 1, 1000, 10007, 100000000]) AS n)")
+def ribbon_size_grid(spark, sf_dir):
+    rows = [(w, r, n, ribbon.Spec(w, r).slots(n)) for w in (64, 128) for r in (7, 8, 16) for n in (0, 1, 1000, 10007, 100_000_000)]
+    return spark.createDataFrame(rows, "w bigint, r bigint, n bigint, slots bigint")
+
+
+@query(f"WITH {_SQL_WINDOWS} SELECT win, n, before FROM windows")
+def ribbon_window_counts(spark, sf_dir):
+    return ribbon.window_counts(_started(spark, sf_dir)[0], 8)
+
+
+@query(f"WITH {_SQL_WINDOWS} SELECT key, start, win, before + row_number() OVER (PARTITION BY win ORDER BY key) - 1 AS place FROM started JOIN windows ON start >> 8 = win")
+def ribbon_window_order(spark, sf_dir):
+    return ribbon.window_order(_started(spark, sf_dir)[0], 8).select("key", "start", "win", "place")
+
+
+@query(f"WITH {_SQL_WINDOWS}, t AS (SELECT sum(n) AS total FROM windows) SELECT range AS range, min(win) AS first_win FROM range(8), windows, t WHERE before >= total * range / 8 GROUP BY range")
+def ribbon_ranges(spark, sf_dir):
+    return ribbon.equal_ranges(ribbon.window_counts(_started(spark, sf_dir)[0], 8), 8).select(F.col("range").cast("bigint").alias("range"), "first_win")
+
+
+@query(f"WITH {_SQL_STARTED}, d AS (SELECT start, ((slots + 7) // 8) AS width FROM started) SELECT start // width AS range, count(*) AS n, count(*) FILTER (WHERE start + 512 >= (start // width + 1) * width AND start // width < 7) AS n_deferred FROM d GROUP BY 1")
+def ribbon_deferred(spark, sf_dir):
+    started, slots = _started(spark, sf_dir)
+    return ribbon.deferred(started, slots, 8, 512)
+
+
+@query("SELECT count(DISTINCT o_orderkey) AS n, 0::BIGINT AS false_negatives FROM orders")
+def ribbon_false_negatives(spark, sf_dir):
+    distinct = order_keys(spark, sf_dir).distinct()
+    hits = ribbon.might_contain(distinct, ribbon.build(distinct))
+    return hits.agg(F.count("*").alias("n"), F.count_if(~F.col("hit")).alias("false_negatives"))
+
+
+@query()
+def ribbon_fpr(spark, sf_dir):
+    """About 2**-r; a test bounds it."""
+    hits = ribbon.might_contain(keys.absent_stream(spark, 200_000), ribbon.build(order_keys(spark, sf_dir)))
+    return hits.agg(F.count_if("hit").alias("fp"), F.count("*").alias("n")).withColumn("fpr", F.round(F.col("fp") / F.col("n"), 9))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+def ribbon_semi_join(spark, sf_dir):
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("key"))
+    few = ribbon.might_contain(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), ribbon.build(urgent), column="l_orderkey").where("hit")
+    return few.join(urgent, F.col("l_orderkey") == F.col("key"), "left_semi").drop("hit")
+
+
+def _gate(spark, sf_dir, spec, **how) -> DataFrame:
+    every = None
+    for strategy in ribbon.STRATEGIES:
+        row = ribbon.digest(ribbon.build(order_keys(spark, sf_dir), spec, strategy, shard_keys=1 << 13, **how))
+        every = row if every is None else every.unionByName(row)
+    return every.agg(F.count("*").alias("strategies"), F.count_distinct("digest").alias("digests"), F.count_distinct("occupied", "redundant").alias("counts"))
+
+
+@query("SELECT 5::BIGINT AS strategies, 1::BIGINT AS digests, 1::BIGINT AS counts")
+def ribbon_order_identity(spark, sf_dir):
+    return _gate(spark, sf_dir, _SPEC)
+
+
+@query("SELECT 5::BIGINT AS strategies, 1::BIGINT AS digests, 1::BIGINT AS counts")
+def ribbon_overloaded_identity(spark, sf_dir):
+    """With fewer slots than keys, where redundant equations are dropped in every order."""
+    return _gate(spark, sf_dir, ribbon.Spec(overhead=0.9))
+
+
+@query("SELECT m::BIGINT AS margin, true AS same FROM (SELECT unnest([0, 8, 64, 1024]) AS m)")
+def ribbon_spill_stress(spark, sf_dir):
+    want = ribbon.digest(ribbon.build(order_keys(spark, sf_dir))).select(F.col("digest").alias("want"))
+    every = None
+    for margin in (0, 8, 64, 1024):
+        row = ribbon.digest(ribbon.build(order_keys(spark, sf_dir), strategy="ranges", ranges=16, margin=margin)).join(want).select(F.lit(margin).cast("bigint").alias("margin"), (F.col("digest") == F.col("want")).alias("same"))
+        every = row if every is None else every.unionByName(row)
+    return every
+
+
+@query("SELECT w::BIGINT AS w, r::BIGINT AS r, 0::BIGINT AS false_negatives, true AS rate_is_near FROM (SELECT unnest([64, 128]) AS w), (SELECT unnest([7, 8]) AS r)")
+def ribbon_configurations(spark, sf_dir):
+    every, some = None, order_keys(spark, sf_dir)
+    for w in (64, 128):
+        for r in (7, 8):
+            spec = ribbon.Spec(w, r)
+            filter_ = ribbon.build(some, spec)
+            members = ribbon.might_contain(some, filter_, spec).agg(F.count_if(~F.col("hit")).alias("false_negatives"))
+            rate = ribbon.might_contain(keys.absent_stream(spark, 100_000), filter_, spec).agg((F.count_if("hit") / F.count("*")).alias("rate"))
+            row = members.join(rate).select(F.lit(w).cast("bigint").alias("w"), F.lit(r).cast("bigint").alias("r"), "false_negatives", F.col("rate").between(0.7 * 2.0**-r, 1.4 * 2.0**-r).alias("rate_is_near"))
+            every = row if every is None else every.unionByName(row)
+    return every
+
+
+@query("SELECT 0::BIGINT AS contradictions, 0::BIGINT AS false_negatives")
+def ribbon_standard_success(spark, sf_dir):
+    some = order_keys(spark, sf_dir)
+    filter_, spec = ribbon.build_standard(some, ribbon.Spec(overhead=1.15))
+    misses = ribbon.might_contain(some, filter_, spec).agg(F.count_if(~F.col("hit")).alias("false_negatives"))
+    return filter_.agg(F.sum("contradictions").alias("contradictions")).join(misses)
+
+
+# --- order independence ------------------------------------------------------------------------------
+@query("WITH e AS (SELECT range AS id FROM range(8)) SELECT a.id AS e1, b.id AS e2, c.id AS e3, a.id * 64 + b.id * 8 + c.id AS system FROM e a, e b, e c WHERE a.id <= b.id AND b.id <= c.id")
+def enum_multisets(spark, sf_dir):
+    return checks.multisets(spark, 8, 3)
+
+
+@query("SELECT a.p AS p1, b.p AS p2, c.p AS p3 FROM (SELECT unnest([1, 2, 3]) AS p) a, (SELECT unnest([1, 2, 3]) AS p) b, (SELECT unnest([1, 2, 3]) AS p) c WHERE a.p <> b.p AND b.p <> c.p AND a.p <> c.p")
+def enum_permutations(spark, sf_dir):
+    return checks.orders(spark, 3)
+
+
+_HOLDS = " AND ".join(f"bit_count(a.x & ((2 * (e{j} // 2 % 2) + 1) << (e{j} // 4)::INT)) % 2 = e{j} % 2" for j in (1, 2, 3))
+
+
+@query(f"WITH u AS (SELECT range AS id FROM range(12)), s AS (SELECT a.id AS e1, b.id AS e2, c.id AS e3, a.id * 144 + b.id * 12 + c.id AS system FROM u a, u b, u c WHERE a.id <= b.id AND b.id <= c.id), a AS (SELECT range AS x FROM range(16)) SELECT system, count(*) FILTER (WHERE {_HOLDS}) AS solutions FROM s, a GROUP BY system")
+def enum_systems_consistency(spark, sf_dir):
+    return checks.consistency(checks.multisets(spark, 12, 3), 4, 2, 1, 3)
+
+
+@query("SELECT count(*) AS systems, 6 * count(*) AS orders, 0::BIGINT AS violations FROM (SELECT range AS id FROM range(12)) a, (SELECT range AS id FROM range(12)) b, (SELECT range AS id FROM range(12)) c WHERE a.id <= b.id AND b.id <= c.id")
+def enum_order_violations(spark, sf_dir):
+    seen = checks.order_violations(checks.multisets(spark, 12, 3), 4, 2, 1, 3)
+    bad = (F.col("solutions_seen") > 1) | (F.col("occupied_seen") != 1) | (F.col("failures_seen") != 1)
+    return seen.agg(F.count("*").alias("systems"), F.sum("orders").alias("orders"), F.count_if(bad).alias("violations"))
+
+
+# --- analytics over repeated measurements --------------------------------------------------------------
+_RUNS = "runs AS (SELECT l_returnflag AS arm, l_linenumber AS rep, l_shipmode_free AS size, x FROM (SELECT l_returnflag, l_linenumber, l_orderkey % 4 AS l_shipmode_free, l_extendedprice AS x FROM lineitem))"
+
+
+def _runs(spark, sf_dir):
+    """lineitem as runs: the return flag is the arm, the line number the repetition, a key's remainder the size."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("arm"), F.col("l_linenumber").alias("rep"), (F.col("l_orderkey") % 4).alias("size"), F.col("l_extendedprice").alias("x"))
+
+
+_MEANS = f"{_RUNS}, means AS (SELECT size, arm, avg(x) AS mean FROM runs GROUP BY size, arm)"
+
+
+def _means(spark, sf_dir):
+    return _runs(spark, sf_dir).groupBy("size", "arm").agg(F.avg("x").alias("mean"))
+
+
+def _rounded(df: DataFrame, digits: int = 4) -> DataFrame:
+    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+@query(f"WITH {_RUNS} SELECT size, arm, count(x) AS n, round(avg(x), 4) AS mean, round(coalesce(stddev_samp(x), 0), 4) AS stdev, round(median(x), 4) AS median, round(min(x), 4) AS least, round(max(x), 4) AS most, round((max(x) - min(x)) / 2, 4) AS half_range FROM runs GROUP BY size, arm")
+def group_summary(spark, sf_dir):
+    return _rounded(an.summary(_runs(spark, sf_dir), ["size", "arm"], "x"))
+
+
+@query("SELECT o_custkey, coalesce(stddev_samp(o_totalprice), 0)::DECIMAL(20, 2)::DOUBLE AS stdev FROM orders GROUP BY 1")
+def single_row_stdev(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(an.sample_stdev("o_totalprice").cast("decimal(20,2)").cast("double").alias("stdev"))
+
+
+@query(f"WITH {_RUNS} SELECT size, list_sort(list(x))[count(x) // 2 + 1] AS upper_median FROM runs WHERE rep = 7 GROUP BY size")
+def upper_median(spark, sf_dir):
+    return _runs(spark, sf_dir).where("rep = 7").groupBy("size").agg(an.upper_median("x").alias("upper_median"))
+
+
+@query(f"WITH {_RUNS} SELECT size, round(median(x) FILTER (WHERE arm = 'R'), 4) AS top, round(median(x) FILTER (WHERE arm = 'A'), 4) AS bottom, round(median(x) FILTER (WHERE arm = 'R') / median(x) FILTER (WHERE arm = 'A'), 8) AS ratio FROM runs GROUP BY size")
+def ratio_of_medians(spark, sf_dir):
+    out = an.ratio_of_medians(_runs(spark, sf_dir), ["size"], "arm", "R", "A", "x")
+    return out.select("size", F.round("top", 4).alias("top"), F.round("bottom", 4).alias("bottom"), F.round("ratio", 8).alias("ratio"))
+
+
+_BOOT = (
+    f"r AS (SELECT event_type, CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS arm, value AS x, event_id FROM events WHERE event_id % 1 = 0 AND value IS NOT NULL), "
+    f"n AS (SELECT event_type, arm, x, row_number() OVER (PARTITION BY event_type, arm ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type, arm) AS m FROM r), "
+    f"d AS (SELECT event_type, arm, m, s, ((s * 1000003 + i * 131 + CASE WHEN arm = 'even' THEN 1 ELSE 2 END + 231)::UBIGINT) AS k FROM n, range(40) t(s)), {bits.sql_mix64('h', 'd', 'k', 'u')}, "
+    f"p AS (SELECT event_type, arm, s, {bits.sql_scaled('u', 'm')} AS i FROM h), j AS (SELECT p.event_type, p.arm, p.s, n.x FROM p JOIN n ON n.event_type = p.event_type AND n.arm = p.arm AND n.i = p.i), "
+    f"q AS (SELECT event_type, s, avg(x) FILTER (WHERE arm = 'even') / avg(x) FILTER (WHERE arm = 'odd') AS ratio FROM j GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ratio, s) - 1 AS rank FROM q), "
+    f"b AS (SELECT event_type, max(ratio) FILTER (WHERE rank = 1) AS low, max(ratio) FILTER (WHERE rank = 38) AS high FROM o GROUP BY 1), e AS (SELECT event_type, avg(x) FILTER (WHERE arm = 'even') / avg(x) FILTER (WHERE arm = 'odd') AS ratio FROM r GROUP BY 1)"
+)
+
+
+@query(f"WITH {_BOOT} SELECT event_type, round(ratio, 6) AS ratio, round(low, 6) AS low, round(high, 6) AS high FROM e JOIN b USING (event_type)")
+def bootstrap_ratio(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("arm", F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd"))
+    return _rounded(an.bootstrap_ratio(rows, ["event_type"], "arm", "even", "odd", "value", "event_id", resamples=40), 6)
+
+
+@query(f"WITH {_MEANS} SELECT size, round(max(mean) FILTER (WHERE arm = 'A'), 4) AS \"A\", round(max(mean) FILTER (WHERE arm = 'N'), 4) AS \"N\", round(max(mean) FILTER (WHERE arm = 'R'), 4) AS \"R\" FROM means GROUP BY size")
+def pivot_strategies(spark, sf_dir):
+    return _rounded(an.pivoted(_runs(spark, sf_dir), ["size"], "arm", ["A", "N", "R"], "x"))
+
+
+@query("SELECT l_orderkey, l_linenumber, m AS metric, CASE m WHEN 'l_quantity' THEN l_quantity WHEN 'l_discount' THEN l_discount ELSE l_tax END AS value FROM lineitem, (SELECT unnest(['l_quantity', 'l_discount', 'l_tax']) AS m)")
+def unpivot_events(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").unpivot(["l_orderkey", "l_linenumber"], ["l_quantity", "l_discount", "l_tax"], "metric", "value")
+
+
+@query("SELECT event_id, 'k' AS counter, (props::JSON ->> 'k')::BIGINT AS value FROM events WHERE props::JSON ->> 'k' IS NOT NULL")
+def event_counters(spark, sf_dir):
+    """The map of counters in a JSON column, a row for each."""
+    parsed = F.from_json("props", "map<string,bigint>")
+    return table(spark, sf_dir, "events").select("event_id", F.explode(parsed).alias("counter", "value")).where("value IS NOT NULL")
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders")
+def explode_runs(spark, sf_dir):
+    """Runs gathered into one record for each customer and flattened again."""
+    gathered = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(F.struct("o_orderkey", "o_totalprice")).alias("runs"))
+    return gathered.select("o_custkey", F.inline("runs"))
+
+
+@query(f"WITH {_MEANS}, m AS (SELECT size, min(mean) AS v FROM means GROUP BY size) SELECT m.size, min(arm) AS best, round(v, 4) AS value FROM m JOIN means ON means.size = m.size AND mean = v GROUP BY m.size, v")
+def best_of_group(spark, sf_dir):
+    return _rounded(an.best_of(_means(spark, sf_dir), ["size"], "arm", "mean"))
+
+
+@query(f"WITH {_MEANS}, p AS (SELECT size, max(mean) FILTER (WHERE arm = 'N') AS n, max(mean) FILTER (WHERE arm = 'A') AS a, max(mean) FILTER (WHERE arm = 'R') AS r FROM means GROUP BY size) SELECT size, CASE WHEN n > r THEN round((n - a) / (n - r), 6) END AS recovery FROM p")
+def recovery(spark, sf_dir):
+    p = an.pivoted(_runs(spark, sf_dir), ["size"], "arm", ["A", "N", "R"], "x")
+    return p.select("size", F.round(an.recovery(F.col("N"), F.col("A"), F.col("R")), 6).alias("recovery"))
+
+
+@query(f"WITH {_RUNS}, m AS (SELECT arm, avg(x) AS mean FROM runs GROUP BY arm) SELECT arm, round(mean, 4) AS mean, round(mean - (SELECT mean FROM m WHERE arm = 'A'), 4) AS delta FROM m")
+def baseline_delta(spark, sf_dir):
+    return _rounded(an.against_baseline(_runs(spark, sf_dir).groupBy("arm").agg(F.avg("x").alias("mean")), "arm", "A", "mean"))
+
+
+@query(f"WITH {_RUNS}, m AS (SELECT arm, rep, avg(x) AS mean FROM runs GROUP BY arm, rep) SELECT arm, rep, round(mean, 4) AS mean, round(first_value(mean) OVER (PARTITION BY arm ORDER BY rep) / mean, 6) AS speed_up FROM m")
+def speedup_vs_first(spark, sf_dir):
+    out = an.speed_up(_runs(spark, sf_dir).groupBy("arm", "rep").agg(F.avg("x").alias("mean")), ["arm"], "rep", "mean")
+    return out.select("arm", "rep", F.round("mean", 4).alias("mean"), F.round("speed_up", 6).alias("speed_up"))
+
+
+@query(f"WITH {_RUNS} SELECT size, round(max(x) / min(x) - 1, 6) AS spread, round(sum(x) / sum(rep), 6) AS weighted FROM runs GROUP BY size")
+def relative_spread(spark, sf_dir):
+    return _runs(spark, sf_dir).groupBy("size").agg(F.round(an.spread("x"), 6).alias("spread"), F.round(an.weighted_ratio(F.col("x"), F.col("rep")), 6).alias("weighted"))
+
+
+@query("SELECT l_orderkey, count(DISTINCT l_linestatus) = 1 AS agrees FROM lineitem GROUP BY 1")
+def one_value_gate(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(an.one_value("l_linestatus").alias("agrees"))
+
+
+@query("SELECT l_orderkey, coalesce(avg(CASE WHEN l_linenumber > 2 THEN l_partkey END), 'NaN'::DOUBLE) AS mean FROM lineitem GROUP BY 1")
+def na_skipping_mean(spark, sf_dir):
+    some = F.when(F.col("l_linenumber") > 2, F.col("l_partkey"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(an.na_mean(some).alias("mean"))
+
+
+@query("SELECT l_orderkey, list_sort(list(DISTINCT l_returnflag)) = list_sort(list(DISTINCT l_linestatus)) AS same FROM lineitem GROUP BY 1")
+def set_equality(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(an.same_set(F.col("l_returnflag"), F.col("l_linestatus")).alias("same"))
+
+
+@query("SELECT l_orderkey, arg_min(l_partkey, l_linenumber * 100000000 + l_partkey) AS l_partkey FROM lineitem GROUP BY 1")
+def first_of_group(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min_by("l_partkey", F.col("l_linenumber") * 100_000_000 + F.col("l_partkey")).alias("l_partkey"))
+
+
+_SUMS = "SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1"
+
+
+@query(f"WITH a AS ({_SUMS}), b AS (SELECT o_orderkey AS k, 4::BIGINT AS n FROM orders) SELECT coalesce(a.k, b.k) AS k, coalesce(a.n = b.n, false) AS equal FROM a FULL JOIN b ON a.k = b.k")
+def identity_join(spark, sf_dir):
+    a = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("n"))
+    b = order_keys(spark, sf_dir).select(F.col("key").alias("k"), F.lit(4).cast("bigint").alias("n"))
+    return an.identity_join(a, b, ["k"], "n")
+
+
+@query(f"WITH {_SQL_FILTER} SELECT count(*) AS blocks, count(*) AS identical FROM filter")
+def file_compare(spark, sf_dir):
+    """The bytes of every block from two strategies."""
+    a, b = (bloom.packed(_line_filter(spark, sf_dir, s)[0]) for s in ("grouped", "range"))
+    return an.identity_join(a, b, ["block"], "bytes").agg(F.count("*").alias("blocks"), F.count_if("equal").alias("identical"))
+
+
+@query("SELECT c.c_nationkey, s.seg AS c_mktsegment FROM (SELECT DISTINCT c_nationkey FROM customer WHERE c_acctbal > 8000) c, (SELECT DISTINCT c_mktsegment AS seg FROM customer WHERE c_acctbal > 8000) s WHERE NOT EXISTS (SELECT 1 FROM customer x WHERE x.c_acctbal > 8000 AND x.c_nationkey = c.c_nationkey AND x.c_mktsegment = s.seg)")
+def missing_pairs(spark, sf_dir):
+    return an.missing_pairs(table(spark, sf_dir, "customer").where("c_acctbal > 8000"), "c_nationkey", "c_mktsegment")
+
+
+@query("SELECT l_orderkey AS key FROM lineitem INTERSECT SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O'")
+def common_points(spark, sf_dir):
+    return line_keys(spark, sf_dir).intersect(table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("key")))
+
+
+@query("SELECT o_orderkey AS key FROM orders EXCEPT SELECT l_orderkey FROM lineitem")
+def set_difference(spark, sf_dir):
+    return order_keys(spark, sf_dir).subtract(line_keys(spark, sf_dir))
+
+
+@query("SELECT 'customer' AS arm, count(*) AS n FROM customer UNION ALL SELECT 'supplier', count(*) FROM supplier")
+def concatenated_arms(spark, sf_dir):
+    a, b = (table(spark, sf_dir, n).agg(F.lit(n).alias("arm"), F.count("*").alias("n")) for n in ("customer", "supplier"))
+    return a.unionByName(b)
+
+
+@query(f"WITH {_MEANS}, p AS (SELECT size, max(mean) FILTER (WHERE arm = 'A') AS a, max(mean) FILTER (WHERE arm = 'R') AS r FROM means GROUP BY size) SELECT size, abs(a - r) <= 0.01 * abs(a) AS matched, a BETWEEN 0 AND 100000 AS in_band FROM p")
+def tolerance_match(spark, sf_dir):
+    p = an.pivoted(_runs(spark, sf_dir), ["size"], "arm", ["A", "R"], "x")
+    return p.select("size", an.matches(F.col("A"), F.col("R"), 0.01).alias("matched"), F.col("A").between(0, 100_000).alias("in_band"))
+
+
+@query(f"WITH {_MEANS}, p AS (SELECT size, max(mean) FILTER (WHERE arm = 'A') AS a, max(mean) FILTER (WHERE arm = 'R') AS r FROM means GROUP BY size) SELECT bool_and(a < r) AS every_size, bool_or(a < r) AS some_size, count(*) AS sizes FROM p")
+def verdict_all_any(spark, sf_dir):
+    p = an.pivoted(_runs(spark, sf_dir), ["size"], "arm", ["A", "R"], "x")
+    wins = F.col("A") < F.col("R")
+    return p.agg(F.every(wins).alias("every_size"), F.some(wins).alias("some_size"), F.count("*").alias("sizes"))
+
+
+@query(f"WITH {_RUNS}, m AS (SELECT arm, avg(x) AS mean, stddev_samp(x) AS sd FROM runs GROUP BY arm), a AS (SELECT * FROM m WHERE arm = 'A') SELECT m.arm, abs(m.mean - a.mean) > sqrt(m.sd * m.sd + a.sd * a.sd) AS clear FROM m, a WHERE m.arm <> 'A'")
+def clear_difference(spark, sf_dir):
+    m = _runs(spark, sf_dir).groupBy("arm").agg(F.avg("x").alias("mean"), an.sample_stdev("x").alias("sd"))
+    base = m.where("arm = 'A'").select(F.col("mean").alias("mean_a"), F.col("sd").alias("sd_a"))
+    return m.where("arm <> 'A'").join(F.broadcast(base)).select("arm", an.differs_clearly(F.col("mean"), F.col("mean_a"), F.col("sd"), F.col("sd_a")).alias("clear"))
+
+
+@query("SELECT n_name, CASE n_regionkey WHEN 2 THEN 1 WHEN 0 THEN 2 WHEN 4 THEN 3 ELSE 4 END AS place FROM nation")
+def fixed_order(spark, sf_dir):
+    named = table(spark, sf_dir, "nation").withColumn("r", F.col("n_regionkey").cast("string"))
+    return an.in_fixed_order(named, "r", ["2", "0", "4"]).select("n_name", F.col("place").cast("int").alias("place"))
+
+
+@query("SELECT s_nationkey, s_suppkey, s_acctbal, row_number() OVER (ORDER BY s_nationkey, s_acctbal DESC, s_suppkey) AS place FROM supplier")
+def mixed_sort(spark, sf_dir):
+    from pyspark.sql.window import Window
+
+    order = Window.orderBy("s_nationkey", F.desc("s_acctbal"), "s_suppkey")
+    return table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", "s_acctbal", F.row_number().over(order).cast("bigint").alias("place"))
+
+
+@query(f"WITH k AS (SELECT p_partkey, xor(p_partkey::UBIGINT, 231::UBIGINT) AS s FROM part), {bits.sql_mix64('m', 'k', 's', 'u')} SELECT p_partkey, row_number() OVER (ORDER BY u, p_partkey) AS place FROM m")
+def seeded_shuffle(spark, sf_dir):
+    return an.shuffled(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", 231).select("p_partkey", F.col("place").cast("bigint").alias("place"))
+
+
+# --- artifacts -------------------------------------------------------------------------------------------
+@query("SELECT event_id, event_type AS arm, round(value, 3) AS ns_per_key, event_id % 1000 AS n FROM events")
+def parse_log_lines(spark, sf_dir):
+    """Fields by pattern from a log line made of a row; a missing field is an error."""
+    e = table(spark, sf_dir, "events")
+    line = F.concat(F.lit("run arm="), "event_type", F.lit(" keys: "), F.col("event_id") % 1000, F.lit(" took "), F.round("value", 3), F.lit(" ns/key"))
+    patterns = {"arm": (r"arm=(\S+)", "string"), "ns_per_key": (r"took (\S+) ns/key", "double"), "n": (r"keys: (\d+)", "bigint")}
+    return e.select("event_id", line.alias("line")).select("event_id", *artifacts.fields(F.col("line"), patterns, required=True))
+
+
+@query("WITH c AS (SELECT l_linenumber AS run, count(*) AS systems, sum(l_partkey) AS orders FROM lineitem GROUP BY 1) SELECT sum(systems)::BIGINT AS systems, sum(orders)::BIGINT AS orders, arg_max('run' || run, systems * 100 - run) AS largest_run FROM c")
+def parse_counters(spark, sf_dir):
+    """key=value counter lines, summed; the run with the most systems."""
+    c = table(spark, sf_dir, "lineitem").groupBy("l_linenumber").agg(F.count("*").alias("systems"), F.sum("l_partkey").alias("orders"))
+    lines = c.select(F.concat(F.lit("run"), "l_linenumber").alias("run"), F.concat(F.lit("systems="), "systems", F.lit(" orders="), "orders").alias("line"))
+    return checks.summed(lines.select("run", *artifacts.counters(F.col("line"), ["systems", "orders"])))
+
 
-def queries() -> dict:
-    return {}
+@query("SELECT p_name AS name, strlen(p_type)::BIGINT AS bytes, sha256(p_type) AS sha256 FROM part")
+def digest_list(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.octet_length("p_type").cast("bigint").alias("bytes"), F.sha2(F.col("p_type").cast("binary"), 256).alias("sha256"))
 
 
-def oracle_sql() -> dict:
-    return {}
+@query("SELECT s_suppkey, s_name AS path, CASE WHEN s_suppkey % 3 = 0 THEN 'measured' ELSE 'open' END AS status FROM supplier WHERE s_suppkey % 3 = 0 AND s_name NOT IN (SELECT s_name FROM supplier WHERE s_acctbal > 0)")
+def unproven_claims(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    claims = s.select("s_suppkey", F.col("s_name").alias("path"), F.when(F.col("s_suppkey") % 3 == 0, "measured").otherwise("open").alias("status"))
+    return artifacts.unproven(claims, s.where("s_acctbal > 0").select(F.col("s_name").alias("path"))).select("s_suppkey", "path", "status")
