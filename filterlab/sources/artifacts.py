@@ -72,7 +72,7 @@ def from_the_end(line: Column, k: int) -> Column:
 
 def ledger(lines: DataFrame, column: str = "value") -> DataFrame:
     """The rows of a Markdown table as an array of trimmed cells; rulers and other lines go."""
-    cells = F.transform(F.slice(F.split(column, r"\|"), 2, F.size(F.split(column, r"\|")) - 2), F.trim)
+    cells = F.transform(F.slice(F.split(column, r"\|"), 2, F.size(F.split(column, r"\|")) - 2), lambda cell: F.trim(cell))
     return lines.where(F.trim(column).startswith("|") & ~F.col(column).rlike(r"^[\s|:-]+$")).select(cells.alias("cells"))
 
 
