@@ -20,14 +20,20 @@ import array
 import functools
 import heapq
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+
+from filterlab.llm.common import small_batches
 
 MARK = "▁"
 #: Words, and token pairs, whose results a worker keeps; longer words are encoded anew each time.
-CACHE_WORDS, LONGEST_KEPT, CACHE_PAIRS = 400_000, 64, 1_000_000
+CACHE_WORDS, LONGEST_KEPT, CACHE_PAIRS = 1_000_000, 64, 500_000
+ROWS_AT_ONCE = 256
 _NEVER = 1 << 40
 
 
@@ -42,6 +48,8 @@ class Words(dict):
         head, *rest = word.split("\n")
         if rest:  # a line break stands in no piece: lines are encoded apart
             return (self[head]) + b"".join(self.model.line_break + self.without_mark(x) for x in rest)
+        if len(word) > 1 and word[-2:] not in self.model.inner_pairs:  # no piece joins these two either
+            return self[word[:-1]] + self.without_mark(word[-1])
         found = self.model.pack(self.model.encode_marked(1, word))
         if len(word) <= LONGEST_KEPT:
             if len(self) >= CACHE_WORDS:
@@ -82,7 +90,8 @@ class Model:
         # merges in order of score; the characters themselves come before all of them
         self.ids: dict[str, int] = {}
         self.order, self.left, self.right, self.pair = {}, {}, {}, {}
-        self.memo: dict[tuple[int, int], bool] = {}
+        self.memo: dict[int, bool] = {}
+        self.span = 1 << 32  # more than there are names of tokens, and of characters without any
         self.run_memo: dict[int, list[int]] = {}
         chars = {c for i in normal for c in self.pieces[i]}
         single = {self.pieces[i]: i for i in normal if len(self.pieces[i]) == 1}
@@ -90,6 +99,8 @@ class Model:
             name = single.get(c, n + k)
             self.ids[c], self.order[name] = name, -1
         self.names = {v: k for k, v in self.ids.items()}
+        self.known = frozenset(chars)
+        self.inner_pairs = {self.pieces[i][k : k + 2] for i in normal for k in range(len(self.pieces[i]) - 1)}
         score = {i: sp.get_score(i) for i in normal}
         merges = sorted((i for i in normal if len(self.pieces[i]) > 1 and self.pieces[i].strip(MARK)), key=lambda i: (-score[i], i))
         if len({score[i] for i in merges}) != len(merges):
@@ -115,11 +126,11 @@ class Model:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether a then b is what byte-pair encoding makes of their joined text."""
-        found = self.memo.get((a, b))
+        found = self.memo.get(a * self.span + b)
         if found is None:
             if len(self.memo) >= CACHE_PAIRS:
                 self.memo.clear()
-            found = self.memo[a, b] = self._compatible(a, b)
+            found = self.memo[a * self.span + b] = self._compatible(a, b)
         return found
 
     def _compatible(self, a: int, b: int) -> bool:
@@ -162,13 +173,34 @@ class Model:
 
     def encode_chars(self, text: str) -> list[int]:
         """The ids of a text that has no run of space marks but one at its start."""
+        if not self.known.issuperset(text):
+            return self._encode_unknown(text)
+        n, memo, span = len(text), self.memo, self.span
+        last, size = [-1] * (n + 1), [0] * (n + 1)
+        for at, (token, length) in self.automaton.iter(text):  # the longest first of those that end at a place
+            at += 1
+            if last[at] < 0:
+                before = last[at - length]
+                if at == length or (before >= 0 and ((fits := memo.get(before * span + token)) or (fits is None and self.compatible(before, token)))):
+                    last[at], size[at] = token, length
+        out = []
+        while n:
+            out.append(last[n])
+            n -= size[n]
+        out.reverse()
+        return out if max(out, default=0) < len(self.pieces) else self._spelled(out)
+
+    def _encode_unknown(self, text: str) -> list[int]:
         ends: list[list[tuple[int, int]]] = [[] for _ in range(len(text) + 1)]
-        for at, (token, size) in self.automaton.iter(text):
-            ends[at + 1].append((token, size))
+        for at, found in self.automaton.iter(text):
+            ends[at + 1].append(found)
         for k, c in enumerate(text):
-            if c not in self.ids:
+            if c not in self.known:
                 ends[k + 1] = [(-1 - ord(c), 1)]
-        tokens = self._last_tokens(text, lambda s, e: ends[e]) or []
+        return self._spelled(self._last_tokens(text, lambda s, e: ends[e]) or [])
+
+    def _spelled(self, tokens: list[int]) -> list[int]:
+        """tokens, with byte pieces in place of characters that are no pieces."""
         out = []
         for t in tokens:
             if 0 <= t < len(self.pieces):
@@ -256,12 +288,16 @@ def model(path: str) -> Model:
 
 
 def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids array<int>, decoded string of every row. model_path must lead to the model on
-    every machine."""
-    @F.pandas_udf("ids array<int>, decoded string")
-    def code(texts: pd.Series) -> pd.DataFrame:
+    """doc_id, ids, decoded of every row. model_path must lead to the model on every machine."""
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(model_path)
-        ids = [m.encode(t or "") for t in texts]
-        return pd.DataFrame({"ids": ids, "decoded": [m.decode(x) for x in ids]})
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):  # a few texts at a time: results are larger than texts
+                part = batch.slice(at, ROWS_AT_ONCE)
+                ids = [m.encode(t or "") for t in part.column(1).to_pylist()]
+                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array([m.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), code(F.col(text_col)).alias("c")).select("doc_id", "c.*")
+    schema = StructType([StructField("doc_id", docs.schema[id_col].dataType), StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())])
+    return small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(code, schema)
