@@ -65,5 +65,37 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_line_dedup, op2_mixing, op3_topk, op4_chat, op5_simhash, op6_html, op7_sentencepiece, op8_langid, op9_sharding, op10_quality)}
 
 
+_MIX = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || 'mix'), 1, 15))::BIGINT AS u
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS n FROM s),
+w AS (SELECT *, ([5.0, 2.0, 1.0][((n - 1) % 3 + 1)::INT])::DOUBLE AS weight, source_size * 3.0::DOUBLE AS ceiling FROM r),
+o AS (SELECT *, ceiling / weight AS ratio, (sum(source_size) OVER ())::DOUBLE AS budget, sum(weight) OVER () AS weights FROM w),
+l AS (SELECT *, (budget - coalesce(sum(ceiling) OVER up, 0)) / (weights - coalesce(sum(weight) OVER up, 0)) AS level
+      FROM o WINDOW up AS (ORDER BY ratio, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, n, budget, least(ceiling, coalesce((SELECT level FROM l WHERE ratio >= level ORDER BY ratio, n LIMIT 1) * weight, ceiling)) AS target FROM l),
+c AS (SELECT doc_id, size, u, source_size, n, target, sum(size) OVER (PARTITION BY t.n ORDER BY u, doc_id ROWS UNBOUNDED PRECEDING) AS cum
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+k AS (SELECT *, (source_size * e + cum)::DOUBLE / target AS time FROM c, range(3) x(e) WHERE size > 0 AND target > 0),
+m AS (SELECT *, sum(size) OVER (ORDER BY time, n, u, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM k),
+g AS (SELECT doc_id, count(*) AS copies FROM m WHERE upto <= (SELECT sum(target) FROM t) GROUP BY doc_id)
+SELECT c.doc_id, size, source_size, target, (coalesce(copies, 0) * size)::BIGINT AS taken FROM c LEFT JOIN g ON g.doc_id = c.doc_id
+"""
+
+_TOP_K = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS t FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, coalesce(list_sum(list_transform(list_zip(q.t, c.t), lambda z: z[1] * z[2])), 0)::BIGINT AS score
+      FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The operators that SQL can express; hashes, models and parsers keep the others to brute-force tests."""
+    return {"op2_mixing": _MIX, "op3_topk": _TOP_K}
