@@ -143,6 +143,10 @@ def in_fixed_order(df: DataFrame, column: str, order: Sequence[str]) -> DataFram
 
 
 def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
-    """df with place, from 1: an order drawn by a hash of the key and a seed."""
-    drawn = bits.with_mix64(df, F.col(key).bitwiseXOR(F.lit(seed)), "__draw")
-    return drawn.withColumn("place", F.row_number().over(W.orderBy(F.col("__draw").bitwiseXOR(F.lit(-(1 << 63))), key))).drop("__draw")
+    """df with place, from 1: an order drawn by a hash of the key and a seed. Rows are numbered
+    inside 4,096 ranges of the hash, whose counts give each range its first place."""
+    drawn = bits.with_mix64(df, F.col(key).bitwiseXOR(F.lit(seed)), "__draw").withColumn("__range", F.shiftrightunsigned("__draw", 52))
+    counts = drawn.groupBy(F.col("__range").alias("__r")).agg(F.count("*").alias("__n"))
+    before = counts.select("__r", F.coalesce(F.sum("__n").over(W.orderBy("__r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    number = F.row_number().over(W.partitionBy("__range").orderBy(F.col("__draw").bitwiseXOR(F.lit(-(1 << 63))), key))
+    return drawn.join(F.broadcast(before), F.col("__range") == F.col("__r")).withColumn("place", F.col("__before") + number).select(*df.columns, "place")

@@ -607,11 +607,11 @@ def fixed_order(spark, sf_dir):
     return an.in_fixed_order(named, "r", ["2", "0", "4"]).select("n_name", F.col("place").cast("int").alias("place"))
 
 
-@query("SELECT s_nationkey, s_suppkey, s_acctbal, row_number() OVER (ORDER BY s_nationkey, s_acctbal DESC, s_suppkey) AS place FROM supplier")
+@query("SELECT s_nationkey, s_suppkey, s_acctbal, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS place FROM supplier")
 def mixed_sort(spark, sf_dir):
     from pyspark.sql.window import Window
 
-    order = Window.orderBy("s_nationkey", F.desc("s_acctbal"), "s_suppkey")
+    order = Window.partitionBy("s_nationkey").orderBy(F.desc("s_acctbal"), "s_suppkey")
     return table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", "s_acctbal", F.row_number().over(order).cast("bigint").alias("place"))
 
 

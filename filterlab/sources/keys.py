@@ -7,9 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from filterlab.functions import bits
 
@@ -46,10 +45,12 @@ def sample_keys(keys: DataFrame, n: int, seed: int, column: str = "key") -> Data
     return drawn.orderBy(F.col("draw").bitwiseXOR(F.lit(-(1 << 63))), column).limit(n).select(column).orderBy(column)
 
 
-def without_adjacent_repeats(rows: DataFrame, value: str, order: str, *partition: Column) -> DataFrame:
-    """The rows whose value differs from that of the row before; nulls are skipped."""
-    before = F.lag(value).over(W.partitionBy(*partition).orderBy(order))
-    return rows.where(F.col(value).isNotNull()).withColumn("before", before).where(~F.col("before").eqNullSafe(F.col(value))).drop("before")
+def without_adjacent_repeats(rows: DataFrame, value: str, order: str) -> DataFrame:
+    """The rows whose value isn't null and differs from that of the row before, order being a
+    number without gaps. The row before is found by a join, so no task reads all rows."""
+    before = rows.select((F.col(order) + 1).alias("__at"), F.col(value).alias("__before"))
+    joined = rows.where(F.col(value).isNotNull()).join(before, F.col(order) == F.col("__at"), "left")
+    return joined.where(~F.col("__before").eqNullSafe(F.col(value))).select(*rows.columns)
 
 
 def read_u64(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
