@@ -5,7 +5,8 @@ headers, footers, sidebars, notices, adverts, forms, reader comments) count as e
 lengths are summed over sliding windows of lines. Where the sum surges from nothing the main text
 begins, where it dives back to nothing it ends; the heaviest such stretch is the article. If the
 page marks an article or main element around most of that stretch, the element's bounds replace
-the surge and dive points, so that short first or last paragraphs stay.
+the surge and dive points, so that short first or last paragraphs stay. Else paragraphs beside the
+stretch that have the same parent belong to it too, so an advert can't cut an article in two.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined
 by one line break; nothing else is dropped or cut. Null and empty pages give an empty text.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import html
 import re
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -33,6 +35,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FURNITURE = frozenset("nav footer aside form menu dialog button fieldset".split())
 HOLDERS = frozenset(("article", "main"))
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 _NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|popup|modal|overlay|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|footer|header|masthead|comments?|commentlist|replies|respond|disqus|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|pagination|pager|widget|toolbar|skip-link|copyright)(?:$|[\s_-])", re.I)
 _ATTR = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -56,18 +59,34 @@ def _kind(tag: str, attributes: str, in_holder: bool) -> str:
     return ""
 
 
-def blocks(page: str) -> list[tuple[str, bool, tuple[int, ...]]]:
-    """(text, whether furniture, the holders around it) of each block with text, in page order."""
-    out: list[tuple[str, bool, tuple[int, ...]]] = []
+@dataclass
+class Block:
+    """A line of the page: its text, whether it is furniture, the elements around it (ids from the
+    outermost on), which of them mark the article, and the tag of the innermost."""
+
+    text: str
+    furniture: bool
+    around: tuple[int, ...]
+    holders: tuple[int, ...]
+    tag: str
+
+    @property
+    def parent(self) -> int:
+        return self.around[-2] if len(self.around) > 1 else 0
+
+
+def blocks(page: str) -> list[Block]:
+    """The blocks of a page that have text, in page order."""
+    out: list[Block] = []
     stack: list[tuple[str, str, int]] = []
     text: list[str] = []
-    holders, muted, at = 0, 0, 0
+    elements, muted, at = 0, 0, 0
 
     def flush() -> None:
         if text:
             said = _SPACE.sub(" ", html.unescape("".join(text))).strip()
             if said:
-                out.append((said, muted > 0, tuple(n for _, k, n in stack if k == "holder")))
+                out.append(Block(said, muted > 0, tuple(n for _, _, n in stack), tuple(n for _, k, n in stack if k == "holder"), stack[-1][0] if stack else ""))
             text.clear()
 
     for m in _MARKUP.finditer(page):
@@ -88,25 +107,22 @@ def blocks(page: str) -> list[tuple[str, bool, tuple[int, ...]]]:
                 muted -= sum(k == "out" for _, k, _ in stack[depth:])
                 del stack[depth:]
         elif tag not in VOID and not m[4].rstrip().endswith("/"):
-            if stack and stack[-1][0] == tag and tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
-                muted -= stack.pop()[1] == "out"  # these end where the next one begins
+            # these end where the next one begins, and a paragraph ends where any block does
+            if stack and (stack[-1][0] == "p" or (stack[-1][0] == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option"))):
+                muted -= stack.pop()[1] == "out"
             kind = _kind(tag, m[4], any(k == "holder" for _, k, _ in stack))
             muted += kind == "out"
-            holders += kind == "holder"
-            stack.append((tag, kind, holders))
+            elements += 1
+            stack.append((tag, kind, elements))
     text.append(page[at:])
     flush()
     return out
 
 
-def main_text(page: str | None) -> str:
-    """The article of a page."""
-    found = blocks(page or "")
-    lengths = np.array([0 if out else len(t) for t, out, _ in found])
-    if not lengths.any():
-        return ""
+def stretches(lengths: np.ndarray) -> list[tuple[int, int]]:
+    """From surge to dive: a stretch begins where the sum of WINDOW lines rises over the bound, and
+    ends where a line and the lines of the window after it hold nothing."""
     sums = np.convolve(lengths, np.ones(WINDOW, int))[WINDOW - 1 :]  # of the WINDOW lines from each on
-    # a surge is where the sum rises over the bound, a dive where a line and those after it hold nothing
     spans, begin, limit = [], None, min(SURGE, sums.max())
     for k, n in enumerate(lengths):
         if begin is None and n and sums[k] >= limit:
@@ -114,17 +130,30 @@ def main_text(page: str | None) -> str:
         elif begin is not None and not n and not sums[k]:
             spans.append((begin, k))
             begin = None
-    if begin is not None:
-        spans.append((begin, len(found)))
-    a, b = max(spans, key=lambda s: (lengths[s[0] : s[1]].sum(), -s[0]), default=(0, len(found)))
+    return spans + [(begin, len(lengths))] if begin is not None else spans
+
+
+def main_text(page: str | None) -> str:
+    """The article of a page."""
+    found = blocks(page or "")
+    lengths = np.array([0 if b.furniture else len(b.text) for b in found])
+    if not lengths.any():
+        return ""
+    first, end = max(stretches(lengths), key=lambda s: (lengths[s[0] : s[1]].sum(), -s[0]), default=(0, len(found)))
+    inside, whole = found[first:end], lengths[first:end].sum()
     weight: dict[int, int] = {}
-    for k in range(a, b):
-        for h in found[k][2]:
-            weight[h] = weight.get(h, 0) + int(lengths[k])
-    inner = [h for h, w in weight.items() if 2 * w > lengths[a:b].sum()]
-    if inner:  # the innermost element that holds most of the stretch
-        return "\n".join(t for t, out, around in found if not out and max(inner) in around)
-    return "\n".join(t for t, out, _ in found[a:b] if not out)
+    parents: dict[int, int] = {}
+    for b, n in zip(inside, lengths[first:end].tolist(), strict=True):
+        for h in b.holders:
+            weight[h] = weight.get(h, 0) + n
+        parents[b.parent] = parents.get(b.parent, 0) + n
+    holders = [h for h, w in weight.items() if 2 * w > whole]
+    if holders:  # the innermost element that holds most of the stretch
+        kept = [not b.furniture and max(holders) in b.around for b in found]
+    else:  # furniture may have cut the article: its other stretches are paragraphs of the same parent
+        parent = max(parents, key=parents.get)
+        kept = [not b.furniture and (first <= k < end or (b.parent == parent and b.tag in PARAGRAPHS)) for k, b in enumerate(found)]
+    return "\n".join(b.text for b, k in zip(found, kept, strict=True) if k)
 
 
 def extracted(pages: DataFrame) -> DataFrame:

@@ -151,6 +151,7 @@ PAGES = {
     "<html><head><title>No</title><script>var t='</p>';</script></head><body><nav><ul><li><a href=x>Home</a></ul></nav><article><h1>Head &amp; all</h1><p><b>First\n  line</b> goes on and on for a while.<br><p>Second &eacute;&#233; one.</p><aside>Buy this now please</aside><p>x</p></article><footer>&copy; us</footer></body></html>": "Head & all\nFirst line goes on and on for a while.\nSecond éé one.\nx",
     "<body><div class='header'>Site</div><div id=main-text><p>" + "A long paragraph of text. " * 9 + "</p><p>Short.</p></div><div class='comments'><p>" + "I agree with all of it. " * 3 + "</p></div><div id='footer'>End</div>": ("A long paragraph of text. " * 9).strip() + "\nShort.",
     "<main><header><h1>T</h1></header><p>Body of the text, long enough to be found.</p><div class=cookie-notice>We use cookies, accept all of them now</div><form><p>Mail</p></form></main>": "T\nBody of the text, long enough to be found.",
+    "<body><div>Site name</div><nav><ul><li>a<li>b<li>c</ul></nav><h1>Top</h1><p>" + "One long paragraph. " * 6 + "</p><div class='ad'><p>Buy</p><p>it</p><p>all</p><p>now</p></div><p>" + "Another one. " * 4 + "<h2>End</h2><p>Bye.<footer>x": "Top\n" + ("One long paragraph. " * 6).strip() + "\n" + ("Another one. " * 4).strip() + "\nEnd\nBye.",
     "plain words only": "plain words only",
     "<!-- only -->": "",
     "": "",
