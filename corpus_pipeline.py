@@ -11,17 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filterlab.llm import langid, line_dedup, mixing, simhash, spm
-from filterlab.llm.common import stored, table
+from filterlab.llm.common import small_batches, stored, table
 
 #: Documents whose best language gets a smaller mean marginal than this are rejected.
-MIN_LANGUAGE_SCORE = 0.5
+MIN_LANGUAGE_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that are in one of the learned languages."""
     out = langid.held_out(F.col("doc_id"))
     tagger = langid.train(docs, F.col("doc_id").isNotNull() & ~out)
-    named = docs.withColumn("__lang", langid.predictions(tagger)(F.col("text")))
+    named = small_batches(docs).withColumn("__lang", langid.predictions(tagger)(F.col("text")))
     return named.where((F.col("__lang.lang_pred") != langid.UND) & (F.col("__lang.score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
