@@ -5,9 +5,14 @@ character-class histogram and its common-word histogram with a reference for eac
 Jensen-Shannon distance, and takes the nearest reference. References are counts over all
 documents of a language, so one document hardly moves them.
 
+Words that are not common are no cell of the common-word histogram: they are most of any text and
+would hide the others. Instead, what a document lacks of its reference's share of common words is
+a cell that the reference has nothing in, so a text without common words is at distance 1.
+
 Guards: the character-class distance is used from ``MIN_CHARS`` characters on, the common-word
-distance from ``MIN_WORDS`` words on; shorter documents pass the divergence test. A document
-fails it only beyond the limits below, which lie far outside the spread of running prose.
+distance from ``MIN_WORDS`` words on, if each reference lets expect ``MIN_COMMON`` common words in so
+many; shorter documents pass the divergence test. A document fails it only beyond the limits below,
+which lie far outside the spread of running prose.
 
 Null and empty texts have no words and fail the base rules. Null languages serve as no reference.
 Repeated rows give repeated results. Other columns of the input are ignored.
@@ -28,6 +33,8 @@ from filterlab.llm.common import small_batches
 
 MIN_WORDS, MIN_CHARS = 50, 200
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.90
+#: Common words that a text of some language has by expectation; fewer can be none by chance.
+MIN_COMMON = 12
 COMMON_WORDS, MAX_LANGS = 64, 200
 #: Words whose counts a task holds.
 HELD_WORDS = 200_000
@@ -56,6 +63,17 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a + b) / 2, 0))
 
 
+def word_distance(got: np.ndarray, n: int, shares: np.ndarray) -> float | None:
+    """Of a text of n words, got of each common word; shares: theirs in the language, then all others'.
+    None if the text is too short for its common words to tell."""
+    common = 1 - shares[-1]
+    if n * common < MIN_COMMON:
+        return None
+    lacking = max(0.0, 1 - got.sum() / (n * common))
+    p = np.append(got / max(got.sum(), 1) * (1 - lacking), lacking)
+    return float(js_distance(p, np.append(shares[:-1] / common, 0.0)))
+
+
 def language_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> pd.DataFrame:
     """lang, classes (6 shares), words (the most common), word_shares (theirs, then all others').
 
@@ -142,12 +160,8 @@ def judge(text: str | None, refs: pd.DataFrame) -> tuple:
             for w, k in zip(names, np.bincount(ids, minlength=len(names)).tolist(), strict=True):
                 w = w.decode("utf-8", "surrogatepass").lower()
                 low[w] = low.get(w, 0) + k
-            best = 1.0
-            for common, shares in zip(refs.words, refs.word_shares, strict=True):
-                got = np.array([low.get(w, 0) for w in common] + [0.0])
-                got[-1] = n - got.sum()
-                best = min(best, float(js_distance(got / n, shares)))
-            near_word = best
+            each = [word_distance(np.array([low.get(w, 0) for w in common], float), n, shares) for common, shares in zip(refs.words, refs.word_shares, strict=True)]
+            near_word = None if None in each else min(each)
     diverges = (near_class is not None and near_class > MAX_CLASS_DISTANCE) or (near_word is not None and near_word > MAX_WORD_DISTANCE)
     return n, chars, len(SYMBOL.findall(text)), len(lines) - len(set(lines)), repeat, failed, near_class, near_word, not failed and not diverges
 
