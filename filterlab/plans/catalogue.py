@@ -471,6 +471,13 @@ def bootstrap_ratio(spark, sf_dir):
     return _rounded(an.bootstrap_ratio(rows, ["event_type"], "arm", "even", "odd", "value", "event_id", resamples=40), 6)
 
 
+@query()
+def bootstrap_ratio_of_medians(spark, sf_dir):
+    """AGG-7 as a whole, 10,000 resamples; bootstrap_ratio is the form that SQL can check."""
+    rows = table(spark, sf_dir, "events").withColumn("arm", F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd"))
+    return an.bootstrap_ratio_of_medians(rows, ["event_type"], "arm", "even", "odd", "value")
+
+
 @query(f"WITH {_MEANS} SELECT size, round(max(mean) FILTER (WHERE arm = 'A'), 4) AS \"A\", round(max(mean) FILTER (WHERE arm = 'N'), 4) AS \"N\", round(max(mean) FILTER (WHERE arm = 'R'), 4) AS \"R\" FROM means GROUP BY size")
 def pivot_strategies(spark, sf_dir):
     return _rounded(an.pivoted(_runs(spark, sf_dir), ["size"], "arm", ["A", "N", "R"], "x"))
