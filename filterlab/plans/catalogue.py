@@ -449,6 +449,11 @@ def upper_median(spark, sf_dir):
     return _runs(spark, sf_dir).where("rep = 7").groupBy("size").agg(an.upper_median("x").alias("upper_median"))
 
 
+@query(f"WITH {_RUNS} SELECT size, list_sort(list(x))[count(x) // 2 + 1] AS upper_median FROM runs GROUP BY size")
+def upper_median_all(spark, sf_dir):
+    return _runs(spark, sf_dir).groupBy("size").agg(an.upper_median("x").alias("upper_median"))
+
+
 @query(f"WITH {_RUNS} SELECT size, round(median(x) FILTER (WHERE arm = 'R'), 4) AS top, round(median(x) FILTER (WHERE arm = 'A'), 4) AS bottom, round(median(x) FILTER (WHERE arm = 'R') / median(x) FILTER (WHERE arm = 'A'), 8) AS ratio FROM runs GROUP BY size")
 def ratio_of_medians(spark, sf_dir):
     out = an.ratio_of_medians(_runs(spark, sf_dir), ["size"], "arm", "R", "A", "x")
