@@ -24,11 +24,11 @@ import hashlib
 import re
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filterlab.llm.common import small_batches
+from filterlab.llm.common import mapped
 
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]")
 _ESCAPE = re.compile(r"([<\[])(\\*)(/?s>|/?INST\])")
@@ -109,20 +109,21 @@ FIELDS = "formatted string, ids array<int>, starts array<int>, ends array<int>,
 
 def formatted(turns: DataFrame, tokenizer_path: str) -> DataFrame:
     """conv_id and FIELDS, one row for each conversation of (conv_id, turn, role, text) rows."""
-    whole = small_batches(turns).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("turns"))
+    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    whole = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
 
-    @F.pandas_udf(FIELDS)
-    def code(roles: pd.Series, texts: pd.Series) -> pd.DataFrame:
+    def code(conversations: list[list[dict]]) -> list[pa.Array]:
         out, t = [], tokenizer(tokenizer_path)
-        for r, texts_of in zip(roles, texts, strict=True):
-            text, spans = render(list(zip(r, texts_of, strict=True)))
+        for turns_of in conversations:
+            text, spans = render([(x["role"], x["text"]) for x in turns_of])
             e = t.encode(text, add_special_tokens=False)
             offsets = np.array(e.offsets, np.int32).reshape(-1, 2)
             starts, ends = np.ascontiguousarray(offsets[:, 0]), np.ascontiguousarray(offsets[:, 1])
             out.append((text, np.array(e.ids, np.int32), starts, ends, loss_mask(starts, ends, spans)))
-        return pd.DataFrame(out, columns=["formatted", "ids", "starts", "ends", "loss"])
+        kinds = [pa.string(), *[pa.list_(pa.int32())] * 3, pa.list_(pa.bool_())]
+        return [pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)]
 
-    return whole.select("conv_id", code(F.col("turns.role"), F.col("turns.text")).alias("c")).select("conv_id", "c.*")
+    return mapped(whole, "turns", lambda: code, FIELDS, ["conv_id"])
 
 
 def loss_text(text: str, starts: np.ndarray, ends: np.ndarray, loss: np.ndarray) -> str:
@@ -134,15 +135,16 @@ def loss_text(text: str, starts: np.ndarray, ends: np.ndarray, loss: np.ndarray)
     return "".join(unescape(text[i:j]) for i, j in zip(a[np.r_[0, cut]], np.maximum.accumulate(b)[np.r_[cut - 1, len(b) - 1]], strict=True))
 
 
-def digests(*columns: str) -> Column:
-    """What formatted, starts, ends and loss hold, read back from them."""
-    @F.pandas_udf("n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
-    def read(texts: pd.Series, starts: pd.Series, ends: pd.Series, loss: pd.Series) -> pd.DataFrame:
+def digests(coded: DataFrame) -> DataFrame:
+    """conv_id, and what the columns formatted, starts, ends and loss hold, read back from them."""
+    def read(rows: list[dict]) -> list[pa.Array]:
         out = []
-        for text, a, b, m in zip(texts, starts, ends, loss, strict=True):
-            turns, under = parse(text), loss_text(text, a, b, np.asarray(m, bool))
-            joined = "".join(f"{r}\n{t}\n" for r, t in turns)
-            out.append((len(turns), hashlib.sha256(joined.encode()).hexdigest(), len(under), hashlib.sha256(under.encode()).hexdigest(), len(text)))
-        return pd.DataFrame(out, columns=["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-
-    return read(*columns)
+        for r in rows:
+            turns = parse(r["formatted"])
+            under = loss_text(r["formatted"], np.array(r["starts"], np.int64), np.array(r["ends"], np.int64), np.array(r["loss"], bool))
+            joined = "".join(f"{role}\n{t}\n" for role, t in turns)
+            out.append((len(turns), hashlib.sha256(joined.encode()).hexdigest(), len(under), hashlib.sha256(under.encode()).hexdigest(), len(r["formatted"])))
+        return [pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()))]
+
+    fields = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    return mapped(coded.select("conv_id", F.struct("formatted", "starts", "ends", "loss").alias("c")), "c", lambda: read, fields, ["conv_id"], 100)

@@ -1,16 +1,21 @@
-"""What the training-data operators share: reading tables, stored intermediates, words."""
+"""What the training-data operators share: reading tables, stored intermediates, texts handed to Python."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: A word, in Java's and Python's regular expressions alike; bytes.split() splits the same way.
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own: dict[str, str] = {}
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,9 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), one of our own."""
+    """The folder of spark.checkpoint.dir. Where that is unset a local session gets a folder of its
+    own; a cluster has no folder that all its machines share, so there it is an error."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="spark-")
@@ -33,16 +41,35 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/filterlab/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _paths[found] = path
+    return found
 
 
-#: Rows that Spark hands to Python at a time: texts are long, so the usual 10,000 take much memory.
+def forget(*tables: DataFrame | None) -> None:
+    """Deletes stored tables that nothing will read again; what a result still reads must stay."""
+    for df in tables:
+        if df is not None and (path := _paths.pop(df, None)):
+            context = df.sparkSession.sparkContext
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
+#: Rows whose texts are Python strings at a time: texts are long, a batch of Arrow holds many.
 BATCH_ROWS = 500
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """df, in a session that hands at most BATCH_ROWS rows at a time to Python."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df
+def mapped(df: DataFrame, column: str, make: Callable[[], Callable[[list], list[pa.Array]]], fields: str, keep: list[str] | None = None, rows: int = BATCH_ROWS) -> DataFrame:
+    """The columns keep of df (all if None) and the new fields. make gives, once for each task, the function
+    that turns a list of values of a column into one array for each new field."""
+    kept, new = df.columns if keep is None else keep, StructType.fromDDL(fields)
+    schema = StructType([*(df.schema[c] for c in kept), *new])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        function = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(kept))), *function(part.column(len(kept)).to_pylist())], names=schema.names)
+
+    return df.select(*kept, df[column].alias("__mapped")).mapInArrow(run, schema)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filterlab.llm.common import stored
+from filterlab.llm.common import forget, stored
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -29,6 +29,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.where("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).where("u != v")
         # small star: a node and its smaller neighbours move to the least of them
         large = stored(large.distinct(), "cc")
+        forget(now)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = stored(moved.unionAll(low.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "cc")
+        forget(large)

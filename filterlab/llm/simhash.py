@@ -20,12 +20,12 @@ An empty table gives an empty result. Other columns of the input are ignored.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filterlab.llm.common import small_batches, stored
+from filterlab.llm.common import forget, mapped, stored
 from filterlab.llm.graph import components
 
 SHINGLE, SEED, THRESHOLD = 3, 42, 3
@@ -46,12 +46,12 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * set_bits > n).tobytes(), "big")
 
 
-def fingerprints(text: Column) -> Column:
-    @F.pandas_udf("long")
-    def prints(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
+def fingerprints(docs: DataFrame, text_col: str = "text", out: str = "fp") -> DataFrame:
+    """The other columns of docs with the fingerprint of the text, as a signed number."""
+    def prints(texts: list[str | None]) -> list[pa.Array]:
+        return [pa.array(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))]
 
-    return prints(text)
+    return mapped(docs, text_col, lambda: prints, f"{out} long", [c for c in docs.columns if c != text_col])
 
 
 def _near_words() -> list[list[int]]:
@@ -103,12 +103,14 @@ def fingerprint_components(prints: DataFrame) -> DataFrame:
     named = stored(prints.select("fp").join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root")), "simhash-roots")
     here, there = homes(named), replicas(named).select("anchor", F.col("fp").alias("fp2"), F.col("root").alias("root2"))
     rest = here.join(there, (here.anchor == there.anchor) & (F.col("root") < F.col("root2")) & linked(F.col("fp"), F.col("fp2"))).select(F.col("root").alias("a"), F.col("root2").alias("b"))
-    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(rest.distinct()))
+    joined = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(rest.distinct()))
+    forget(stars, named, roots)
+    return joined
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row of docs."""
-    rows = stored(small_batches(docs).select(F.col(id_col).alias("doc_id"), fingerprints(F.col(text_col)).alias("fp")), "simhash-prints")
+    rows = stored(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))), "simhash-prints")
     prints = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-distinct")
     roots = fingerprint_components(prints)
     named = prints.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))

@@ -28,7 +28,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from filterlab.llm.common import small_batches
 
 MARK = "▁"
 #: Words, and token pairs, whose results a worker keeps; longer words are encoded anew each time.
@@ -47,9 +46,10 @@ class Words(dict):
     def __missing__(self, word: str) -> bytes:
         head, *rest = word.split("\n")
         if rest:  # a line break stands in no piece: lines are encoded apart
-            return (self[head]) + b"".join(self.model.line_break + self.without_mark(x) for x in rest)
-        if len(word) > 1 and word[-2:] not in self.model.inner_pairs:  # no piece joins these two either
-            return self[word[:-1]] + self.without_mark(word[-1])
+            return self[head] + b"".join(self.model.line_break + self.without_mark(x) for x in rest)
+        first, *others = self.model.apart(word)
+        if others:
+            return self[first] + b"".join(map(self.without_mark, others))
         found = self.model.pack(self.model.encode_marked(1, word))
         if len(word) <= LONGEST_KEPT:
             if len(self) >= CACHE_WORDS:
@@ -133,6 +133,12 @@ class Model:
             found = self.memo[a * self.span + b] = self._compatible(a, b)
         return found
 
+    def apart(self, word: str) -> list[str]:
+        """word, cut wherever no piece joins the two neighbours: its parts are encoded each by itself."""
+        inner = self.inner_pairs
+        cuts = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in inner]
+        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)]
+
     def _compatible(self, a: int, b: int) -> bool:
         # Take back the later of the two merges that face the border, again and again. A merge
         # across the border must not come before the merge just taken back; of two merges of one
@@ -300,4 +306,4 @@ def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array([m.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
 
     schema = StructType([StructField("doc_id", docs.schema[id_col].dataType), StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())])
-    return small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(code, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(code, schema)
