@@ -1,38 +1,48 @@
 """Fuzzy line deduplication by MinHash, with DataFrame functions only.
 
-Lines of at least ``MIN_CHARS`` code points take part; shorter ones are layout and stay. Two lines
-are copies if the Jaccard similarity of their sets of ``SHINGLE``-character shingles is at least
-``SIMILARITY``; copies of copies form a component, of which one line stays, the one with the least
-(doc_id, position).
-
-1. Equal lines are collapsed (combined before their shuffle, so a hot line costs little).
-2. Each distinct line gets 16 minima: shingle hashes, XORed with 16 masks that look into different
-   ranges of the hash space. Shingles are hashed and minimised in one stage, without a shuffle.
-3. Banding: the 16 minima lie on a 4 x 4 grid, and bands are its rows, columns and three classes of
+Lines that hold a letter or a digit take part; others are layout and stay. Two lines are copies if
+the Jaccard similarity of their sets of ``SHINGLE``-character shingles is at least ``SIMILARITY``
+(a shorter line is a shingle by itself, so it is a copy of equal lines only); copies of copies form a
+component, of which one line stays, the one with the least (doc_id, position).
+
+1. Each line gets 16 minima: shingle hashes, XORed with 16 masks that look into different ranges of
+   the hash space. Shingles are hashed where the line is read; equal lines share their minima, so the
+   aggregate that makes the minima collapses them before its shuffle.
+2. Banding: the 16 minima lie on a 4 x 4 grid, and bands are its rows, columns and three classes of
    diagonals, 20 bands of 4 of which no two share more than one minimum. Lines of similarity 0.8
    share a band in 99.5 % of cases, of 0.85 in 99.91 %, of 0.9 in 99.99 %.
-4. Exact verification and union-find in two rounds: each line against the leader of each of its bands,
-   then lines of one band that are still in different components. A group of m copies gives some
-   m pairs for each band, and no pair of a band is skipped unless its lines are known to be connected, or known
-   to be too different: shingle sets are XORed into 512 bits, common shingles cancel, so the bits
-   that two lines' words differ in are a lower bound of their sets' symmetric difference.
+3. Exact verification and union-find in rounds. In each round every band has leaders (one in the first
+   round, ``LEADERS`` then) that all its other lines are compared with, unless they are connected
+   already; then the leaders leave the band, since no pair with one of them is open. Components are contracted between rounds, so a group of m near
+   copies is connected by some m comparisons for each band, not m * m. When rounds stop to connect
+   much, the pairs still open (lines of one band in different components) are compared all at once.
+4. From the second round on a pair is read in full only if sketches don't prove it too different:
+   shingle sets are XORed into 2,048 bits, common shingles cancel, so the bits that two sketches
+   differ in are a lower bound of their sets' symmetric difference.
 
 Null texts and rows with a null doc_id are left as they are. Rows that share a doc_id are taken as
-one document. An empty table gives an empty result. Lines and shingles
-are told apart by 64-bit hashes.
+one document; ids of any type that can be ordered do. An empty table gives an empty result. Lines
+are told apart by 96 bits of two hashes, shingles by 64.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 from pyspark.sql.window import Window as W
 
-from filterlab.llm.common import stored
+from filterlab.llm.common import forget, stored
 from filterlab.llm.graph import components
 
-MIN_CHARS, SHINGLE, SIMILARITY = 20, 8, 0.8
+SHINGLE, SIMILARITY = 8, 0.8
 GRID = 4
+#: Words of 64 bits in a sketch.
+SKETCH_WORDS = 32
+#: A round of leaders is followed by another while it connects at least this share of the open rows.
+WORTH_A_ROUND = 0.001
+#: Leaders of a band in each round but the first.
+LEADERS = 4
 #: Keys that are broadcast at most (8 bytes each, some 40 in a hash table).
 BROADCAST_KEYS = 500_000
 
@@ -53,10 +63,10 @@ def _bands() -> list[list[int]]:
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, pos, line, key of the lines that take part."""
+    """doc_id, pos, line, key, check of the lines that take part."""
     have = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     lines = have.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
-    return lines.where(F.length("line") >= MIN_CHARS).withColumn("key", F.xxhash64("line"))
+    return lines.where(F.rlike("line", F.lit(r"[\p{L}\p{N}]"))).withColumns({"key": F.xxhash64("line"), "check": F.hash("line")})
 
 
 def _wide(line: Column) -> Column:
@@ -69,40 +79,43 @@ def _shingle(wide: Column, at: Column) -> Column:
 
 def shingles(line: Column) -> Column:
     """The set of a line's shingles, each by its 64-bit hash."""
-    places = F.sequence(F.lit(0), F.length(line) - SHINGLE)
+    places = F.sequence(F.lit(0), F.greatest(F.length(line) - SHINGLE, F.lit(0)))
     # the wide form is bound as a lambda's variable: written into the inner lambda, it would be made for each shingle
     sets = F.transform(F.array(_wide(line)), lambda wide: F.array_distinct(F.transform(places, lambda at: F.xxhash64(_shingle(wide, at)))))
     return F.element_at(sets, 1)
 
 
-def band_members(distinct: DataFrame) -> DataFrame:
-    """band, key, least: the lines of every band that holds more than one, and its leader. distinct: key, line,
-    one row for each key, dealt by key."""
-    wide = distinct.select("key", _wide(F.col("line")).alias("wide"), (F.length("line") - SHINGLE).alias("last"))  # once for each line
+def signatures(lines: DataFrame) -> DataFrame:
+    """key, m0 .. m15: the minima of every distinct line that has a whole shingle."""
+    wide = lines.where(F.length("line") >= SHINGLE).select("key", _wide(F.col("line")).alias("wide"), (F.length("line") - SHINGLE).alias("last"))
     cut = wide.select("key", "wide", F.explode(F.sequence(F.lit(0), "last")).alias("at"))
     hashed = cut.select("key", F.xxhash64(_shingle(F.col("wide"), F.col("at"))).alias("h"))
-    signed = hashed.groupBy("key").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(_masks())))
+    return hashed.groupBy("key").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(_masks())))
+
+
+def band_members(lines: DataFrame) -> DataFrame:
+    """band, key, least: the lines of every band that holds more than one, and its least."""
     bands = F.array(*(F.xxhash64(F.lit(k), *(F.col(f"m{i}") for i in band)) for k, band in enumerate(_bands())))
     every = W.partitionBy("band")
-    banded = signed.select("key", F.explode(bands).alias("band"))
-    # the least key after an XOR with the band: a key of its own for each band, so that a line of a large
-    # group meets many lines of it, not one again and again
-    mixed = F.col("key").bitwiseXOR(F.col("band"))
-    banded = banded.withColumn("low", F.min(mixed).over(every)).withColumn("high", F.max(mixed).over(every))
-    return banded.where("low < high").select("band", "key", F.col("low").bitwiseXOR(F.col("band")).alias("least"))
+    banded = signatures(lines).select("key", F.explode(bands).alias("band"))
+    banded = banded.withColumn("least", F.min("key").over(every)).withColumn("most", F.max("key").over(every))
+    return banded.where("least < most").select("band", "key", "least")
 
 
 def sketches(texts: DataFrame) -> DataFrame:
-    """key, n, x0 .. x7: the size of each line's shingle set and the set XORed into 512 bits."""
+    """key, n, x0, x1 ..: the size of each line's shingle set and the set XORed into SKETCH_WORDS words."""
     each = texts.select("key", F.explode(shingles(F.col("line"))).alias("h"))
-    word, bit = F.shiftrightunsigned("h", 61), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
-    return each.groupBy("key").agg(F.count("*").alias("n"), *(F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"x{k}") for k in range(8)))
+    place = F.pmod(F.shiftrightunsigned("h", 8), F.lit(SKETCH_WORDS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
+    words = each.groupBy("key", place.alias("word")).agg(F.count("*").alias("n"), F.bit_xor(bit).alias("x"))
+    zero = F.lit(0).cast("bigint")
+    return words.groupBy("key").agg(F.sum("n").alias("n"), *(F.max(F.when(F.col("word") == k, F.col("x"))).alias(f"x{k}") for k in range(SKETCH_WORDS))).select("key", "n", *(F.coalesce(f"x{k}", zero).alias(f"x{k}") for k in range(SKETCH_WORDS)))
 
 
 def may_match(one: str, other: str) -> Column:
     """Whether two sketched sets can be similar enough; their columns end in one and other.
     J >= s just if the symmetric difference is at most (1 - s) / (1 + s) of the sizes' sum."""
-    differing = sum((F.bit_count(F.col(f"x{k}{one}").bitwiseXOR(F.col(f"x{k}{other}"))) for k in range(8)), F.lit(0))
+    differing = sum((F.bit_count(F.col(f"x{k}{one}").bitwiseXOR(F.col(f"x{k}{other}"))) for k in range(SKETCH_WORDS)), F.lit(0))
     gap = F.abs(F.col(f"n{one}") - F.col(f"n{other}"))
     return F.greatest(differing, gap) * F.lit(1 + SIMILARITY) <= F.lit(1 - SIMILARITY) * (F.col(f"n{one}") + F.col(f"n{other}")) + F.lit(1e-6)
 
@@ -113,49 +126,83 @@ def suffixed(sketched: DataFrame, end: str, **names: str) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) those whose lines are similar enough."""
-    left, right = texts.select(F.col("key").alias("a"), F.col("line").alias("line_a")), texts.select(F.col("key").alias("b"), F.col("line").alias("line_b"))
-    both = pairs.join(left, "a").join(right, "b")
-    sets = both.withColumn("x", shingles(F.col("line_a"))).withColumn("y", shingles(F.col("line_b"))).select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("both"))
-    return sets.where(F.col("both") >= SIMILARITY * (F.col("nx") + F.col("ny") - F.col("both"))).select("a", "b")
+    """Of the pairs (a, b) those whose lines are similar enough. The sets of lines b, of which there are fewer
+    than pairs, are made before they meet their pairs."""
+    left = texts.select(F.col("key").alias("a"), F.col("line").alias("line_a"))
+    right = texts.join(pairs.select(F.col("b").alias("key")).distinct(), "key", "left_semi").select(F.col("key").alias("b"), shingles(F.col("line")).alias("y"))
+    sets = pairs.join(left, "a").join(right, "b").select("a", "b", shingles(F.col("line_a")).alias("x"), "y")
+    counted = sets.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("both"))
+    return counted.where(F.col("both") >= SIMILARITY * (F.col("nx") + F.col("ny") - F.col("both"))).select("a", "b")
+
+
+def still_open(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """band, key, root of the rows (band, key) whose band holds lines of more than one component."""
+    named = rows.join(roots, F.col("key") == F.col("node"), "left").select("band", "key", F.coalesce("root", "key").alias("root"))
+    every = W.partitionBy("band")
+    return named.withColumn("low", F.min("root").over(every)).withColumn("high", F.max("root").over(every)).where("low < high").select("band", "key", "root")
 
 
 def line_components(lines: DataFrame) -> DataFrame:
-    """(node, root) over the keys of lines (key, line); lines without a near copy are left out."""
-    distinct = lines.groupBy("key").agg(F.first("line").alias("line"))
-    members = stored(band_members(distinct), "line-bands")
+    """node, node_check, root: key, check and component of the lines (key, line) that share a band with others."""
+    members = stored(band_members(lines), "line-bands")
     wanted = stored(members.select("key").distinct(), "line-members")
-    if wanted.count() <= BROADCAST_KEYS:
-        wanted = F.broadcast(wanted)
-    texts = stored(lines.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("line").alias("line")), "line-texts")
-    sketched = stored(sketches(texts), "line-sketches")
-    stars = members.where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b")).distinct()
-    stars = stars.join(suffixed(sketched, "_a", key="a"), "a").join(suffixed(sketched, "_b", key="b"), "b").where(may_match("_a", "_b")).select("a", "b")
-    links = stored(verified(stars, texts), "line-links")
-    roots = components(links)
-    named = members.join(roots, F.col("key") == F.col("node"), "left").select("band", "key", F.coalesce("root", "key").alias("root"))
-    every = W.partitionBy("band")
-    unsettled = named.withColumn("low", F.min("root").over(every)).withColumn("high", F.max("root").over(every)).where("low < high").select("band", "key", "root")
-    unsettled = stored(unsettled.join(sketched, "key"), "line-unsettled")
-    other = suffixed(unsettled, "_b", band="band", key="b")
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
+    texts = stored(lines.join(few, "key", "left_semi").groupBy("key").agg(F.min("line").alias("line")), "line-texts")
+    pairs = stored(members.where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b")).distinct(), "line-pairs")
+    roots = components(verified(pairs, texts))
+    # the leaders of the first round were compared with all others of their bands
+    rows = stored(still_open(members.where("key <> least").select("band", "key"), roots), "line-open")
+    forget(members, wanted, pairs)
+    sketched = stored(sketches(texts.join(rows.select("key").distinct(), "key", "left_semi")), "line-sketches")
+    turn, n_open = 0, rows.count()
+    while n_open:
+        turn += 1
+        # leaders by hashes of their own for each band: an XOR with one keeps the key in the minimum
+        salts = [F.xxhash64("band", F.lit(turn), F.lit(k)) for k in range(LEADERS)]
+        first = rows.groupBy("band").agg(*(F.min(F.col("key").bitwiseXOR(salt)).alias(f"l{k}") for k, salt in enumerate(salts)))
+        first = first.select(F.col("band").alias("at"), F.array_distinct(F.array(*(F.col(f"l{k}").bitwiseXOR(salt) for k, salt in enumerate(salts)))).alias("leaders"))
+        led = stored(rows.join(first, F.col("band") == F.col("at")).drop("at"), "line-led")
+        heads = led.where(F.array_contains("leaders", F.col("key"))).select(F.col("band").alias("at"), F.col("key").alias("b"), F.col("root").alias("head"))
+        pairs = led.join(heads, (F.col("band") == F.col("at")) & (F.col("root") != F.col("head"))).select(F.col("key").alias("a"), "b").distinct()
+        pairs = pairs.join(suffixed(sketched, "_a", key="a"), "a").join(suffixed(sketched, "_b", key="b"), "b").where(may_match("_a", "_b")).select("a", "b")
+        pairs = stored(pairs, "line-pairs")
+        links = stored(verified(pairs, texts), "line-links")
+        found, before = links.count(), rows
+        if found:
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(links))
+        rows = stored(still_open(led.where(~F.array_contains("leaders", F.col("key"))).select("band", "key"), roots), "line-open")
+        forget(before, led, pairs, links)
+        if found < WORTH_A_ROUND * n_open:
+            break
+        n_open = rows.count()
+    rows = stored(rows.join(sketched, "key"), "line-unsettled")
     near = (F.col("root") < F.col("root_b")) & may_match("", "_b")
-    rest = unsettled.withColumnRenamed("band", "band_a").join(other, (F.col("band_a") == F.col("band")) & near).select(F.col("key").alias("a"), "b").distinct()
-    return components(links.unionAll(verified(rest, texts)))
+    rest = rows.withColumnRenamed("band", "band_a").join(suffixed(rows, "_b", band="band", key="b"), (F.col("band_a") == F.col("band")) & near).select(F.col("key").alias("a"), "b").distinct()
+    links = stored(verified(stored(rest, "line-pairs"), texts), "line-links")
+    if links.count():
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(links))
+    nodes = stored(texts.join(roots, F.col("key") == F.col("node"), "left").select(F.col("key").alias("node"), F.hash("line").alias("node_check"), F.coalesce("root", "key").alias("root")), "line-nodes")
+    forget(rows, sketched, texts, links)
+    return nodes
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, dropped: the positions (from 0, in order) of the lines that a copy stands in for;
     documents that lose none are left out."""
     lines = lines_of(docs, id_col, text_col)
-    roots = line_components(lines.select("key", "line"))
-    place = F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("pos")
-    at = stored(lines.select("key", "doc_id", "pos", place.cast("decimal(38,0)").alias("place")), "line-places")
-    by_key = at.groupBy("key").agg(F.min("place").alias("place"), F.max("place").alias("last"))
-    named = by_key.join(roots, F.col("key") == F.col("node"), "left").select("key", "place", "last", F.coalesce("root", "key").alias("root"))
-    named = stored(named, "line-roots")
-    kept = named.groupBy("root").agg(F.min("place").alias("kept"), F.max("last").alias("last")).where("kept < last")
-    by_key = named.join(kept, "root").select("key", "kept")
-    gone = at.join(by_key, "key").where("place <> kept")
+    nodes = line_components(lines.select("key", "line"))
+    place = F.struct("doc_id", "pos")
+    if isinstance(docs.schema[id_col].dataType, NumericType):  # one number is compared faster
+        place = (F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("pos")).cast("decimal(38,0)")
+    at = stored(lines.select("key", "check", "doc_id", "pos", place.alias("place")), "line-places")
+    by_line = at.groupBy("key", "check").agg(F.min("place").alias("place"), F.max("place").alias("last"))
+    by_line = by_line.join(nodes, (F.col("key") == F.col("node")) & (F.col("check") == F.col("node_check")), "left").where("root IS NOT NULL OR place < last")
+    # a line without near copies is a component by itself; its check tells it from another line of its key
+    by_line = stored(by_line.select("key", "check", "place", "last", F.coalesce("root", "key").alias("root"), F.when(F.col("root").isNull(), F.col("check")).alias("alone")), "line-roots")
+    kept = by_line.groupBy("root", "alone").agg(F.min("place").alias("kept"), F.max("last").alias("last")).where("kept < last")
+    kept = kept.select(F.col("root").alias("r"), F.col("alone").alias("l"), "kept")
+    by_line = by_line.join(kept, (F.col("root") == F.col("r")) & F.col("alone").eqNullSafe(F.col("l"))).select("key", "check", "kept")
+    gone = at.join(by_line, ["key", "check"]).where("place <> kept")
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
 
 

@@ -9,9 +9,9 @@ SF = "/root/testdata/sf0.001"
 
 def brute_dropped(rows, similarity=0.8):
     """{doc_id: dropped positions} by comparing all pairs of distinct lines."""
-    lines = [(i, p, x) for i, t in rows if i is not None and t is not None for p, x in enumerate(t.split("\n")) if len(x) >= line_dedup.MIN_CHARS]
+    lines = [(i, p, x) for i, t in rows if i is not None and t is not None for p, x in enumerate(t.split("\n")) if any(c.isalpha() or c.isnumeric() for c in x)]
     distinct = sorted({x for _, _, x in lines})
-    sets = [{x[k : k + line_dedup.SHINGLE] for k in range(len(x) - line_dedup.SHINGLE + 1)} for x in distinct]
+    sets = [{x[k : k + line_dedup.SHINGLE] for k in range(max(1, len(x) - line_dedup.SHINGLE + 1))} for x in distinct]
     parent = list(range(len(distinct)))
 
     def root(k):
