@@ -1,16 +1,24 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped block by block, so every block is a line; blocks inside page furniture (menus,
-headers, footers, sidebars, notices, adverts, forms, reader comments) count as empty lines. Text
-lengths are summed over sliding windows of lines. Where the sum surges from nothing the main text
-begins, where it dives back to nothing it ends; the heaviest such stretch is the article. If the
-page marks an article or main element around most of that stretch, the element's bounds replace
-the surge and dive points, so that short first or last paragraphs stay. Else paragraphs beside the
-stretch that have the same parent belong to it too, so an advert can't cut an article in two.
+Markup is stripped block by block, so every block is a line, and its length is that of its text
+outside links: menus and link lists are nearly empty lines. Lengths are summed over sliding windows of
+lines. Where the sum surges from nothing text begins, where it dives back to nothing it ends; the
+heaviest such stretch, after which the rest of the page is judged, is the core of the article.
+
+The article may go on before or after the stretch (short first and last lines, text beyond an advert),
+so the stretch names its container: the innermost element around most of it, widened while the next
+element adds more text lines than link lines, up to the article or main element that the page marks.
+What lies in the container is kept. Where only the page itself contains the stretch, what lies
+between the surge and dive points of a stretch is kept.
+
+Tags, roles and class names of page furniture (menus, headers, footers, sidebars, notices, adverts,
+forms, reader comments) are a prior: their blocks count as empty lines and are left out, unless the
+element holds most of the page's text or its main heading; then it is a wrapper of the article.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined
-by one line break; nothing else is dropped or cut. Null and empty pages give an empty text.
-Repeated rows give repeated results; other columns of the input are ignored.
+by one line break; nothing else is dropped or cut. Null and empty pages, and pages without any text
+outside furniture, give an empty text. Of two equal stretches the first is taken. Repeated rows give
+repeated results; an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -20,15 +28,16 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from filterlab.llm.common import small_batches
+from filterlab.llm.common import mapped
 
 WINDOW, SURGE = 3, 40
+#: An element that holds this share of the page's text is a wrapper, whatever its name.
+WRAPPER_SHARE = 0.7
 #: Elements whose content is no text of the page.
-_MUTE = "script|style|noscript|template|svg|math|iframe|object|canvas|textarea|select|audio|video|title"
+_MUTE = "script|style|noscript|template|svg|iframe|object|canvas|textarea|select|audio|video|title"
 _MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<({_MUTE})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*|[^<>]*)>", re.S | re.I)
 #: HTML elements that stand inside a line of text, elements without content, and furniture.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -38,21 +47,23 @@ HOLDERS = frozenset(("article", "main"))
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 _NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|popup|modal|overlay|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|footer|header|masthead|comments?|commentlist|replies|respond|disqus|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|pagination|pager|widget|toolbar|skip-link|copyright)(?:$|[\s_-])", re.I)
-_ATTR = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_HEADLINE = re.compile(r"(?:^|[\s_-])(?:entry|post|article|story)[_-]?header(?:$|[\s_-])", re.I)
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPACE = re.compile(r"\s+")
 
 
 def _kind(tag: str, attributes: str, in_holder: bool) -> str:
-    """'out' for page furniture, 'holder' for what marks the article, else ''."""
+    """'hidden' for what no reader sees, 'out' for page furniture by name, 'holder' for what marks the article, else ''."""
     named = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(attributes)} if attributes.strip() else {}
-    if "hidden" in named or named.get("aria-hidden", "").lower() == "true":
-        return "out"
+    if "hidden" in named or named.get("aria-hidden", "").lower() == "true" or _UNSEEN.search(named.get("style", "")):
+        return "hidden"
     role = named.get("role", "").lower()
     if tag in FURNITURE or role in FURNITURE_ROLES or (tag == "header" and not in_holder):
         return "out"
     if tag in ("body", "html"):
         return ""
-    if tag not in INLINE and tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and any(_NAME.search(named.get(k, "")) for k in ("class", "id")):
+    if tag not in INLINE and tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and any(_NAME.search(_HEADLINE.sub(" ", named.get(k, ""))) for k in ("class", "id")):
         return "out"
     if tag in HOLDERS or role == "main" or named.get("itemprop", "").lower() == "articlebody":
         return "holder"
@@ -61,64 +72,83 @@ def _kind(tag: str, attributes: str, in_holder: bool) -> str:
 
 @dataclass
 class Block:
-    """A line of the page: its text, whether it is furniture, the elements around it (ids from the
-    outermost on), which of them mark the article, and the tag of the innermost."""
+    """A line of the page: its text, characters outside links, and the elements around it as
+    (id, kind, tag), the outermost first."""
 
     text: str
-    furniture: bool
-    around: tuple[int, ...]
-    holders: tuple[int, ...]
-    tag: str
-
-    @property
-    def parent(self) -> int:
-        return self.around[-2] if len(self.around) > 1 else 0
+    plain: int
+    around: tuple[tuple[int, str, str], ...]
+    furniture: bool = False
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of a page that have text, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, str, int]] = []
+    stack: list[tuple[int, str, str]] = []
     text: list[str] = []
-    elements, muted, at = 0, 0, 0
+    linked: list[str] = []
+    elements, in_link, at = 0, False, 0
+
+    def said(parts: list[str]) -> str:
+        return _SPACE.sub(" ", html.unescape("".join(parts))).strip()
+
+    def add(part: str) -> None:
+        text.append(part)
+        if in_link:
+            linked.append(part)
 
     def flush() -> None:
         if text:
-            said = _SPACE.sub(" ", html.unescape("".join(text))).strip()
-            if said:
-                out.append(Block(said, muted > 0, tuple(n for _, _, n in stack), tuple(n for _, k, n in stack if k == "holder"), stack[-1][0] if stack else ""))
+            if whole := said(text):
+                out.append(Block(whole, max(0, len(whole) - len(said(linked))) if linked else len(whole), tuple(stack)))
             text.clear()
+            linked.clear()
 
     for m in _MARKUP.finditer(page):
         if m.start() > at:
-            text.append(page[at : m.start()])
+            add(page[at : m.start()])
         at = m.end()
         tag = m[3].lower() if m[3] else ""
         if not tag:
             continue
         if tag in INLINE:
             if tag == "br":
-                text.append(" ")
+                add(" ")
+            elif tag == "a":
+                in_link = not m[2]
             continue
         flush()
         if m[2]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
+            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][2] == tag), None)
             if depth is not None:
-                muted -= sum(k == "out" for _, k, _ in stack[depth:])
                 del stack[depth:]
         elif tag not in VOID and not m[4].rstrip().endswith("/"):
             # these end where the next one begins, and a paragraph ends where any block does
-            if stack and (stack[-1][0] == "p" or (stack[-1][0] == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option"))):
-                muted -= stack.pop()[1] == "out"
-            kind = _kind(tag, m[4], any(k == "holder" for _, k, _ in stack))
-            muted += kind == "out"
+            if stack and (stack[-1][2] == "p" or (stack[-1][2] == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option"))):
+                stack.pop()
             elements += 1
-            stack.append((tag, kind, elements))
-    text.append(page[at:])
+            stack.append((elements, _kind(tag, m[4], any(k == "holder" for _, k, _ in stack)), tag))
+    add(page[at:])
     flush()
     return out
 
 
+def marked(found: list[Block]) -> list[Block]:
+    """found, with furniture marked: what a name in the list is around, unless that is a wrapper."""
+    weight: dict[int, int] = {}
+    headed: set[int] = set()
+    seen = [b for b in found if all(k != "hidden" for _, k, _ in b.around)]
+    for b in seen:
+        for n, _, tag in b.around:
+            weight[n] = weight.get(n, 0) + b.plain
+        if b.around and b.around[-1][2] == "h1":
+            headed.update(n for n, _, tag in b.around if tag != "header")
+    most = WRAPPER_SHARE * sum(b.plain for b in seen)
+    for b in seen:
+        b.furniture = any(k == "out" and weight[n] < most and n not in headed for n, k, _ in b.around)
+    return seen
+
+
 def stretches(lengths: np.ndarray) -> list[tuple[int, int]]:
     """From surge to dive: a stretch begins where the sum of WINDOW lines rises over the bound, and
     ends where a line and the lines of the window after it hold nothing."""
@@ -133,33 +163,49 @@ def stretches(lengths: np.ndarray) -> list[tuple[int, int]]:
     return spans + [(begin, len(lengths))] if begin is not None else spans
 
 
+def container(found: list[Block], first: int, end: int) -> int | None:
+    """The element that a stretch of lines makes out to be the article's; None if only the page is."""
+    weight: dict[int, int] = {}
+    for b in found[first:end]:
+        for n, _, _ in b.around[:-1] if not b.furniture else ():
+            weight[n] = weight.get(n, 0) + b.plain
+    whole = sum(b.plain for b in found[first:end] if not b.furniture)
+    heavy = [n for n, w in weight.items() if 2 * w > whole]
+    if not heavy:
+        return None
+    path = next(b.around for b in found[first:end] if any(n == max(heavy) for n, _, _ in b.around))
+    path = path[: 1 + next(k for k, (n, _, _) in enumerate(path) if n == max(heavy))]
+    while path and path[-1][1] != "holder":
+        held = any(k == "holder" for _, k, _ in path[:-1])
+        if len(path) < 2 or (not held and path[-2][2] in ("body", "html")):
+            break
+        inside, around = path[-1][0], path[-2][0]
+        more = [b for b in found if not b.furniture and (ids := [n for n, _, _ in b.around]) and around in ids and inside not in ids]
+        if not held and sum(2 * b.plain < len(b.text) for b in more) * 2 > len(more):
+            break
+        path = path[:-1]
+    return path[-1][0] if path[-1][2] not in ("body", "html") else None
+
+
 def main_text(page: str | None) -> str:
     """The article of a page."""
-    found = blocks(page or "")
-    lengths = np.array([0 if b.furniture else len(b.text) for b in found])
+    found = marked(blocks(page or ""))
+    lengths = np.array([0 if b.furniture else b.plain for b in found])
     if not lengths.any():
         return ""
-    first, end = max(stretches(lengths), key=lambda s: (lengths[s[0] : s[1]].sum(), -s[0]), default=(0, len(found)))
-    inside, whole = found[first:end], lengths[first:end].sum()
-    weight: dict[int, int] = {}
-    parents: dict[int, int] = {}
-    for b, n in zip(inside, lengths[first:end].tolist(), strict=True):
-        for h in b.holders:
-            weight[h] = weight.get(h, 0) + n
-        parents[b.parent] = parents.get(b.parent, 0) + n
-    holders = [h for h, w in weight.items() if 2 * w > whole]
-    if holders:  # the innermost element that holds most of the stretch
-        kept = [not b.furniture and max(holders) in b.around for b in found]
-    else:  # furniture may have cut the article: its other stretches are paragraphs of the same parent
-        parent = max(parents, key=parents.get)
-        kept = [not b.furniture and (first <= k < end or (b.parent == parent and b.tag in PARAGRAPHS)) for k, b in enumerate(found)]
+    spans = stretches(lengths)
+    first, end = max(spans, key=lambda s: (lengths[s[0] : s[1]].sum(), -s[0]))
+    around = container(found, first, end)
+    if around is not None:
+        kept = [not b.furniture and any(n == around for n, _, _ in b.around) for b in found]
+    else:
+        kept = [not b.furniture and any(x <= k < y for x, y in spans) for k, b in enumerate(found)]
     return "\n".join(b.text for b, k in zip(found, kept, strict=True) if k)
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text of every row of pages."""
-    @F.pandas_udf("string")
-    def main_texts(html: pd.Series) -> pd.Series:
-        return pd.Series([main_text(p) for p in html], dtype=object)
+    def texts(pages_of: list[str | None]) -> list[pa.Array]:
+        return [pa.array([main_text(p) for p in pages_of], pa.string())]
 
-    return small_batches(pages).select("page_id", "url", main_texts("html").alias("text"))
+    return mapped(pages, "html", lambda: texts, "text string", ["page_id", "url"])
