@@ -1,57 +1,70 @@
 """Quality rules: base counts and a distribution-divergence verdict.
 
 Base counts come from the words of the whole text. The verdict compares a document's
-character-class histogram and its common-word histogram with a reference for each language by
-Jensen-Shannon distance, and takes the nearest reference. References are counts over all
-documents of a language, so one document hardly moves them.
+character-class histogram (classes are Unicode categories) and its common-word histogram with a
+reference for each language by Jensen-Shannon distance, and takes the nearest reference. References
+are counts over all documents of a language, so one document hardly moves them.
 
 Words that are not common are no cell of the common-word histogram: they are most of any text and
 would hide the others. Instead, what a document lacks of its reference's share of common words is
 a cell that the reference has nothing in, so a text without common words is at distance 1.
 
+Limits come from the spread of all documents around their nearest reference: its upper quartile and
+``SPREAD`` times its interquartile range more, but no less and no more than the bounds below, so that
+neither a very even corpus rejects ordinary prose nor a very mixed one keeps everything.
+
 Guards: the character-class distance is used from ``MIN_CHARS`` characters on, the common-word
 distance from ``MIN_WORDS`` words on, if each reference lets expect ``MIN_COMMON`` common words in so
-many; shorter documents pass the divergence test. A document fails it only beyond the limits below,
-which lie far outside the spread of running prose.
+many; shorter documents pass the divergence test. So do documents whose language has a name but no
+reference: one is made from ``MIN_REFERENCE`` words on.
 
 Null and empty texts have no words and fail the base rules. Null languages serve as no reference.
-Repeated rows give repeated results. Other columns of the input are ignored.
+Repeated rows give repeated results; an empty table gives an empty result. Other columns of the input
+are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from filterlab.llm.common import small_batches
+from filterlab.llm.common import BATCH_ROWS, mapped, stored
 
-MIN_WORDS, MIN_CHARS = 50, 200
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.90
+MIN_WORDS, MIN_CHARS, MIN_REFERENCE = 50, 200, 1000
+#: Least and greatest limits of the class distance and of the word distance.
+CLASS_LIMITS, WORD_LIMITS, SPREAD = (0.25, 0.30), (0.75, 0.90), 3.0
 #: Common words that a text of some language has by expectation; fewer can be none by chance.
 MIN_COMMON = 12
-COMMON_WORDS, MAX_LANGS = 64, 200
+COMMON_WORDS = 64
 #: Words whose counts a task holds.
 HELD_WORDS = 200_000
-#: A longer word is not counted as a common word, only as one of all.
-MAX_COMMON_BYTES = 11
 WINDOW = 8
 SYMBOL = re.compile(r"[#*$%&|<>]")
-#: Character classes, Java and Python alike: lower, upper, digits, white space, ASCII punctuation, the rest.
-CLASSES = (r"[a-zß-öø-ÿ]", r"[A-ZÀ-ÖØ-Þ]", r"[0-9]", r"[\x20\x09-\x0D]", r"[!-/:-@\[-`{-~]")
-_CLASS_OF = np.full(256, 5, np.int8)
-for _k, _p in enumerate(CLASSES):
-    _CLASS_OF[[i for i in range(256) if re.fullmatch(_p, chr(i))]] = _k
+#: Character classes by Unicode category; white space is a class of its own, all other categories are the last.
+CLASSES = (("Ll",), ("Lu", "Lt"), ("Lm", "Lo"), ("Mn", "Mc", "Me"), ("Nd", "Nl", "No"), ("Pc", "Pd", "Ps", "Pe", "Pi", "Pf", "Po"), ("Sm", "Sc", "Sk", "So"))
+N_CLASSES = len(CLASSES) + 2
+
+
+@functools.cache
+def _class_of() -> np.ndarray:
+    """The class of every code point."""
+    by = {c: k for k, cs in enumerate(CLASSES) for c in cs}
+    out = np.fromiter((by.get(unicodedata.category(chr(p)), N_CLASSES - 1) for p in range(0x110000)), np.int8, 0x110000)
+    out[[p for p in range(0x3001) if chr(p).isspace()]] = N_CLASSES - 2
+    return out
 
 
 def class_counts(text: str) -> np.ndarray:
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.bincount(_CLASS_OF[np.minimum(points, 255)] if len(points) == 0 or points.max() < 256 else np.where(points < 256, _CLASS_OF[np.minimum(points, 255)], 5), minlength=6)[:6]
+    return np.bincount(_class_of()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)], minlength=N_CLASSES)
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -75,47 +88,47 @@ def word_distance(got: np.ndarray, n: int, shares: np.ndarray) -> float | None:
 
 
 def language_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> pd.DataFrame:
-    """lang, classes (6 shares), words (the most common), word_shares (theirs, then all others').
+    """lang, classes (their shares), words (the most common), word_shares (theirs, then all others').
 
-    Counted over all documents of the ``MAX_LANGS`` most frequent languages, in one pass: counts
-    are summed in each task, let go at HELD_WORDS words, and only then shuffled, so a hot language or
-    word costs a few rows for each task."""
-    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, list] = {}  # lang -> [class counts, words, count of each common word]
+    Counted over all documents in one pass: counts are summed in each task, let go at HELD_WORDS
+    words, and only then shuffled, so a hot language or word costs a few rows for each task."""
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {}  # lang -> [class counts, all words, count of each word]
 
-        def let_go() -> Iterator[pd.DataFrame]:
+        def let_go() -> Iterator[pa.RecordBatch]:
             for lang, (classes, n, words) in held.items():
-                yield pd.DataFrame({"lang": lang, "kind": [f"c{k}" for k in range(6)] + ["n"] + ["w"] * len(words), "word": [None] * 7 + [w.decode() for w in words], "n": [*classes.tolist(), n, *words.values()]})
+                kinds = [f"c{k}" for k in range(N_CLASSES)] + ["n"] + ["w"] * len(words)
+                names = [None] * (N_CLASSES + 1) + [w.decode("utf-8", "replace") for w in words]
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(kinds), pa.string()), "kind": pa.array(kinds, pa.string()), "word": pa.array(names, pa.string()), "n": pa.array([*classes.tolist(), n, *words.values()], pa.int64())})
             held.clear()
 
-        for pdf in batches:
-            for lang, t in zip(pdf.lang, pdf.text, strict=True):
-                mine = held.setdefault(lang, [np.zeros(6, np.int64), 0, {}])
-                mine[0] += class_counts(t)
-                every, words = t.lower().encode().split(), mine[2]
-                for w in every:
-                    if len(w) <= MAX_COMMON_BYTES:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(at, BATCH_ROWS)
+                for lang, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    mine = held.setdefault(lang, [np.zeros(N_CLASSES, np.int64), 0, {}])
+                    mine[0] += class_counts(t)
+                    every, words = t.lower().encode("utf-8", "surrogatepass").split(), mine[2]
+                    for w in every:
                         words[w] = words.get(w, 0) + 1
-                mine[1] += len(every)
-            if sum(len(x[2]) for x in held.values()) > HELD_WORDS:
-                yield from let_go()
+                    mine[1] += len(every)
+                if sum(len(x[2]) for x in held.values()) > HELD_WORDS:
+                    yield from let_go()
         yield from let_go()
 
-    have = small_batches(docs).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    summed = have.mapInPandas(counts, "lang string, kind string, word string, n long").groupBy("lang", "kind", "word").agg(F.sum("n").alias("n"))
-    totals = summed.groupBy("lang").agg(F.sum(F.when(F.col("kind") == "n", F.col("n"))).alias("total"), *(F.sum(F.when(F.col("kind") == f"c{k}", F.col("n"))).alias(f"c{k}") for k in range(6)))
-    # the common words of each language: array_agg of the top by a bounded aggregate
+    have = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
+    summed = stored(have.mapInArrow(counts, "lang string, kind string, word string, n long").groupBy("lang", "kind", "word").agg(F.sum("n").alias("n")), "quality-counts")
+    totals = summed.where("kind <> 'w'").groupBy("lang").agg(F.sum(F.when(F.col("kind") == "n", F.col("n"))).alias("total"), *(F.sum(F.when(F.col("kind") == f"c{k}", F.col("n"))).alias(f"c{k}") for k in range(N_CLASSES)))
     # a limit by rank is applied before the shuffle too: a hot language sends COMMON_WORDS rows from each task
     ranked = summed.where("kind = 'w'").withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= COMMON_WORDS)
     top = ranked.groupBy("lang").agg(F.collect_list(F.struct(F.col("word").alias("w"), "n")).alias("top"))
-    rows = totals.join(top, "lang", "left").orderBy(F.desc("total"), "lang").limit(MAX_LANGS).collect()  # MAX_LANGS rows at most
+    rows = totals.where(F.col("total") >= MIN_REFERENCE).join(top, "lang").orderBy("lang").collect()  # COMMON_WORDS words for each language
     out = []
     for r in rows:
-        classes = np.array([r[f"c{k}"] or 0 for k in range(6)], float)
-        words = sorted(((x.w, x.n) for x in r.top or []), key=lambda x: (-x[1], x[0]))
-        shares = np.array([n for _, n in words] + [max(0, (r.total or 0) - sum(n for _, n in words))], float)
-        if classes.sum() and shares.sum():
-            out.append({"lang": r.lang, "classes": classes / classes.sum(), "words": [w for w, _ in words], "word_shares": shares / shares.sum()})
+        classes = np.array([r[f"c{k}"] for k in range(N_CLASSES)], float)
+        words = sorted(((x.w, x.n) for x in r.top), key=lambda x: (-x[1], x[0]))
+        shares = np.array([n for _, n in words] + [r.total - sum(n for _, n in words)], float)
+        out.append({"lang": r.lang, "classes": classes / classes.sum(), "words": [w for w, _ in words], "word_shares": shares / shares.sum()})
     return pd.DataFrame(out, columns=["lang", "classes", "words", "word_shares"])
 
 
@@ -140,7 +153,8 @@ def repeated_window_words(ids: np.ndarray, width: int = WINDOW) -> int:
 
 
 def judge(text: str | None, refs: pd.DataFrame) -> tuple:
-    """The counts, base_failed, the two distances (None where a guard holds) and kept of one text."""
+    """The counts, base_failed, and the nearest reference by classes and by words with its distance, None
+    where a guard holds, of one text."""
     if text is None:
         text = ""
     words = text.encode("utf-8", "surrogatepass").split()
@@ -150,31 +164,52 @@ def judge(text: str | None, refs: pd.DataFrame) -> tuple:
     lines = [x for x in text.split("\n") if x.strip(" \t\n\v\f\r")]
     repeat = repeated_window_words(ids)
     failed = n < 20 or 100 * repeat > 30 * n
-    near_class = near_word = None
+    by_class = by_words = (None, None)
     if len(refs):
         if len(text) >= MIN_CHARS:
             mine = class_counts(text)
-            near_class = float(js_distance(mine / mine.sum(), np.stack(refs.classes)).min())
+            far = js_distance(mine / mine.sum(), np.stack(refs.classes))
+            by_class = (refs.lang.iloc[int(far.argmin())], float(far.min()))
         if n >= MIN_WORDS:
             low: dict[bytes, int] = {}
             for w, k in zip(names, np.bincount(ids, minlength=len(names)).tolist(), strict=True):
                 w = w.decode("utf-8", "surrogatepass").lower()
                 low[w] = low.get(w, 0) + k
             each = [word_distance(np.array([low.get(w, 0) for w in common], float), n, shares) for common, shares in zip(refs.words, refs.word_shares, strict=True)]
-            near_word = None if None in each else min(each)
-    diverges = (near_class is not None and near_class > MAX_CLASS_DISTANCE) or (near_word is not None and near_word > MAX_WORD_DISTANCE)
-    return n, chars, len(SYMBOL.findall(text)), len(lines) - len(set(lines)), repeat, failed, near_class, near_word, not failed and not diverges
+            if None not in each:
+                by_words = (refs.lang.iloc[int(np.argmin(each))], min(each))
+    return n, chars, len(SYMBOL.findall(text)), len(lines) - len(set(lines)), repeat, failed, *by_class, *by_words
+
 
+FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_lang string, class_distance double, word_lang string, word_distance double"
 
-FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_distance double, word_distance double, kept boolean"
+
+def limits(judged: DataFrame, lang_col: str, distance_col: str, least: float, most: float) -> DataFrame:
+    """lang_col, limit: how far from each reference its documents may lie. Distances are counted by
+    thousandths, so a language is at most a thousand rows and the quartiles don't depend on any order."""
+    cells = judged.where(F.col(distance_col).isNotNull()).groupBy(lang_col, F.round(distance_col, 3).alias("d")).agg(F.count("*").alias("n"))
+    low, high = (F.percentile("d", F.lit(q), F.col("n")) for q in (0.25, 0.75))
+    spread = cells.groupBy(lang_col).agg(low.alias("low"), high.alias("high"))
+    return spread.select(lang_col, F.least(F.lit(most), F.greatest(F.lit(least), F.col("high") + F.lit(SPREAD) * (F.col("high") - F.col("low")))).alias(distance_col.replace("distance", "limit")))
 
 
 def quality(docs: DataFrame, refs: pd.DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id and FIELDS of every row. refs: of language_references(); counted over docs if None."""
+    """doc_id, FIELDS, class_limit, word_limit and kept of every row. refs: of language_references();
+    counted over docs if None."""
     refs = language_references(docs, text_col, lang_col) if refs is None else refs
 
-    @F.pandas_udf(FIELDS)
-    def judged(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([judge(t, refs) for t in texts], columns=[x.split()[0] for x in FIELDS.split(", ")])
+    def judging(texts: list[str | None]) -> list[pa.Array]:
+        rows = [judge(t, refs) for t in texts]
+        kinds = [pa.int64()] * 5 + [pa.bool_(), pa.string(), pa.float64(), pa.string(), pa.float64()]
+        return [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+
+    named = F.col(lang_col).isNotNull() & ~F.col(lang_col).isin(refs.lang.tolist())
+    slim = docs.select(F.col(id_col).alias("doc_id"), named.alias("no_reference"), F.col(text_col).alias("text"))
+    judged = stored(mapped(slim, "text", lambda: judging, FIELDS, ["doc_id", "no_reference"]), "quality-judged")
+
+    def beyond(what: str) -> Column:
+        return F.coalesce(F.col(f"{what}_distance") > F.col(f"{what}_limit"), F.lit(False))
 
-    return small_batches(docs).select(F.col(id_col).alias("doc_id"), judged(F.col(text_col)).alias("q")).select("doc_id", "q.*")
+    both = judged.join(limits(judged, "class_lang", "class_distance", *CLASS_LIMITS), "class_lang", "left").join(limits(judged, "word_lang", "word_distance", *WORD_LIMITS), "word_lang", "left")
+    kept = ~F.col("base_failed") & (F.col("no_reference") | ~(beyond("class") | beyond("word")))
+    return both.select("doc_id", *(x.split()[0] for x in FIELDS.split(", ")), "class_limit", "word_limit", kept.alias("kept"))

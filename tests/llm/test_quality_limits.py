@@ -16,5 +16,5 @@ def test_word_distance_alone_rejects(spark):
     got = quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).toPandas().set_index("doc_id")
     assert got.kept[list(range(80))].all()
     for k in (1000, 1001):
-        assert not got.kept[k] and not got.base_failed[k] and got.class_distance[k] < quality.MAX_CLASS_DISTANCE and got.word_distance[k] > quality.MAX_WORD_DISTANCE
+        assert not got.kept[k] and not got.base_failed[k] and got.class_distance[k] <= got.class_limit[k] and got.word_distance[k] > got.word_limit[k]
     assert got.kept[1002] and np.isnan(got.word_distance[1002])
