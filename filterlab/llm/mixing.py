@@ -2,13 +2,16 @@
 
 Documents are shuffled by a hash of their id. Within its source, the copy ``e`` of a document has
 the virtual finish time ``(e * source tokens + cumulative tokens) / target``. All copies are
-ordered by that time and cut where their tokens reach the budget, so every source runs out of its
-share at the same moment. Cumulative sums are two-level (buckets of the shuffled order, then a
-window inside a bucket), so a source with a third of all rows spreads over many tasks.
+range-sorted by that time and the order is cut where its tokens reach the budget, so every source runs
+out of its share at the same moment. Cumulative sums are two-level (buckets of the shuffled order or ranges of
+the sorted one, then a window inside each), so a source with a third of all rows spreads over many tasks.
 
 Null texts have no words. The null source is a source of its own, last in order. Documents of no
-size are never taken. Repeated rows are separate documents. An empty table gives an empty mix.
-Columns of the input other than those named are ignored by ``mix_plan`` and carried by ``mixed``.
+size are never taken. Repeated rows are separate documents; ties in the shuffled order go by id, size and a
+hash of the text, so only rows alike in all of these can change places between runs. An empty table gives an
+empty mix. Columns of the input other than those named are ignored by ``mix_plan`` and carried by ``mixed``.
+The table of sources (one row each, with their sizes) is ranked in one task; it is broadcast up to
+``BROADCAST_SOURCES`` rows and joined by a shuffle beyond.
 """
 
 from __future__ import annotations
@@ -19,8 +22,8 @@ from pyspark.sql.window import Window as W
 
 from filterlab.llm.common import WORD, stored
 
-#: Rows of a bucket of the shuffled order on average, buckets at least, ranges of a time histogram.
-ROWS_PER_BUCKET, MIN_BUCKETS, TIME_BUCKETS = 50_000, 64, 4096
+#: Rows of a bucket of the shuffled order, and of a range of the sorted one, on average; buckets at least; sources broadcast.
+ROWS_PER_BUCKET, MIN_BUCKETS, BROADCAST_SOURCES = 50_000, 64, 10_000
 
 
 def n_words(text: Column) -> Column:
@@ -50,69 +53,61 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
     return ranked.withColumn("target", F.least("ceiling", F.coalesce(level * F.col("weight"), F.col("ceiling")))).select("source", "source_size", "n", "target")
 
 
-def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most: int = 3, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size, source_size, target, first_time (of copy 0), copies, taken of every row."""
+def by_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """rows with the columns of their source."""
+    there = sources.withColumnRenamed("source", "s")
+    return rows.join(F.broadcast(there) if sources.count() <= BROADCAST_SOURCES else there, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+
+
+def timed(docs: DataFrame, weights: tuple[float, ...], share: float, most: float, seed: str, id_col: str, text_col: str, source_col: str, tag: Column) -> DataFrame:
+    """row, doc_id, source, size, u, tie, tag, n, source_size, target, cum of every row of docs."""
     # string order in Spark is that of UTF-8 bytes, which is code point order
-    slim = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), shuffled(F.col(id_col), seed).alias("u")), "mix-sizes")
-    rows = slim.count()
-    buckets = max(MIN_BUCKETS, rows // ROWS_PER_BUCKET)
-    # one row for each source: their number doesn't grow with the documents
+    text = F.col(text_col)
+    slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(text).alias("size"), shuffled(F.col(id_col), seed).alias("u"), F.xxhash64(text).alias("tie"), tag.alias("tag"))
+    slim = stored(slim, "mix-sizes")
+    buckets = max(MIN_BUCKETS, slim.count() // ROWS_PER_BUCKET)
     sources = stored(targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most).coalesce(1), "mix-targets")
     bucketed = slim.withColumn("bucket", F.floor(F.col("u") / F.lit(2.0**60) * buckets).cast("int"))
     sums = bucketed.groupBy("source", "bucket").agg(F.sum("size").alias("tokens"))
     ahead = F.coalesce(F.sum("tokens").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     sums = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), ahead.alias("ahead"))
-    inside = W.partitionBy("source", "bucket").orderBy("u", "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy("source", "bucket").orderBy("u", "doc_id", "size", "tie", "row").rowsBetween(W.unboundedPreceding, 0)
     bucketed = bucketed.withColumn("inside", F.sum("size").over(inside))
     summed = bucketed.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).withColumn("cum", F.col("ahead") + F.col("inside")).drop("s", "b", "bucket", "inside", "ahead")
-    timed = summed.join(F.broadcast(sources.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    timed = stored(timed, "mix-times")
-    time = lambda e: (F.col("source_size") * F.lit(e) + F.col("cum")) / F.col("target")
-    live = timed.where((F.col("size") > 0) & (F.col("target") > 0))
-    copies = live.select("n", "u", "doc_id", "size", F.explode(F.array(*(time(e) for e in range(most)))).alias("time"))
-    budget = sources.agg(F.sum("target")).first()[0] or 0.0
-    cut = cut_point(copies, budget, most)
-    taken = F.lit(0)
-    for e in range(most):
-        within = F.lit(True) if cut is None else (time(e) < cut.time) | ((time(e) == cut.time) & (F.struct("n", "u", "doc_id") <= F.struct(F.lit(cut.n), F.lit(cut.u), F.lit(cut.doc_id).cast(timed.schema["doc_id"].dataType))))
-        taken = taken + F.when(within, 1).otherwise(0)
-    alive = (F.col("size") > 0) & (F.col("target") > 0)
-    timed = timed.withColumn("copies", F.when(alive, taken).otherwise(0).cast("int"))
-    return timed.select("doc_id", "source", "u", "size", "source_size", "target", F.when(alive, time(0)).alias("first_time"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
-
-
-def cut_point(copies: DataFrame, budget: float, most: int):
-    """The last copy (time, n, u, doc_id) in order of time whose running tokens stay in the budget;
-    None if all do. Time ranges are halved by histograms until the range that holds the cut is
-    small enough for one window."""
-    lo, hi, ahead = 0.0, 2.0 * most, 0
-    while True:
-        cell = F.floor((F.col("time") - lo) / (hi - lo) * TIME_BUCKETS)
-        ranged = copies.where((F.col("time") >= lo) & (F.col("time") < hi))
-        cells = ranged.groupBy(cell.alias("cell")).agg(F.sum("size").alias("tokens"), F.count("*").alias("rows"))  # TIME_BUCKETS rows at most
-        cells = cells.withColumn("upto", ahead + F.sum("tokens").over(W.orderBy("cell")))
-        last = cells.where(F.col("upto") > budget).orderBy("cell").first()
-        if last is None:
-            return None
-        width = (hi - lo) / TIME_BUCKETS
-        lo, hi, ahead = lo + last.cell * width, lo + (last.cell + 1) * width, last.upto - last.tokens
-        if last.rows <= ROWS_PER_BUCKET or width < 1e-12:
-            break
-    order = ["time", "n", "u", "doc_id"]
-    slack = (hi - lo) * 1e-6  # of rounding at the range's ends
-    there = copies.where((F.col("time") >= lo - slack) & (F.col("time") < hi + slack))
-    ahead = copies.where(F.col("time") < lo - slack).agg(F.sum("size")).first()[0] or 0
-    there = there.withColumn("upto", ahead + F.sum("size").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
-    found = there.where(F.col("upto") <= budget).agg(F.max(F.struct(*order)).alias("cut")).first().cut
-    if found is None:  # the first copy of the range is already too much: cut right before the range
-        first = copies.where(F.col("time") < lo - slack).agg(F.max(F.struct(*order)).alias("cut")).first().cut
-        return first if first is not None else there.select(F.lit(-1.0).alias("time"), "n", "u", "doc_id").first()
-    return found
-
-
-def mixed(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The mix itself: every row of docs as often as the plan takes it, with docs' own columns.
-    Rows that share an id get the same number of copies, their mean rounded."""
-    plan = mix_plan(docs, id_col=id_col, **how).groupBy(F.col("doc_id").alias("__mix_id")).agg(F.round(F.avg("copies")).cast("int").alias("__mix_copies"))
-    joined = docs.join(plan.where("__mix_copies > 0"), F.col(id_col).eqNullSafe(F.col("__mix_id")))
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))).alias("__mix_copy")).drop("__mix_copy")
+    return stored(by_source(summed, sources), "mix-times")
+
+
+def truncated(rows: DataFrame, most: int) -> DataFrame:
+    """row, copy, time, upto: the copies of rows in the mix, in ranges of falling order of finish time, with the
+    tokens up to each: those whose running tokens stay in the budget."""
+    live = rows.where((F.col("size") > 0) & (F.col("target") > 0))
+    time = (F.col("source_size") * F.col("copy") + F.col("cum")) / F.col("target")
+    copies = live.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).select("row", "copy", time.alias("time"), "n", "u", "doc_id", "size", "tie")
+    order = ["time", "n", "u", "doc_id", "size", "tie", "row"]
+    ranges = max(MIN_BUCKETS, most * rows.count() // ROWS_PER_BUCKET)
+    sorted_copies = stored(copies.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()), "mix-order")
+    # a row for each range: ROWS_PER_BUCKET times fewer than copies
+    sums = sorted_copies.groupBy("range").agg(F.sum("size").alias("tokens"))
+    ahead = F.coalesce(F.sum("tokens").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = F.sum("size").over(W.partitionBy("range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    summed = sorted_copies.withColumn("inside", inside).join(sums.select("range", ahead.alias("ahead")), "range")
+    budget = rows.select("n", "target").distinct().agg(F.sum("target")).first()[0] or 0.0
+    return summed.withColumn("upto", F.col("ahead") + F.col("inside")).where(F.col("upto") <= F.lit(budget)).select("row", "copy", "time", "upto")
+
+
+def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most: int = 3, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, source, u, size, source_size, target, copies, taken of every row."""
+    rows = timed(docs, weights, share, most, seed, id_col, text_col, source_col, F.lit(None).cast("long"))
+    counts = truncated(rows, most).groupBy(F.col("row").alias("r")).agg(F.count("*").cast("int").alias("n_copies"))
+    copies = F.coalesce("n_copies", F.lit(0))
+    joined = rows.join(counts, F.col("row") == F.col("r"), "left")
+    return joined.select("doc_id", "source", "u", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most: int = 3, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself, in order of finish time: every row of docs as often as the plan takes it, with docs'
+    own columns. Rows are known by a hash of all their columns, so rows alike in all of them share their copies."""
+    rows = timed(docs, weights, share, most, seed, id_col, text_col, source_col, F.xxhash64(*docs.columns))
+    taken = truncated(rows, most).join(rows.select("row", "tag"), "row").select(F.col("tag").alias("__mix_tag"), F.col("upto").alias("__mix_upto"))
+    keyed = docs.withColumn("__mix_row", F.xxhash64(*docs.columns)).dropDuplicates(["__mix_row"])
+    return taken.join(keyed, F.col("__mix_tag") == F.col("__mix_row")).sort("__mix_upto").select(*docs.columns)
