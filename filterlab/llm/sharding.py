@@ -11,8 +11,9 @@ hash of the id, so equal texts lie side by side while one hot text still spreads
    to the group's start.
 4. Slots count the records of a shard in key order, without gaps.
 
-Null texts count as no bytes; null ids share one hash; repeated rows get a slot each; an empty
-table gives an empty result; other columns of the input are ignored.
+Null texts count as no bytes; null ids share one hash; repeated rows get a slot each, dealt to pieces by
+lot if they alone overfill a range; ties of the key go by id, size and checksum. An empty table gives
+an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -57,6 +58,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id",
             (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
             F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8")).alias("text_crc32"),
             record_key(text, F.col(id_col)).alias("key"),
+            F.xxhash64(F.monotonically_increasing_id()).alias("lot"),
         ),
         "shard-keys",
     )
@@ -71,19 +73,19 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id",
     def range_of(key: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(cuts, key.to_numpy(), side="right").astype("int32"))
 
-    ranged = slim.withColumn("range", range_of("key"))
+    ranged = stored(slim.withColumn("range", range_of("key")), "shard-ranged")
     # at most len(cuts) + 1 ranges, and as many pieces more: small enough for the driver and a broadcast
     sums = ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.min("key").alias("lo"), F.max("key").alias("hi"))
     sums = sums.withColumn("pieces", F.greatest(F.lit(1), F.ceil(F.col("bytes") * ranges / F.lit(2.0 * total))).cast("int"))
     plan = stored(sums.coalesce(1), "shard-ranges")
-    piece = F.when(F.col("pieces") > 1, F.floor((F.col("key").cast("double") - F.col("lo")) * F.col("pieces") / (F.col("hi").cast("double") - F.col("lo") + 1)))
+    piece = F.when(F.col("lo") == F.col("hi"), F.pmod("lot", "pieces")).when(F.col("pieces") > 1, F.floor((F.col("key").cast("double") - F.col("lo")) * F.col("pieces") / (F.col("hi").cast("double") - F.col("lo") + 1)))
     celled = ranged.join(F.broadcast(plan.select("range", "lo", "hi", "pieces")), "range").withColumn(
         "cell", F.struct("range", F.coalesce(F.least(piece, F.col("pieces") - 1), F.lit(0)).cast("int").alias("piece"))
     )
     cells = celled.groupBy("cell").agg(F.sum("size").alias("bytes"))
     before = F.coalesce(F.sum("bytes").over(W.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = cells.select("cell", before.alias("before"))
-    inside = W.partitionBy("cell").orderBy("key", "doc_id")
+    inside = W.partitionBy("cell").orderBy("key", "doc_id", "size", "text_crc32", "lot")
     placed = celled.join(F.broadcast(offsets), "cell").withColumn("at", F.col("before") + F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("size") / 2)
     guess = F.least(F.lit(n_shards - 1), F.floor(F.col("at") * n_shards / F.lit(total))).cast("int")
     firsts = {r.shard: r.key for r in placed.groupBy(guess.alias("shard")).agg(F.min("key").alias("key")).collect()}  # a row for each shard
@@ -105,5 +107,5 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id",
     counts = final.groupBy("shard", "cell").agg(F.count("*").alias("rows"))
     ahead = F.coalesce(F.sum("rows").over(W.partitionBy("shard").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("shard", "cell", ahead.alias("ahead"))
-    number = F.row_number().over(W.partitionBy("shard", "cell").orderBy("key", "doc_id"))
+    number = F.row_number().over(W.partitionBy("shard", "cell").orderBy("key", "doc_id", "size", "text_crc32", "lot"))
     return final.join(F.broadcast(starts), ["shard", "cell"]).select("doc_id", "size", "text_crc32", "shard", (F.col("ahead") + number - 1).cast("long").alias("slot"))
