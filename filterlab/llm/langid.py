@@ -8,8 +8,14 @@ a language is the mean of its words' marginals.
 Training: a bounded sample of labelled documents, chosen by a hash of the id among those that
 ``may_train`` admits, of each language alike; chains are drawn from lines of different documents,
 so label changes occur inside chains and the transitions learn them. The sample is at most
-``MAX_LANGS * DOCS_PER_LANG`` documents of at most ``TRAIN_CHARS`` characters. Prediction reads
-whole texts, and only texts.
+``DOCS_PER_LANG`` documents a language, ``TRAIN_CHARS`` characters of each, in whole lines from a place that
+a hash chooses (one line, if it is longer, is cut); ``MAX_LANGS`` languages at most, the most frequent in
+the sample, bound the model. Prediction reads whole texts, and only texts; ``word_labels`` gives its
+word-by-word labels.
+
+One more label, noise, is learned from words of the sample with their letters shuffled, and given to words
+all of whose letters lie in blocks of Unicode that the sample has nothing of. It is never predicted;
+``noise`` is its share of a document, so a caller can tell text in no learned language.
 
 A null text, or one without a letter, is ``und`` with score 0; so is everything if there is
 nothing to learn from. Ties go to the label first in code point order. Repeated rows give
@@ -18,16 +24,16 @@ repeated results; other columns of the input are ignored.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from filterlab.llm.common import small_batches
+from filterlab.llm.common import mapped
 
 DOCS_PER_LANG, TRAIN_CHARS, MAX_LANGS = 150, 20_000, 60
 BUCKET_BITS, STEPS, RATE, L2, SEED = 15, 40, 0.3, 1e-6, 7
@@ -35,12 +41,20 @@ BUCKETS = 1 << BUCKET_BITS
 #: Words whose emissions a worker keeps; words that are labelled at a time.
 CACHE_WORDS, CHUNK_WORDS = 400_000, 200_000
 UND = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: The label of words that look like none of the learned languages.
+NOISE = "zxx"
+_LETTERS = regex.compile(r"[\p{L}\p{M}]+")
+_HAS_LETTER = regex.compile(r"\p{L}")
 
 
 def core(word: str) -> str:
     """The letters of a word, in lower case."""
-    return "".join(_LETTERS.findall(word.lower()))
+    return "".join(_LETTERS.findall(word.lower())) if _HAS_LETTER.search(word) else ""
+
+
+def block_of(letter: str) -> int:
+    """Of 128 code points."""
+    return ord(letter) >> 7
 
 
 def features(cores: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -129,8 +143,8 @@ def forward_backward(potentials: np.ndarray, chains: Chains, start: np.ndarray,
 class Tagger:
     """A trained field. Emissions of words are kept in a bounded cache of each worker."""
 
-    def __init__(self, labels: list[str], weights: np.ndarray, start: np.ndarray, move: np.ndarray) -> None:
-        self.labels, self.weights, self.start, self.move = labels, weights, start, move
+    def __init__(self, labels: list[str], weights: np.ndarray, start: np.ndarray, move: np.ndarray, seen: frozenset[int]) -> None:
+        self.labels, self.weights, self.start, self.move, self.seen = labels, weights, start, move, seen
         self._fresh()
 
     def _fresh(self) -> None:
@@ -139,7 +153,7 @@ class Tagger:
         self.lettered = np.empty(1 << 12, bool)
 
     def __getstate__(self) -> dict:
-        return {k: self.__dict__[k] for k in ("labels", "weights", "start", "move")}
+        return {k: self.__dict__[k] for k in ("labels", "weights", "start", "move", "seen")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -157,6 +171,8 @@ class Tagger:
         cores = [core(w) for w in new]
         e = emissions(cores, self.weights)
         self.rows[k : k + len(new)] = np.maximum(np.exp(e - e.max(1, keepdims=True)), 1e-12)
+        strange = [i for i, c in enumerate(cores) if c and not any(block_of(x) in self.seen for x in c)]
+        self.rows[k : k + len(new)][strange] = np.where(np.arange(len(self.labels)) == len(self.labels) - 1, 1.0, 1e-12)
         self.lettered[k : k + len(new)] = [bool(c) for c in cores]
         self.index.update(zip(new, range(k, k + len(new)), strict=True))
 
@@ -199,19 +215,45 @@ class Tagger:
             done()
         return out / np.maximum(total, 1)[:, None]
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    def labels_of(self, text: str | None) -> list[str]:
+        """The likeliest label of each word."""
+        lines = [line.split() for line in (text or "").split("\n")]
+        words = [w for line in lines for w in line]
+        if not words or not self.labels:
+            return [UND] * len(words)
+        if new := {w for w in words if w not in self.index}:
+            self._learn(new)
+        if again := {w for w in words if w not in self.index}:
+            self._learn(again)
+        rows = np.array([self.index[w] for w in words], np.int64)
+        chains = lay_out(np.array([len(line) for line in lines], np.int64))
+        marginals, _, _ = forward_backward(self.rows[rows[chains.order]], chains, self.start, self.move)
+        best = np.empty(len(words), np.int64)
+        best[chains.order] = marginals.argmax(1)
+        return [self.labels[k] if self.lettered[r] else UND for k, r in zip(best, rows, strict=True)]
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The best language of each text, its score, and the share of noise."""
         s = self.scores(texts)
-        best = s.max(1, initial=0.0)
-        names = [self.labels[k] if b > 0 else UND for k, b in zip(s.argmax(1) if len(self.labels) else [0] * len(s), best, strict=True)]
-        return names, np.clip(best, 0, 1)
+        if not self.labels:
+            return [UND] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+        langs = s[:, :-1]
+        names = [self.labels[k] if lettered else UND for k, lettered in zip(langs.argmax(1), s.sum(1) > 0, strict=True)]
+        return names, np.clip(langs.max(1), 0, 1), np.clip(s[:, -1], 0, 1)
 
 
 def fit(texts: list[str], langs: list[str]) -> Tagger:
     """Maximum likelihood with a small penalty, by Adam over all chains of the sample."""
-    labels = sorted(set(langs))
-    n_labels, rng = len(labels), np.random.default_rng(SEED)
+    labels, rng = sorted(set(langs)), np.random.default_rng(SEED)
     lines = [(labels.index(lang), line.split()) for text, lang in zip(texts, langs, strict=True) for line in text.split("\n") if line.strip()]
-    rng.shuffle(lines := [x for x in lines if x[1]])
+    lines = [x for x in lines if x[1]]
+    seen = frozenset(block_of(c) for _, line in lines for w in line for c in core(w))
+    if lines:
+        noise = rng.permutation(len(lines))[: -(-len(lines) // len(labels))]
+        labels = [*labels, NOISE]
+        lines += [(len(labels) - 1, ["".join(rng.permutation(list(w))) for w in lines[k][1]]) for k in noise]
+    n_labels = len(labels)
+    rng.shuffle(lines)
     chains, k = [], 0
     while k < len(lines):  # one to three lines of a random order make a chain
         take = int(rng.integers(1, 4))
@@ -256,38 +298,64 @@ def fit(texts: list[str], langs: list[str]) -> Tagger:
             a += 0.1 * (g - a)
             b += 0.01 * (g * g - b)
             x += RATE * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
-    return Tagger(labels, weights.astype(np.float32), np.exp(start - start.max(initial=-1e9)).astype(np.float32), np.exp(move - move.max(initial=-1e9)).astype(np.float32))
+    return Tagger(labels, weights.astype(np.float32), np.exp(start - start.max(initial=-1e9)).astype(np.float32), np.exp(move - move.max(initial=-1e9)).astype(np.float32), seen)
+
+
+def sampled_text(text: str, h: int) -> str:
+    """At most TRAIN_CHARS characters of a text: whole lines from one that the hash chooses on, and round."""
+    if len(text) <= TRAIN_CHARS:
+        return text
+    lines = text.split("\n")
+    at, out, room = h % len(lines), [], TRAIN_CHARS
+    for line in lines[at:] + lines[:at]:
+        if room <= 0:
+            break
+        out.append(line[:room])
+        room -= len(out[-1]) + 1
+    return "\n".join(out)
 
 
 def train(docs: DataFrame, may_train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Tagger:
-    have = docs.where(may_train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= TRAIN_CHARS))
+    have = docs.where(may_train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     have = have.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"))
     # a rank by hash is limited before its shuffle, so a hot language sends few rows
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))
-    rows = have.withColumn("rank", rank).where(F.col("rank") <= DOCS_PER_LANG).orderBy("rank", "lang").limit(MAX_LANGS * DOCS_PER_LANG).select("lang", "text").collect()
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("h", F.xxhash64("text")))
+    drawn = have.withColumn("rank", rank).where(F.col("rank") <= DOCS_PER_LANG)
+
+    def cut(texts: list[dict]) -> list[pa.Array]:
+        return [pa.array([sampled_text(x["text"], x["h"]) for x in texts], pa.string())]
+
+    short = mapped(drawn.withColumn("both", F.struct("text", "h")), "both", lambda: cut, "said string", ["lang", "rank"], 20)
+    rows = short.orderBy("rank", "lang").limit(MAX_LANGS * DOCS_PER_LANG).select("lang", "said").collect()
     rows.sort()
-    return fit([r.text for r in rows], [r.lang for r in rows])
+    return fit([r.said for r in rows], [r.lang for r in rows])
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def predictions(tagger: Tagger):
-    """A column function: text -> struct<lang_pred string, score double>."""
-    shared = {}
+def predicted(docs: DataFrame, tagger: Tagger, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns keep of docs (all if None), lang_pred, score and noise."""
+    def predict(texts: list[str | None]) -> list[pa.Array]:
+        names, scores, noise = tagger.predict(texts)
+        return [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(noise, pa.float64())]
+
+    return mapped(docs, text_col, lambda: predict, "lang_pred string, score double, noise double", keep)
+
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        mine = shared.setdefault("t", tagger)
-        names, scores = mine.predict([t if isinstance(t, str) else None for t in texts])
-        return pd.DataFrame({"lang_pred": names, "score": scores})
+def word_labels(docs: DataFrame, tagger: Tagger, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns keep of docs (all if None) and labels: the likeliest language of each word of the text, split at
+    white space; ``und`` for words without a letter. Empty for a null text."""
+    def label(texts: list[str | None]) -> list[pa.Array]:
+        return [pa.array([tagger.labels_of(t) for t in texts], pa.list_(pa.string()))]
 
-    return predict
+    return mapped(docs, text_col, lambda: label, "labels array<string>", keep)
 
 
 def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every row; learns from the rows that aren't held out."""
+    """doc_id, held_out, lang_pred, score, noise of every row; learns from the rows that aren't held out."""
     out = held_out(F.col(id_col))
     tagger = train(docs, F.col(id_col).isNotNull() & ~out, id_col, text_col, lang_col)
-    return small_batches(docs).select(F.col(id_col).alias("doc_id"), out.alias("held_out"), predictions(tagger)(F.col(text_col)).alias("p")).select("doc_id", "held_out", "p.*")
+    slim = docs.select(F.col(id_col).alias("doc_id"), out.alias("held_out"), F.col(text_col).alias("text"))
+    return predicted(slim, tagger, "text", ["doc_id", "held_out"])
