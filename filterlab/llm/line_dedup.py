@@ -40,9 +40,9 @@ GRID = 4
 #: Words of 64 bits in a sketch.
 SKETCH_WORDS = 32
 #: A round of leaders is followed by another while it connects at least this share of the open rows.
-WORTH_A_ROUND = 0.001
+WORTH_A_ROUND = 0.01
 #: Leaders of a band in each round but the first.
-LEADERS = 4
+LEADERS = 8
 #: Keys that are broadcast at most (8 bytes each, some 40 in a hash table).
 BROADCAST_KEYS = 500_000
 
