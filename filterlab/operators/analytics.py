@@ -196,3 +196,25 @@ def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
     before = counts.select("__r", F.coalesce(F.sum("__n").over(W.orderBy("__r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     number = F.row_number().over(W.partitionBy("__range").orderBy(F.col("__draw").bitwiseXOR(F.lit(-(1 << 63))), key))
     return drawn.join(F.broadcast(before), F.col("__range") == F.col("__r")).withColumn("place", F.col("__before") + number).select(*df.columns, "place")
+
+
+def equal_within(a: Column, b: Column, most: float = 1e-6) -> Column:
+    """Whether two numbers differ by less than an absolute bound; null if one is missing."""
+    return F.abs(a - b) < F.lit(most)
+
+
+def only_matched(pairs: DataFrame, a: Column, b: Column, tolerance: float = 0.1) -> DataFrame:
+    """The rows whose two numbers match within a relative tolerance; rows that lack one don't."""
+    return pairs.where(F.coalesce(F.abs(a - b) <= F.lit(tolerance) * F.abs(a), F.lit(False)))
+
+
+def voided(ratio: Column, measured: Column, expected: Column, tolerance: float = 0.25) -> Column:
+    """The ratio, or null where a cross-check of what it was measured with is off by more than the tolerance."""
+    return F.when(F.abs(measured - expected) <= F.lit(tolerance) * F.abs(expected), ratio)
+
+
+def named_codes(rows: DataFrame, code: str, names: DataFrame, out: str = "name") -> DataFrame:
+    """rows with the name of their code, from a table (code, name); a code without a name stays, with null.
+    Spark broadcasts the table of names as long as it is small."""
+    looked_up = names.select(F.col("code").alias("__code"), F.col("name").alias(out))
+    return rows.join(looked_up, F.col(code) == F.col("__code"), "left").drop("__code")

@@ -32,9 +32,9 @@ def inner_join(probe_side: DataFrame, build_side: DataFrame, probe_col: str, bui
 
 
 def anti_join(probe_side: DataFrame, build_side: DataFrame, probe_col: str, build_col: str) -> DataFrame:
-    """Rows surely absent pass at once; only possible members meet the exact anti join."""
+    """The rows that the build side hasn't: a row that is surely absent gets no key to look up, so it only
+    passes through the exact join; possible members are looked up. The probe side is read once."""
     filter_, blocks = filter_of(build_side, build_col)
     asked = bloom.might_contain(probe_side, filter_, blocks, probe_col, "__hit")
     keys = build_side.select(F.col(build_col).alias("__key")).distinct()
-    rest = asked.where("__hit").join(keys, F.col(probe_col) == F.col("__key"), "left_anti")
-    return asked.where("NOT __hit").unionByName(rest).drop("__hit")
+    return asked.join(keys, F.col("__hit") & (F.col(probe_col) == F.col("__key")), "left_anti").drop("__hit")

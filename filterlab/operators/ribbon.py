@@ -145,9 +145,10 @@ def build_standard(keys: DataFrame, spec: Spec, **how) -> tuple[DataFrame, Spec]
     """A standard ribbon by the first seed for which no equation contradicts the others."""
     for seed in range(spec.seed, spec.seed + SEEDS):
         tried = replace(spec, seed=seed, standard=True)
-        filter_ = build(keys, tried, **how)
+        filter_ = build(keys, tried, **how).persist()
         if not filter_.where("contradictions > 0").limit(1).count():
             return filter_, tried
+        filter_.unpersist()
     raise ValueError(f"no seed of {SEEDS} works at this size")
 
 
@@ -157,6 +158,7 @@ def might_contain(probes: DataFrame, filter_: DataFrame, spec: Spec = Spec(), co
     A filter of bounded size is broadcast; a larger one meets its probes shard by shard, a hot
     shard's probes being dealt to several groups."""
     w, r, standard = spec.w, spec.r, spec.standard
+    filter_ = filter_.persist()  # built once for its size and its tables; what an executor loses is built again
     size, shards = filter_.agg(F.coalesce(F.sum("slots"), F.lit(0)) * 2, F.coalesce(F.max("shard"), F.lit(-1)) + 1).first()
 
     def ask(z: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -168,6 +170,7 @@ def might_contain(probes: DataFrame, filter_: DataFrame, spec: Spec = Spec(), co
     hashed = bits.with_hash(mixed, column, "__h", spec.seed)
     if size <= BROADCAST_BYTES:
         tables = {x.shard: np.frombuffer(x.z, "<u2") for x in filter_.select("shard", "z").collect()}  # BROADCAST_BYTES at most
+        filter_.unpersist()
         sent = probes.sparkSession.sparkContext.broadcast(tables)
 
         @F.pandas_udf("boolean")

@@ -631,6 +631,35 @@ def mixed_sort(spark, sf_dir):
 def seeded_shuffle(spark, sf_dir):
     return an.shuffled(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", 231).select("p_partkey", F.col("place").cast("bigint").alias("place"))
 
+@query(f"WITH {_MEANS}, p AS (SELECT size, max(mean) FILTER (WHERE arm = 'A') AS a, max(mean) FILTER (WHERE arm = 'R') AS r FROM means GROUP BY size) SELECT size, round(r / a, 9) AS ratio FROM p WHERE abs(a - r) <= 0.1 * abs(a)")
+def matched_sizes_only(spark, sf_dir):
+    p = an.pivoted(_runs(spark, sf_dir), ["size"], "arm", ["A", "R"], "x")
+    return an.only_matched(p, F.col("A"), F.col("R")).select("size", F.round(F.col("R") / F.col("A"), 9).alias("ratio"))
+
+
+@query("SELECT l_orderkey, l_linenumber, abs(l_extendedprice / l_quantity - round(l_extendedprice / l_quantity, 6)) < 1e-6 AS equal FROM lineitem")
+def absolute_equality(spark, sf_dir):
+    price = F.col("l_extendedprice") / F.col("l_quantity")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", an.equal_within(price, F.round(price, 6)).alias("equal"))
+
+
+@query("WITH o AS (SELECT l_orderkey, count(*) AS n, max(l_linenumber) AS m, sum(l_extendedprice) / sum(l_quantity) AS ratio FROM lineitem GROUP BY 1) SELECT l_orderkey, CASE WHEN abs(n - m) <= 0.25 * m THEN round(ratio, 6) END AS ratio FROM o")
+def voided_ratios(spark, sf_dir):
+    """Prices per piece of orders whose number of lines agrees with their greatest line number."""
+    o = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.max("l_linenumber").alias("m"), (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("r"))
+    return o.select("l_orderkey", an.voided(F.round("r", 6), F.col("n"), F.col("m")).alias("ratio"))
+
+
+@query("SELECT c_custkey, n_name AS name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
+def code_names(spark, sf_dir):
+    names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("code"), F.col("n_name").alias("name"))
+    return an.named_codes(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", names).select("c_custkey", "name")
+
+
+@query("SELECT i AS ordinal, lower(printf('%016X', i) || substr(md5(i || '/7/0') || md5(i || '/7/1') || md5(i || '/7/2') || md5(i || '/7/3'), 1, 112)) AS key FROM range(50000) t(i)")
+def fixed_length_keys(spark, sf_dir):
+    return keys.fixed_length_strings(spark, 50_000, 64, 7).select("ordinal", F.lower(F.hex("key")).alias("key"))
+
 
 # --- artifacts -------------------------------------------------------------------------------------------
 @query("SELECT event_id, event_type AS arm, round(value, 3) AS ns_per_key, event_id % 1000 AS n FROM events")

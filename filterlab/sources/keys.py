@@ -39,6 +39,16 @@ def string_probes(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n).select(F.col("id").alias("ordinal"), F.concat(F.lit("\x01probe-"), F.col("id")).alias("key"))
 
 
+def fixed_length_strings(spark: SparkSession, n: int, length: int = 16, seed: int = 0) -> DataFrame:
+    """ordinal, key: n distinct byte strings of one length of at least 8. The first 8 bytes are the ordinal,
+    big-endian, the others hash bytes of ordinal and seed."""
+    if length < 8:
+        raise ValueError("a key needs 8 bytes for its ordinal")
+    ids = spark.range(n).withColumnRenamed("id", "ordinal")
+    rest = F.concat(F.lit(""), *(F.md5(F.concat_ws("/", "ordinal", F.lit(seed), F.lit(k)).cast("binary")) for k in range(-(-(length - 8) // 16))))
+    return ids.select("ordinal", F.unhex(F.concat(F.lpad(F.hex("ordinal"), 16, "0"), F.substring(rest, 1, 2 * (length - 8)))).alias("key"))
+
+
 def sample_keys(keys: DataFrame, n: int, seed: int, column: str = "key") -> DataFrame:
     """n of the distinct keys, drawn by a seeded hash and sorted; the same ones in every run."""
     drawn = bits.with_mix64(keys.select(column).where(F.col(column).isNotNull()).distinct(), F.col(column).bitwiseXOR(F.lit(bits.signed(seed))), "draw")
