@@ -45,8 +45,8 @@ CLASS_LIMITS, WORD_LIMITS, SPREAD = (0.25, 0.30), (0.75, 0.90), 3.0
 #: Common words that a text of some language has by expectation; fewer can be none by chance.
 MIN_COMMON = 12
 COMMON_WORDS = 64
-#: Words whose counts a task holds.
-HELD_WORDS = 200_000
+#: Words whose counts a task holds; references whose limits are broadcast.
+HELD_WORDS, BROADCAST_REFERENCES = 200_000, 10_000
 WINDOW = 8
 SYMBOL = re.compile(r"[#*$%&|<>]")
 #: Character classes by Unicode category; white space is a class of its own, all other categories are the last.
@@ -210,6 +210,8 @@ def quality(docs: DataFrame, refs: pd.DataFrame | None = None, id_col: str = "do
     def beyond(what: str) -> Column:
         return F.coalesce(F.col(f"{what}_distance") > F.col(f"{what}_limit"), F.lit(False))
 
-    both = judged.join(limits(judged, "class_lang", "class_distance", *CLASS_LIMITS), "class_lang", "left").join(limits(judged, "word_lang", "word_distance", *WORD_LIMITS), "word_lang", "left")
+    # a row for each reference at most; sent to all tasks, so a hot language isn't one task
+    few = F.broadcast if len(refs) <= BROADCAST_REFERENCES else lambda df: df
+    both = judged.join(few(limits(judged, "class_lang", "class_distance", *CLASS_LIMITS)), "class_lang", "left").join(few(limits(judged, "word_lang", "word_distance", *WORD_LIMITS)), "word_lang", "left")
     kept = ~F.col("base_failed") & (F.col("no_reference") | ~(beyond("class") | beyond("word")))
     return both.select("doc_id", *(x.split()[0] for x in FIELDS.split(", ")), "class_limit", "word_limit", kept.alias("kept"))
