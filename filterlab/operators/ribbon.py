@@ -50,14 +50,23 @@ def slots_column(n: Column, spec: Spec) -> Column:
 
 
 def starts(keys: DataFrame, slots: int, spec: Spec = Spec(), column: str = "key") -> DataFrame:
-    """keys with h and start, for a filter of one shard."""
-    return bits.with_hash(keys, column, "h", spec.seed).withColumn("start", bits.scaled(F.col("h"), slots - spec.w + 1))
+    """keys, less those that are null, with h and start, for a filter of one shard."""
+    return bits.with_hash(keys.where(F.col(column).isNotNull()), column, "h", spec.seed).withColumn("start", bits.scaled(F.col("h"), slots - spec.w + 1))
+
+
+#: 2**GROUP_SHIFT windows have their counts added up in one task.
+GROUP_SHIFT = 12
 
 
 def window_counts(started: DataFrame, shift: int) -> DataFrame:
-    """win, n, before: keys of each window of slots and of all windows before it."""
-    counts = started.groupBy(F.shiftright("start", shift).alias("win")).agg(F.count("*").alias("n"))
-    return counts.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("win").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    """win, n, before: keys of each window of slots and of all windows before it. Sums run inside groups of
+    2**GROUP_SHIFT windows and over the groups' sums, which are as many times fewer."""
+    counts = started.groupBy(F.shiftright("start", shift).alias("win")).agg(F.count("*").alias("n")).withColumn("__g", F.shiftright("win", GROUP_SHIFT))
+    groups = counts.groupBy("__g").agg(F.sum("n").alias("__n"))
+    earlier = F.coalesce(F.sum("__n").over(W.orderBy("__g").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    groups = groups.select("__g", earlier.alias("__earlier"))
+    inside = F.coalesce(F.sum("n").over(W.partitionBy("__g").orderBy("win").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return counts.withColumn("__inside", inside).join(groups, "__g").select("win", "n", (F.col("__earlier") + F.col("__inside")).alias("before"))
 
 
 def window_order(started: DataFrame, shift: int, arrival: str = "key") -> DataFrame:
@@ -70,9 +79,12 @@ def window_order(started: DataFrame, shift: int, arrival: str = "key") -> DataFr
 
 def equal_ranges(counts: DataFrame, ranges: int) -> DataFrame:
     """range, first_win: the window where each of so many ranges of about as many keys begins."""
-    every, targets = W.partitionBy(), F.explode(F.sequence(F.lit(0), F.lit(ranges - 1)))
-    wanted = counts.withColumn("total", F.sum("n").over(every)).withColumn("range", targets)
-    return wanted.where(F.col("before") >= F.col("total") * F.col("range") / ranges).groupBy("range").agg(F.min("win").alias("first_win"))
+    total = counts.agg(F.sum("n")).scalar()
+    # the last range that a window is late enough for; a range begins in the first window late enough for it
+    last = F.least(F.floor(F.col("before") * ranges / total), F.lit(ranges - 1).cast("bigint"))
+    firsts = counts.groupBy(last.alias("last")).agg(F.min("win").alias("first_win"))  # a row for each range at most
+    earlier = F.coalesce(F.lag("last").over(W.orderBy("last")), F.lit(-1).cast("bigint"))
+    return firsts.withColumn("earlier", earlier).select(F.explode(F.sequence(F.col("earlier") + 1, "last")).alias("range"), "first_win")
 
 
 def deferred(started: DataFrame, slots: int, ranges: int, margin: int) -> DataFrame:
