@@ -49,35 +49,45 @@ def mul32(x: Column, c: int) -> Column:
 
 def let(x: Column, body) -> Column:
     """body(x) with x computed once. A limb product names its input six times; chained and inlined,
-    a hash would grow beyond what the optimizer and the code generator can take."""
+    a hash would grow beyond what the optimizer and the code generator can take. Lambdas are interpreted:
+    where rows are many, use with_mix64 and with_hash."""
     return F.element_at(F.transform(F.array(x), body), 1)
 
 
-def mul64(x: Column, c: int) -> Column:
-    """x * c mod 2**64."""
+def _product(v: Column, c: int) -> Column:
     c_lo, c_hi = c & M32, c >> 32 & M32
+    lo, hi = low32(v), high32(v)
+    first, second = lo * F.lit(c_lo & M16), lo * F.lit(c_lo >> 16)
+    low = first + F.shiftleft(second.bitwiseAND(F.lit(M16)), 16)
+    high = high32(low) + F.shiftrightunsigned(second, 16) + mul32(lo, c_hi) + mul32(hi, c_lo)
+    return F.shiftleft(low32(high), 32).bitwiseOR(low32(low))
+
+
+def _plus(v: Column, c: int) -> Column:
+    low = low32(v) + F.lit(c & M32)
+    return F.shiftleft(low32(high32(v) + F.lit(c >> 32 & M32) + high32(low)), 32).bitwiseOR(low32(low))
 
-    def limbs(v: Column) -> Column:
-        lo, hi = low32(v), high32(v)
-        first, second = lo * F.lit(c_lo & M16), lo * F.lit(c_lo >> 16)
-        low = first + F.shiftleft(second.bitwiseAND(F.lit(M16)), 16)
-        high = high32(low) + F.shiftrightunsigned(second, 16) + mul32(lo, c_hi) + mul32(hi, c_lo)
-        return F.shiftleft(low32(high), 32).bitwiseOR(low32(low))
 
-    return let(x, limbs)
+def _times(c: int):
+    return lambda v: _product(v, c)
+
+
+def _shifted(n: int):
+    return lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, n))
+
+
+def mul64(x: Column, c: int) -> Column:
+    """x * c mod 2**64."""
+    return let(x, _times(c))
 
 
 def add64(x: Column, c: int) -> Column:
     """x + c mod 2**64."""
-    def halves(v: Column) -> Column:
-        low = low32(v) + F.lit(c & M32)
-        return F.shiftleft(low32(high32(v) + F.lit(c >> 32 & M32) + high32(low)), 32).bitwiseOR(low32(low))
-
-    return let(x, halves) if c else x
+    return let(x, lambda v: _plus(v, c)) if c else x
 
 
 def xor_shift(x: Column, n: int) -> Column:
-    return let(x, lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, n)))
+    return let(x, _shifted(n))
 
 
 def mix64(x: Column) -> Column:
@@ -90,12 +100,28 @@ def seeded_hash(x: Column, seed: int = 0) -> Column:
     return xor_shift(mul64(xor_shift(mul64(xor_shift(add64(x, seed), 33), HASH_A), 33), HASH_B), 33)
 
 
-def with_mix64(df: DataFrame, source: Column | str, out: str) -> DataFrame:
-    return df.withColumn(out, mix64(F.col(source) if isinstance(source, str) else source))
+def _stepped(df: DataFrame, source: Column, out: str, steps: list) -> DataFrame:
+    """df with out, made of source by one projection for each step. A step names its input several times, so
+    Catalyst leaves the projections apart, and all of them are generated code: a lambda (see let) isn't."""
+    df = df.withColumn(out, F.coalesce(source, F.lit(0).cast("bigint")))
+    for step in steps:
+        df = df.withColumn(out, step(F.col(out)))
+    return df
+
+
+def with_mix64(df: DataFrame, source: Column | str, out: str, filled: bool = False) -> DataFrame:
+    """df with the mix of source. filled hashes a null like 0, by generated code, some five times as fast. Take it
+    where the hash only leads to joins, groups and orders: a filter on it would be pushed below all its steps,
+    which the optimizer then writes out into one expression. That nothing is null keeps it from asking so itself."""
+    x = F.col(source) if isinstance(source, str) else source
+    return _stepped(df, x, out, [_shifted(30), _times(MIX_A), _shifted(27), _times(MIX_B), _shifted(31)]) if filled else df.withColumn(out, mix64(x))
 
 
-def with_hash(df: DataFrame, source: Column | str, out: str, seed: int = 0) -> DataFrame:
-    return df.withColumn(out, seeded_hash(F.col(source) if isinstance(source, str) else source, seed))
+def with_hash(df: DataFrame, source: Column | str, out: str, seed: int = 0, filled: bool = False) -> DataFrame:
+    """df with the seeded hash of source; filled as in with_mix64."""
+    x = F.col(source) if isinstance(source, str) else source
+    first = [lambda v: _plus(v, seed)] if seed else []
+    return _stepped(df, x, out, [*first, _shifted(33), _times(HASH_A), _shifted(33), _times(HASH_B), _shifted(33)]) if filled else df.withColumn(out, seeded_hash(x, seed))
 
 
 def scaled(h: Column, n: Column | int) -> Column:

@@ -65,7 +65,7 @@ def bootstrap_ratio(df: DataFrame, by: Sequence[str], arm: str, top: str, bottom
     draws = numbered.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).select(*by, "arm", "rows", "s", "i")
     # the arm enters by its first byte, so that the arms are resampled apart
     keyed = draws.withColumn("k", F.col("s").cast("bigint") * 1_000_003 + F.col("i") * 131 + F.when(F.col("arm") == top, 1).otherwise(2) + F.lit(seed))
-    pick = bits.with_mix64(keyed, "k", "h").withColumn("pick", bits.scaled(F.col("h"), F.col("rows"))).drop("h", "k", "i")
+    pick = bits.with_mix64(keyed, "k", "h", filled=True).withColumn("pick", bits.scaled(F.col("h"), F.col("rows"))).drop("h", "k", "i")
     found = pick.join(numbered.withColumnRenamed("i", "pick").drop("rows"), [*by, "arm", "pick"])
     means = found.groupBy(*by, "s").agg((F.avg(F.when(F.col("arm") == top, F.col("x"))) / F.avg(F.when(F.col("arm") == bottom, F.col("x")))).alias("ratio"))
     ranked = means.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy("ratio", "s")) - 1)
@@ -191,7 +191,7 @@ def in_fixed_order(df: DataFrame, column: str, order: Sequence[str]) -> DataFram
 def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
     """df with place, from 1: an order drawn by a hash of the key and a seed. Rows are numbered
     inside 4,096 ranges of the hash, whose counts give each range its first place."""
-    drawn = bits.with_mix64(df, F.col(key).bitwiseXOR(F.lit(seed)), "__draw").withColumn("__range", F.shiftrightunsigned("__draw", 52))
+    drawn = bits.with_mix64(df, F.col(key).bitwiseXOR(F.lit(seed)), "__draw", filled=True).withColumn("__range", F.shiftrightunsigned("__draw", 52))
     counts = drawn.groupBy(F.col("__range").alias("__r")).agg(F.count("*").alias("__n"))
     before = counts.select("__r", F.coalesce(F.sum("__n").over(W.orderBy("__r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     number = F.row_number().over(W.partitionBy("__range").orderBy(F.col("__draw").bitwiseXOR(F.lit(-(1 << 63))), key))

@@ -35,7 +35,7 @@ def bit_of(h: Column, word: int) -> Column:
 
 def placed(keys: DataFrame, blocks: int, column: str = "key") -> DataFrame:
     """keys with block and p0 .. p7, the places of their bits."""
-    hashed = bits.with_mix64(keys.where(F.col(column).isNotNull()), column, "h")
+    hashed = bits.with_mix64(keys.where(F.col(column).isNotNull()), column, "h", filled=True)
     return hashed.withColumn("block", block_of(F.col("h"), blocks)).withColumns({f"p{k}": bit_of(F.col("h"), k).cast("int") for k in range(8)}).drop("h")
 
 
@@ -75,10 +75,10 @@ def union(*filters: DataFrame) -> DataFrame:
 def might_contain(probes: DataFrame, filter_: DataFrame, blocks: int, column: str = "key", out: str = "hit") -> DataFrame:
     """probes with whether the filter may hold their key. A block that isn't there holds none.
     The filter is broadcast if its number of blocks allows it; else both sides are dealt by block."""
-    hashed = bits.with_mix64(probes, column, "__h").withColumn("__block", block_of(F.col("__h"), blocks))
+    hashed = bits.with_mix64(probes, column, "__h", filled=True).withColumn("__block", block_of(F.col("__h"), blocks))
     words = filter_.select(F.col("block").alias("__b"), *(F.col(w).alias(f"__{w}") for w in WORDS))
     joined = hashed.join(F.broadcast(words) if blocks <= BROADCAST_BLOCKS else words, F.col("__block") == F.col("__b"), "left")
-    hit = F.lit(True)
+    hit = F.col(column).isNotNull()
     for k in range(8):
         hit = hit & (bits.shift_right(F.col(f"__w{k}"), bit_of(F.col("__h"), k)).bitwiseAND(F.lit(1)) == 1)
     return joined.withColumn(out, F.coalesce(hit, F.lit(False))).drop("__h", "__block", "__b", *(f"__{w}" for w in WORDS))

@@ -64,13 +64,17 @@ def free_slot(slot: int, r: int) -> int:
     return slot * 0x7A2F & ((1 << r) - 1) if r < 15 else slot * _FREE & ((1 << r) - 1)
 
 
-def back_substitute(rows: dict[int, tuple[int, int]], slots: int, r: int, w: int) -> np.ndarray:
+#: Rules for slots without an equation: any function of the slot alone gives one solution in every order.
+FREE_RULES = {"mixed": free_slot, "zero": lambda slot, r: 0, "table": lambda slot, r: (slot * slot + 3 * slot + 1) % 251 & ((1 << r) - 1)}
+
+
+def back_substitute(rows: dict[int, tuple[int, int]], slots: int, r: int, w: int, free=free_slot) -> np.ndarray:
     """The solution, from the last slot to the first. For each result bit a window holds that bit of the next w slots."""
     z, ahead, full = np.zeros(slots, np.uint16), [0] * r, (1 << w) - 1
     for slot in range(slots - 1, -1, -1):
         there = rows.get(slot)
         if there is None:
-            value = free_slot(slot, r)
+            value = free(slot, r)
         else:
             rest, value = there[0] >> 1, there[1]
             for k in range(r):
