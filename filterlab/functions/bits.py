@@ -110,7 +110,7 @@ def _stepped(df: DataFrame, source: Column, out: str, steps: list) -> DataFrame:
 
 
 def with_mix64(df: DataFrame, source: Column | str, out: str, filled: bool = False) -> DataFrame:
-    """df with the mix of source. filled hashes a null like 0, by generated code, some five times as fast. Take it
+    """df with the mix of source. filled hashes a null like 0, by generated code, which is faster. Take it
     where the hash only leads to joins, groups and orders: a filter on it would be pushed below all its steps,
     which the optimizer then writes out into one expression. That nothing is null keeps it from asking so itself."""
     x = F.col(source) if isinstance(source, str) else source
