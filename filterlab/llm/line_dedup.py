@@ -37,6 +37,8 @@ from filterlab.llm.graph import components
 
 SHINGLE, SIMILARITY = 8, 0.8
 GRID = 4
+#: Shingles that meet the minima of their line together, in one row.
+PER_ROW = 4
 #: Words of 64 bits in a sketch.
 SKETCH_WORDS = 32
 #: A round of leaders is followed by another while it connects at least this share of the open rows.
@@ -88,9 +90,11 @@ def shingles(line: Column) -> Column:
 def signatures(lines: DataFrame) -> DataFrame:
     """key, m0 .. m15: the minima of every distinct line that has a whole shingle."""
     wide = lines.where(F.length("line") >= SHINGLE).select("key", _wide(F.col("line")).alias("wide"), (F.length("line") - SHINGLE).alias("last"))
-    cut = wide.select("key", "wide", F.explode(F.sequence(F.lit(0), "last")).alias("at"))
-    hashed = cut.select("key", F.xxhash64(_shingle(F.col("wide"), F.col("at"))).alias("h"))
-    return hashed.groupBy("key").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(_masks())))
+    cut = wide.select("key", "wide", "last", F.explode(F.sequence(F.lit(0), "last", F.lit(PER_ROW))).alias("at"))
+    # the last row of a line names its last shingle repeatedly, which no minimum minds
+    hashes = [F.xxhash64(_shingle(F.col("wide"), F.least(F.col("at") + j, "last"))).alias(f"h{j}") for j in range(PER_ROW)]
+    least = [F.min(F.least(*(F.col(f"h{j}").bitwiseXOR(F.lit(m)) for j in range(PER_ROW)))) for m in _masks()]
+    return cut.select("key", *hashes).groupBy("key").agg(*(m.alias(f"m{k}") for k, m in enumerate(least)))
 
 
 def band_members(lines: DataFrame) -> DataFrame:
