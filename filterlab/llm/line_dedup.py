@@ -45,6 +45,8 @@ SKETCH_WORDS = 32
 WORTH_A_ROUND = 0.01
 #: Leaders of a band in each round but the first.
 LEADERS = 8
+#: Lines of a band that one part of its last comparison takes, comparisons of a task, and tasks at most.
+PART, PART_PAIRS, MAX_TASKS = 512, 2_000_000, 20_000
 #: Keys that are broadcast at most (8 bytes each, some 40 in a hash table).
 BROADCAST_KEYS = 500_000
 
@@ -146,6 +148,22 @@ def still_open(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return named.withColumn("low", F.min("root").over(every)).withColumn("high", F.max("root").over(every)).where("low < high").select("band", "key", "root")
 
 
+def unsettled_pairs(rows: DataFrame) -> DataFrame:
+    """a, b: the pairs of one band, but different roots, of the sketched rows (band, key, root, n, x0 ..) that may
+    match. A band of m lines takes m * m comparisons, so it is cut into parts of some PART lines: each part, a row
+    of tasks' own, meets the whole band. Tasks are counted by comparisons, not by bytes: rows are few and pairs many."""
+    sizes = stored(rows.groupBy("band").agg(F.count("*").alias("m")).select(F.col("band").alias("at"), "m", F.ceil(F.col("m") / PART).cast("int").alias("parts")), "line-sizes")
+    work = sizes.agg(F.sum(F.col("m").cast("double") * F.col("m"))).first()[0] or 0
+    tasks = int(min(max(work / PART_PAIRS, 1), MAX_TASKS))
+    cut = rows.join(sizes, F.col("band") == F.col("at")).drop("at", "m")
+    one = cut.withColumn("part", F.pmod(F.xxhash64("key", F.lit(0)), F.col("parts"))).drop("parts").withColumnRenamed("band", "band_a").withColumnRenamed("part", "part_a")
+    every = cut.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts").cast("bigint") - 1))).drop("parts")
+    other = suffixed(every, "_b", band="band", part="part", key="b").repartition(tasks, "band", "part")
+    met = (F.col("band_a") == F.col("band")) & (F.col("part_a") == F.col("part")) & (F.col("root") < F.col("root_b")) & may_match("", "_b")
+    pairs = one.repartition(tasks, "band_a", "part_a").join(other.hint("merge"), met)
+    return pairs.select(F.col("key").alias("a"), "b").distinct()
+
+
 def line_components(lines: DataFrame) -> DataFrame:
     """node, node_check, root: key, check and component of the lines (key, line) that share a band with others."""
     members = stored(band_members(lines), "line-bands")
@@ -180,13 +198,12 @@ def line_components(lines: DataFrame) -> DataFrame:
             break
         n_open = rows.count()
     rows = stored(rows.join(sketched, "key"), "line-unsettled")
-    near = (F.col("root") < F.col("root_b")) & may_match("", "_b")
-    rest = rows.withColumnRenamed("band", "band_a").join(suffixed(rows, "_b", band="band", key="b"), (F.col("band_a") == F.col("band")) & near).select(F.col("key").alias("a"), "b").distinct()
-    links = stored(verified(stored(rest, "line-pairs"), texts), "line-links")
+    rest = stored(unsettled_pairs(rows), "line-pairs")
+    links = stored(verified(rest, texts), "line-links")
     if links.count():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(links))
     nodes = stored(texts.join(roots, F.col("key") == F.col("node"), "left").select(F.col("key").alias("node"), F.hash("line").alias("node_check"), F.coalesce("root", "key").alias("root")), "line-nodes")
-    forget(rows, sketched, texts, links)
+    forget(rows, sketched, texts, rest, links)
     return nodes
 
 
