@@ -8,8 +8,10 @@ import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window as W
 
 #: A word, in Java's and Python's regular expressions alike; bytes.split() splits the same way.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -73,3 +75,26 @@ def mapped(df: DataFrame, column: str, make: Callable[[], Callable[[list], list[
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(kept))), *function(part.column(len(kept)).to_pylist())], names=schema.names)
 
     return df.select(*kept, df[column].alias("__mapped")).mapInArrow(run, schema)
+
+
+#: Rows of a range on average, and ranges at least, when rows are numbered.
+ROWS_PER_RANGE, MIN_RANGES = 50_000, 16
+
+
+def ranked(rows: DataFrame, order: list[Column], group: str) -> DataFrame:
+    """A stored table of rows (a stored one too) with idx, the place from 0 in the order among the rows of a group (never null), and n,
+    the rows of the group. Rows are range-sorted by group and order; a row's number is its place in its range plus the
+    rows of its group in the ranges before, so a hot group is many ranges. The order should tell repeated rows apart, by
+    a lot if nothing else does: rows alike in it can't be in two ranges."""
+    ranges = max(MIN_RANGES, rows.count() // ROWS_PER_RANGE)
+    placed = rows.repartitionByRange(ranges, F.col(group), *order).sortWithinPartitions(F.col(group), *order)
+    written = stored(placed.withColumn("__id", F.monotonically_increasing_id()), "ranked")  # range, and place in it
+    placed = written.withColumns({"__range": F.shiftrightunsigned("__id", 33), "__place": F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))})
+    # a row for each range and group in it
+    sums = placed.groupBy(group, "__range").agg(F.count("*").alias("__rows"), F.min("__place").alias("__first"))
+    ahead = F.coalesce(F.sum("__rows").over(W.partitionBy(group).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = stored(sums.select(F.col(group).alias("__g"), F.col("__range").alias("__r"), (ahead - F.col("__first")).alias("__shift"), F.sum("__rows").over(W.partitionBy(group)).alias("n")), "ranked-sums")
+    joined = placed.join(sums, (F.col(group) == F.col("__g")) & (F.col("__range") == F.col("__r")))
+    found = stored(joined.select(*rows.columns, (F.col("__shift") + F.col("__place")).alias("idx"), "n"), "numbered")
+    forget(written, sums)
+    return found
