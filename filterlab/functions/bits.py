@@ -152,6 +152,14 @@ def np_mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def np_hash(x: np.ndarray, seed: int = 0) -> np.ndarray:
+    """The seeded hash."""
+    x = x.astype(np.uint64) + np.uint64(seed & M64)
+    for c in (HASH_A, HASH_B):
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(c)
+    return x ^ (x >> np.uint64(33))
+
+
 def np_scaled(h: np.ndarray, n: int) -> np.ndarray:
     h, n, m, s = h.astype(np.uint64), np.uint64(n), np.uint64(M32), np.uint64(32)
     return (((h >> s) * n + (((h & m) * n) >> s)) >> s).astype(np.int64)

@@ -58,7 +58,9 @@ def _sql_stream(n: int, seed: int, rep: int = 0) -> str:
     return f"i AS (SELECT range AS ordinal FROM range({n})), k AS (SELECT ordinal, {step} AS s FROM i), {bits.sql_mix64('stream', 'k', 's', 'u')}"
 
 
-_ABSENT = _sql_stream(200_000, keys.ABSENT_SEED) + f", absent AS (SELECT ordinal, xor(u, {keys.ABSENT_XOR}::UBIGINT) AS u FROM stream)"
+#: Absent keys of the rates that SQL recomputes (DuckDB hashes 2,000,000 of them in 36 s), and of the others.
+_PROBES, _MANY_PROBES = 200_000, 2_000_000
+_ABSENT = _sql_stream(_PROBES, keys.ABSENT_SEED) + f", absent AS (SELECT ordinal, xor(u, {keys.ABSENT_XOR}::UBIGINT) AS u FROM stream)"
 
 
 @query(f"WITH {_sql_stream(20_000, keys.MEMBER_SEED)} SELECT ordinal, {bits.sql_signed('u')} AS key FROM stream")
@@ -73,12 +75,12 @@ def keystream_repetition(spark, sf_dir):
 
 @query(f"WITH {_ABSENT} SELECT ordinal, {bits.sql_signed('u')} AS key FROM absent")
 def keystream_absent(spark, sf_dir):
-    return keys.absent_stream(spark, 200_000)
+    return keys.absent_stream(spark, _PROBES)
 
 
 @query(f"WITH {_ABSENT} SELECT ordinal // 8192 AS batch, count(*) AS n, min({bits.sql_signed('u')}) AS least FROM absent GROUP BY 1")
 def probe_batches(spark, sf_dir):
-    return keys.probe_batches(keys.absent_stream(spark, 200_000)).groupBy("batch").agg(F.count("*").alias("n"), F.min("key").alias("least"))
+    return keys.probe_batches(keys.absent_stream(spark, _PROBES)).groupBy("batch").agg(F.count("*").alias("n"), F.min("key").alias("least"))
 
 
 @query("SELECT range AS ordinal, chr(1) || 'probe-' || range AS key FROM range(1000)")
@@ -209,12 +211,12 @@ def _sql_fpr(bpk: str = "10.0") -> str:
 
 @query(f"WITH {_sql_fpr()} SELECT fp, n, round(fp / n, 9) AS fpr FROM fpr")
 def bloom_fpr(spark, sf_dir):
-    return bloom.false_positives(keys.absent_stream(spark, 200_000), *_line_filter(spark, sf_dir))
+    return bloom.false_positives(keys.absent_stream(spark, _PROBES), *_line_filter(spark, sf_dir))
 
 
 @query(f"WITH {_sql_fpr()} SELECT round(log2(n / fp), 6) AS information_bits, round(1.44 * log2(n / fp), 6) AS bloom_bits, 10.0::DOUBLE AS bits_per_key, 10.0 >= 1.44 * log2(n / fp) AS holds FROM fpr")
 def bloom_bound_check(spark, sf_dir):
-    found = bloom.false_positives(keys.absent_stream(spark, 200_000), *_line_filter(spark, sf_dir))
+    found = bloom.false_positives(keys.absent_stream(spark, _PROBES), *_line_filter(spark, sf_dir))
     bound = F.log2(F.col("n") / F.col("fp"))
     return found.select(F.round(bound, 6).alias("information_bits"), F.round(1.44 * bound, 6).alias("bloom_bits"), F.lit(10.0).alias("bits_per_key"), (F.lit(10.0) >= 1.44 * bound).alias("holds"))
 
@@ -227,7 +229,7 @@ def bloom_bits_per_key_sweep(spark, sf_dir):
     out = None
     for b in _SWEEP:
         filter_, blocks = _line_filter(spark, sf_dir, bits_per_key=b)
-        row = bloom.false_positives(keys.absent_stream(spark, 200_000), filter_, blocks).select(F.lit(b).alias("bits_per_key"), F.lit(blocks).cast("bigint").alias("blocks"), "fp", "n", "fpr")
+        row = bloom.false_positives(keys.absent_stream(spark, _PROBES), filter_, blocks).select(F.lit(b).alias("bits_per_key"), F.lit(blocks).cast("bigint").alias("blocks"), "fp", "n", "fpr")
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -328,7 +330,7 @@ def ribbon_false_negatives(spark, sf_dir):
 @query()
 def ribbon_fpr(spark, sf_dir):
     """About 2**-r; a test bounds it."""
-    hits = ribbon.might_contain(keys.absent_stream(spark, 200_000), ribbon.build(order_keys(spark, sf_dir)))
+    hits = ribbon.might_contain(keys.absent_stream(spark, _MANY_PROBES), ribbon.build(order_keys(spark, sf_dir)))
     return hits.agg(F.count_if("hit").alias("fp"), F.count("*").alias("n")).withColumn("fpr", F.round(F.col("fp") / F.col("n"), 9))
 
 
@@ -368,10 +370,14 @@ def ribbon_spill_stress(spark, sf_dir):
     return every
 
 
+_CROWDED = {64: 0.02, 128: 0.005}
+
+
 @query("SELECT w::BIGINT AS w, r::BIGINT AS r, overhead, 0::BIGINT AS false_negatives, true AS rate_is_near FROM (SELECT unnest([64, 128]) AS w), (SELECT unnest([7, 8, 16]) AS r), (SELECT unnest([0, 1.05, 1.15])::DOUBLE AS overhead)")
 def ribbon_configurations(spark, sf_dir):
-    """Overhead 0 is the default. At 1.05 a homogeneous filter is too full for its rate, so that is only bounded from below."""
-    every, some, probes = None, order_keys(spark, sf_dir), 100_000
+    """Overhead 0 is the default. At 1.05 a homogeneous filter is too full for its rate: its bound from above is
+    ``_CROWDED`` more of all probes."""
+    every, some, probes = None, order_keys(spark, sf_dir), 200_000
     for w, r, overhead in itertools.product((64, 128), (7, 8, 16), (0.0, 1.05, 1.15)):
         spec = ribbon.Spec(w, r, overhead or None)
         filter_ = ribbon.build(some, spec)
@@ -379,7 +385,7 @@ def ribbon_configurations(spark, sf_dir):
         seen = ribbon.might_contain(asked, filter_, spec).agg(F.count_if(F.col("member") & ~F.col("hit")).alias("false_negatives"), F.count_if(F.col("hit") & ~F.col("member")).alias("fp"))
         expected = probes * 2.0**-r
         slack = 6 * math.sqrt(expected) + 6
-        near = F.col("fp") >= expected - slack if overhead == 1.05 else F.col("fp").between(expected - slack, expected + slack)
+        near = F.col("fp").between(expected - slack, expected + slack + (_CROWDED[w] * probes if overhead == 1.05 else 0))
         row = seen.select(F.lit(w).cast("bigint").alias("w"), F.lit(r).cast("bigint").alias("r"), F.lit(overhead).alias("overhead"), "false_negatives", near.alias("rate_is_near"))
         every = row if every is None else every.unionByName(row)
     return every
@@ -393,6 +399,64 @@ def ribbon_standard_success(spark, sf_dir):
     return filter_.agg(F.sum("contradictions").alias("contradictions")).join(misses)
 
 
+#: Small shards at a tight overhead: some shards need other seeds than the first.
+_TIGHT, _TIGHT_KEYS = ribbon.Spec(overhead=1.02), 300
+_SQL_PRINTS = f"keys AS (SELECT DISTINCT o_orderkey AS key FROM orders), x AS (SELECT key, xor({bits.sql_unsigned('key')}, {bits.GOLDEN}::UBIGINT) AS s FROM keys), {bits.sql_mix64('m', 'x', 's', 'u')}, prints AS (SELECT key, (u & 127)::INTEGER AS value FROM m)"
+
+
+@query(f"WITH {_SQL_PRINTS} SELECT key, value FROM prints")
+def ribbon_standard_values(spark, sf_dir):
+    """What a standard ribbon of many seeds gives back for its keys: their fingerprints, which SQL hashes by itself."""
+    some = order_keys(spark, sf_dir)
+    filter_, spec = ribbon.build_standard(some, _TIGHT, shard_keys=_TIGHT_KEYS)
+    return ribbon.looked_up(some.distinct(), filter_, spec)
+
+
+@query(f"SELECT ceil(count(DISTINCT o_orderkey) / {_TIGHT_KEYS})::BIGINT AS shards, count(DISTINCT o_orderkey) AS n, true AS few_rebuilt FROM orders")
+def ribbon_standard_seeds(spark, sf_dir):
+    """Seeds of the shards of one filter, and the rows that were built again: each rebuild takes the failed shards alone, so
+    they are far fewer than the rows times the seeds tried."""
+    filter_, spec = ribbon.build_standard(order_keys(spark, sf_dir), _TIGHT, shard_keys=_TIGHT_KEYS)
+    rebuilt, tried = F.sum(F.col("n") * (F.col("seed") - spec.seed)), F.max("seed") - spec.seed
+    return filter_.agg(F.count("*").alias("shards"), F.sum("n").alias("n"), (2 * rebuilt <= F.sum("n") * tried).alias("few_rebuilt"))
+
+
+_RANGE_SLOTS = 1 << 10
+
+
+@query(
+    f"WITH {_SQL_STARTED}, r AS (SELECT start // {_RANGE_SLOTS} AS range, count(*) AS n FROM started GROUP BY 1) SELECT range, range * {_RANGE_SLOTS} AS first, n, "
+    f"least({_RANGE_SLOTS}, slots - range * {_RANGE_SLOTS})::BIGINT AS slots, true AS same FROM r, size"
+)
+def ribbon_slot_ranges(spark, sf_dir):
+    """One ribbon solved over ranges of slots: the keys of each, and whether its values are those of the whole ribbon's solution."""
+    some = order_keys(spark, sf_dir)
+    ranged, _ = ribbon.build_over_ranges(some, range_slots=_RANGE_SLOTS)
+    whole = ribbon.build(some, shard_keys=1 << 40).select(F.col("z").alias("all"))
+    same = F.substring(F.col("all"), (2 * F.col("first") + 1).cast("int"), F.octet_length("z")) == F.col("z")
+    return ranged.join(F.broadcast(whole)).where("n > 0").select("range", "first", "n", (F.octet_length("z") / 2).cast("bigint").alias("slots"), same.alias("same"))
+
+
+@query(f"WITH {_SQL_PRINTS} SELECT key, value FROM prints")
+def ribbon_lookup_by_join(spark, sf_dir):
+    """Lookups as a relation: equations exploded into slots, joined to the slots' values, XORed by key."""
+    some = order_keys(spark, sf_dir)
+    ranged, slots, spec = ribbon.build_standard_over_ranges(some, ribbon.Spec(overhead=1.2), range_slots=1 << 12)
+    return ribbon.looked_up_by_join(some, ranged, slots, spec)
+
+
+@query("SELECT s::BIGINT AS shuffle, true AS same FROM range(1, 6) t(s)")
+def ribbon_shuffled_identity(spark, sf_dir):
+    """Keys inserted in five orders drawn by seeds, and in order of arrival (that of the rows), against the sorted order."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("at"))
+    want, every = ribbon.digest(ribbon.build(rows, strategy="sorted")).select(F.col("digest").alias("want")), None
+    for k in range(1, 6):
+        how = {"strategy": "shuffled", "shuffle": k} if k < 5 else {"strategy": "arrival", "arrival": "at"}
+        row = ribbon.digest(ribbon.build(rows, **how)).join(want).select(F.lit(k).cast("bigint").alias("shuffle"), (F.col("digest") == F.col("want")).alias("same"))
+        every = row if every is None else every.unionByName(row)
+    return every
+
+
 # --- order independence ------------------------------------------------------------------------------
 @query("WITH e AS (SELECT range AS id FROM range(8)) SELECT a.id AS e1, b.id AS e2, c.id AS e3, a.id * 64 + b.id * 8 + c.id AS system FROM e a, e b, e c WHERE a.id <= b.id AND b.id <= c.id")
 def enum_multisets(spark, sf_dir):
@@ -495,11 +559,6 @@ def upper_median(spark, sf_dir):
     return _runs(spark, sf_dir).groupBy("size").agg(an.upper_median("x").alias("upper_median"))
 
 
-@query(f"WITH {_RUNS} SELECT size, list_sort(list(x))[count(x) // 2 + 1] AS upper_median FROM runs GROUP BY size")
-def upper_median_all(spark, sf_dir):
-    return _runs(spark, sf_dir).groupBy("size").agg(an.upper_median("x").alias("upper_median"))
-
-
 @query(f"WITH {_RUNS} SELECT size, round(median(x) FILTER (WHERE arm = 'R'), 4) AS top, round(median(x) FILTER (WHERE arm = 'A'), 4) AS bottom, round(median(x) FILTER (WHERE arm = 'R') / median(x) FILTER (WHERE arm = 'A'), 8) AS ratio FROM runs GROUP BY size")
 def ratio_of_medians(spark, sf_dir):
     out = an.ratio_of_medians(_runs(spark, sf_dir), ["size"], "arm", "R", "A", "x")
@@ -507,7 +566,7 @@ def ratio_of_medians(spark, sf_dir):
 
 
 _BOOT = (
-    f"r AS (SELECT event_type, CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS arm, value AS x, event_id FROM events WHERE event_id % 1 = 0 AND value IS NOT NULL), "
+    f"r AS (SELECT event_type, CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS arm, value AS x, event_id FROM events WHERE value IS NOT NULL), "
     f"n AS (SELECT event_type, arm, x, row_number() OVER (PARTITION BY event_type, arm ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type, arm) AS m FROM r), "
     f"d AS (SELECT event_type, arm, m, s, ((s * 1000003 + i * 131 + CASE WHEN arm = 'even' THEN 1 ELSE 2 END + 231)::UBIGINT) AS k FROM n, range(40) t(s)), {bits.sql_mix64('h', 'd', 'k', 'u')}, "
     f"p AS (SELECT event_type, arm, s, {bits.sql_scaled('u', 'm')} AS i FROM h), j AS (SELECT p.event_type, p.arm, p.s, n.x FROM p JOIN n ON n.event_type = p.event_type AND n.arm = p.arm AND n.i = p.i), "

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +20,14 @@ MEMBER_SEED, ABSENT_SEED, ABSENT_XOR = 0xA11CE, 0xD15EA5E, 0x5555555555555555
 def key_stream(spark: SparkSession, n: int, seed: int = MEMBER_SEED, rep: int = 0) -> DataFrame:
     """ordinal, key: the first n keys of the splitmix64 stream of seed + rep, in closed form, so
     every partition makes its own."""
-    ids = spark.range(n).withColumnRenamed("id", "ordinal")
-    stepped = ids.withColumn("key", bits.mul64(F.col("ordinal") + 1, bits.GOLDEN)).withColumn("key", bits.add64(F.col("key"), seed + rep))
-    return bits.with_mix64(stepped, "key", "mixed").select("ordinal", F.col("mixed").alias("key"))
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(0).to_numpy().astype(np.uint64)
+            mixed = bits.np_mix64((at + np.uint64(1)) * np.uint64(bits.GOLDEN) + np.uint64(seed + rep))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mixed.view(np.int64))], ["ordinal", "key"])
+
+    # arrays rather than column expressions: what reads the keys hashes them further, and Spark would merge all of it into one
+    return spark.range(n).mapInArrow(make, "ordinal bigint, key bigint")
 
 
 def absent_stream(spark: SparkSession, n: int) -> DataFrame:

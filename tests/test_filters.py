@@ -175,6 +175,60 @@ def test_standard_ribbon(spark):
     assert filter_.where("contradictions > 0").count() == 0 and ribbon.might_contain(some, filter_, spec).where("NOT hit").count() == 0
 
 
+def test_seeds_of_shards(spark):
+    some = keys.key_stream(spark, 9000)
+    filter_, spec = ribbon.build_standard(some, ribbon.Spec(overhead=1.02), shard_keys=300)
+    rows = filter_.collect()
+    assert len({r.shard for r in rows}) == len(rows) == 30 and len({r.seed for r in rows}) > 1 and sum(r.contradictions for r in rows) == 0
+    values = ribbon.looked_up(some, filter_, spec)
+    assert values.where(F.col("value") != ribbon.fingerprint(F.col("key"), spec.r)).count() == 0 and values.where("value IS NULL").count() == 0
+    assert ribbon.might_contain(some, filter_, spec).where("NOT hit").count() == 0
+    with pytest.raises(ValueError, match="more keys than slots"):
+        ribbon.build_standard(some, ribbon.Spec(overhead=0.9), shard_keys=300)
+
+
+@pytest.mark.parametrize("w", [64, 128])
+@pytest.mark.parametrize("overhead", [None, 0.9, 1.3])
+def test_ranges_of_slots_solve_as_one(spark, w, overhead):
+    some = keys.key_stream(spark, 1500)
+    for standard in (False, True):
+        spec = ribbon.Spec(w, overhead=overhead, standard=standard)
+        one = ribbon.build(some, spec).first()
+        ranged, slots = ribbon.build_over_ranges(some, spec, range_slots=130)
+        rows = ranged.orderBy("range").collect()
+        assert slots == one.slots and len(rows) == -(-slots // 130) and sum(r.n for r in rows) == one.n
+        assert (sum(r.occupied for r in rows), sum(r.redundant for r in rows)) == (one.occupied, one.redundant)
+        assert b"".join(bytes(r.z) for r in rows) == bytes(one.z) or one.contradictions
+        if w == 64 and not one.contradictions:
+            by_join = {r.key: r.value for r in ribbon.looked_up_by_join(some, ranged, slots, spec).collect()}
+            assert by_join == {r.key: r.value for r in ribbon.looked_up(some, ribbon.build(some, spec), spec).collect()}
+
+
+def test_ranges_of_few_keys(spark):
+    for n in (0, 1, 3):
+        some = keys.key_stream(spark, n)
+        ranged, slots = ribbon.build_over_ranges(some, range_slots=1)
+        z = b"".join(bytes(r.z) for r in ranged.orderBy("range").collect())
+        assert len(z) == 2 * slots and (not n or z == bytes(ribbon.build(some).first().z))
+
+
+def test_affine_maps_compose():
+    rng = random.Random(5)
+    slots, w, r = 90, 8, 7
+    rows = kernel.Band(slots).add((rng.randrange(slots - w + 1), rng.randrange(1 << (w - 1)) * 2 + 1, rng.randrange(1 << r)) for _ in range(70)).rows
+    want = kernel.back_substitute(rows, slots, r, w)
+    for cuts in ([0, 30, 60, 90], [0, 7, 9, 88, 90], [0, 90]):
+        maps = [kernel.affine(rows, a, b - a, r, w) for a, b in itertools.pairwise(cuts)]
+        state, parts = [0] * (w - 1), []
+        for k in range(len(maps) - 1, -1, -1):
+            parts.insert(0, kernel.back_substitute(rows, cuts[k + 1] - cuts[k], r, w, first=cuts[k], state=state))
+            whole = maps[k]
+            for m in maps[k + 1 :]:
+                whole = kernel.composed(whole, m)
+            state = whole[1]
+        assert (np.concatenate(parts) == want).all()
+
+
 def test_orders_of_small_systems(spark):
     seen = checks.order_violations(checks.multisets(spark, 12, 3), 4, 2, 1, 3).collect()
     assert len(seen) == 364 and all(r.solutions_seen <= 1 and r.occupied_seen == 1 and r.failures_seen == 1 for r in seen)
