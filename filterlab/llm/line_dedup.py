@@ -3,7 +3,7 @@
 Lines that hold a letter or a digit take part; others are layout and stay. Two lines are copies if
 the Jaccard similarity of their sets of ``SHINGLE``-character shingles is at least ``SIMILARITY``
 (a shorter line is a shingle by itself, so it is a copy of equal lines only); copies of copies form a
-component, of which one line stays, the one with the least (doc_id, position).
+component, of which one line stays, the one with the least (doc_id, hash of the text, position).
 
 1. Each line gets 16 minima: shingle hashes, XORed with 16 masks that look into different ranges of
    the hash space. Shingles are hashed where the line is read; equal lines share their minima, so the
@@ -20,8 +20,9 @@ component, of which one line stays, the one with the least (doc_id, position).
    shingle sets are XORed into 2,048 bits, common shingles cancel, so the bits that two sketches
    differ in are a lower bound of their sets' symmetric difference.
 
-Null texts and rows with a null doc_id are left as they are. Rows that share a doc_id are taken as
-one document; ids of any type that can be ordered do. An empty table gives an empty result. Lines
+Null texts and rows with a null doc_id are left as they are. A row is known by its id and a hash of its text, so each
+text of an id that several rows share keeps its own lines; rows alike in both are one document, and lose the same
+lines. Ids of any type that can be ordered do, fractions included. An empty table gives an empty result. Lines
 are told apart by 96 bits of two hashes, shingles by 64.
 """
 
@@ -29,7 +30,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window as W
 
 from filterlab.llm.common import forget, stored
@@ -67,9 +68,9 @@ def _bands() -> list[list[int]]:
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, pos, line, key, check of the lines that take part."""
+    """doc_id, row, pos, line, key, check of the lines that take part; row: a hash of the text."""
     have = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    lines = have.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
+    lines = have.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
     return lines.where(F.rlike("line", F.lit(r"[\p{L}\p{N}]"))).withColumns({"key": F.xxhash64("line"), "check": F.hash("line")})
 
 
@@ -208,14 +209,15 @@ def line_components(lines: DataFrame) -> DataFrame:
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, dropped: the positions (from 0, in order) of the lines that a copy stands in for;
-    documents that lose none are left out."""
+    """doc_id, row, dropped: the positions (from 0, in order) of the lines that a copy stands in for, for each row's id and
+    hash of the text; rows that lose none are left out."""
     lines = lines_of(docs, id_col, text_col)
     nodes = line_components(lines.select("key", "line"))
-    place = F.struct("doc_id", "pos")
-    if isinstance(docs.schema[id_col].dataType, NumericType):  # one number is compared faster
-        place = (F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("pos")).cast("decimal(38,0)")
-    at = stored(lines.select("key", "check", "doc_id", "pos", place.alias("place")), "line-places")
+    place = F.struct("doc_id", "row", "pos")
+    if isinstance(docs.schema[id_col].dataType, IntegralType):  # one number is compared faster: 19 digits of id, 9 of hash, 10 of position
+        of_row = F.col("doc_id").cast("decimal(20,0)") * F.lit(10**9).cast("decimal(10,0)") + F.pmod("row", F.lit(10**9))
+        place = (of_row.cast("decimal(28,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos")).cast("decimal(38,0)")
+    at = stored(lines.select("key", "check", "doc_id", "row", "pos", place.alias("place")), "line-places")
     by_line = at.groupBy("key", "check").agg(F.min("place").alias("place"), F.max("place").alias("last"))
     by_line = by_line.join(nodes, (F.col("key") == F.col("node")) & (F.col("check") == F.col("node_check")), "left").where("root IS NOT NULL OR place < last")
     # a line without near copies is a component by itself; its check tells it from another line of its key
@@ -224,24 +226,24 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kept = kept.select(F.col("root").alias("r"), F.col("alone").alias("l"), "kept")
     by_line = by_line.join(kept, (F.col("root") == F.col("r")) & F.col("alone").eqNullSafe(F.col("l"))).select("key", "check", "kept")
     gone = at.join(by_line, ["key", "check"]).where("place <> kept")
-    return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
+    return gone.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_kept, dropped of every row of docs (no lines in a null text)."""
-    gone = dropped_lines(docs, id_col, text_col).select(F.col("doc_id").alias("d"), "dropped")
+    gone = dropped_lines(docs, id_col, text_col).select(F.col("doc_id").alias("d"), F.col("row").alias("r"), "dropped")
     n = F.coalesce(F.size(F.split(text_col, "\n")), F.lit(0))
-    counts = docs.select(F.col(id_col).alias("doc_id"), F.when(F.col(text_col).isNull(), 0).otherwise(n).cast("long").alias("n_lines"))
+    counts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row"), F.when(F.col(text_col).isNull(), 0).otherwise(n).cast("long").alias("n_lines"))
     none = F.array().cast("array<int>")
-    joined = counts.join(gone, F.col("doc_id") == F.col("d"), "left").withColumn("dropped", F.coalesce("dropped", none))
+    joined = counts.join(gone, (F.col("doc_id") == F.col("d")) & (F.col("row") == F.col("r")), "left").withColumn("dropped", F.coalesce("dropped", none))
     return joined.select("doc_id", "n_lines", (F.col("n_lines") - F.size("dropped")).alias("n_kept"), "dropped")
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, in its own columns, without the dropped lines."""
-    gone = dropped_lines(docs, id_col, text_col).select(F.col("doc_id").alias("__line_doc"), F.col("dropped").alias("__line_dropped"))
+    gone = dropped_lines(docs, id_col, text_col).select(F.col("doc_id").alias("__line_doc"), F.col("row").alias("__line_row"), F.col("dropped").alias("__line_dropped"))
     parts = F.split(text_col, "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__line_dropped"))
     text = F.when(F.col("__line_dropped").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(parts, i + 1)), "\n"))
-    joined = docs.join(gone, F.col(id_col) == F.col("__line_doc"), "left")
+    joined = docs.join(gone, (F.col(id_col) == F.col("__line_doc")) & (F.xxhash64(text_col) == F.col("__line_row")), "left")
     return joined.withColumn(text_col, text).select(*docs.columns)

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+import xxhash
 
 from filterlab.llm import line_dedup
 
@@ -8,9 +9,13 @@ SF = "/root/testdata/sf0.001"
 
 
 def brute_dropped(rows, similarity=0.8):
-    """{doc_id: dropped positions} by comparing all pairs of distinct lines."""
-    lines = [(i, p, x) for i, t in rows if i is not None and t is not None for p, x in enumerate(t.split("\n")) if any(c.isalpha() or c.isnumeric() for c in x)]
-    distinct = sorted({x for _, _, x in lines})
+    """{(doc_id, text): dropped positions} by comparing all pairs of distinct lines."""
+    def row(t):  # Spark's hash of the text, which orders the rows of an id
+        h = xxhash.xxh64_intdigest(t.encode(), 42)
+        return (h - (1 << 64 if h >> 63 else 0)) % 10**9
+
+    lines = [(i, row(t), p, x, t) for i, t in rows if i is not None and t is not None for p, x in enumerate(t.split("\n")) if any(c.isalpha() or c.isnumeric() for c in x)]
+    distinct = sorted({x for _, _, _, x, _ in lines})
     sets = [{x[k : k + line_dedup.SHINGLE] for k in range(max(1, len(x) - line_dedup.SHINGLE + 1))} for x in distinct]
     parent = list(range(len(distinct)))
 
@@ -34,9 +39,9 @@ def brute_dropped(rows, similarity=0.8):
                 parent[max(root(k), root(j))] = min(root(k), root(j))
     at = {x: root(k) for k, x in enumerate(distinct)}
     first, out = {}, {}
-    for i, p, x in sorted(set(lines)):
-        if first.setdefault(at[x], (i, p)) != (i, p):
-            out.setdefault(i, []).append(p)
+    for i, h, p, x, t in sorted(set(lines)):
+        if first.setdefault(at[x], (i, h, p)) != (i, h, p):
+            out.setdefault((i, t), []).append(p)
     return out
 
 
@@ -51,7 +56,11 @@ def odd_rows():
         y = list(base[0] + base[1])
         y[rng.randrange(len(y))] = "#"
         rows.append((1000 + k, "".join(x) + "\n" + "".join(y)))
-    return rows + [(2000, None), (2001, ""), (None, base[3]), (2002, base[4]), (2002, base[4]), (2003, "long " * 20_000 + "\n" + "long " * 20_000), (-5, base[5])]
+    return rows + [(2000, None), (2001, ""), (None, base[3]), (2002, base[4]), (2002, base[4]), (2003, "long " * 20_000 + "\n" + "long " * 20_000), (-5, base[5])] + SHARED
+
+
+#: Rows of one id with lines of their own and a line that all have.
+SHARED = [(3001, "A line that rows of this id share"), (3002, "Another opening of the text\nA line that rows of this id share"), (3002, "B has a quite different opening\nZebra crossing notes that nobody else ever wrote down"), (3002, "A line that rows of this id share\nThird text of the id")]
 
 
 def test_lines_against_brute_force(spark):
@@ -59,15 +68,34 @@ def test_lines_against_brute_force(spark):
     for some in (rows, odd_rows()):
         df = spark.createDataFrame([(i, t, "x", 0) for i, t in some], "doc_id long, text string, key string, pos int").repartition(5)
         want = brute_dropped(some)
-        assert {r.doc_id: r.dropped for r in line_dedup.dropped_lines(df).collect()} == want
+        assert sorted((r.doc_id, r.dropped) for r in line_dedup.dropped_lines(df).collect()) == sorted((i, gone) for (i, _), gone in want.items())
         report = line_dedup.line_report(df).collect()
-        assert sorted((str(r.doc_id), r.n_lines, r.n_kept) for r in report) == sorted((str(i), 0 if t is None else t.count("\n") + 1, 0 if t is None else t.count("\n") + 1 - len(want.get(i, []))) for i, t in some)
+        assert sorted((str(r.doc_id), r.n_lines, r.n_kept) for r in report) == sorted((str(i), 0 if t is None else t.count("\n") + 1, 0 if t is None else t.count("\n") + 1 - len(want.get((i, t), []))) for i, t in some)
         cleaned = line_dedup.without_copies(df)
         assert cleaned.columns == df.columns
-        assert sorted((str(r.doc_id), r.text or "") for r in cleaned.collect()) == sorted((str(i), "\n".join(x for p, x in enumerate((t or "").split("\n")) if p not in want.get(i, []))) for i, t in some)
+        assert sorted((str(r.doc_id), r.text or "") for r in cleaned.collect()) == sorted((str(i), "\n".join(x for p, x in enumerate((t or "").split("\n")) if p not in want.get((i, t), []))) for i, t in some)
     assert line_dedup.line_report(df.limit(0)).count() == 0 and line_dedup.without_copies(df.limit(0)).count() == 0
 
 
+def test_ids_of_other_types(spark):
+    for i, j, kind in ((1.2, 1.4, "double"), ("a", "b", "string")):
+        df = spark.createDataFrame([(i, "a line that is copied\nits own first line"), (j, "a line that is copied\nmore of the other"), (j, "yet another text of this id")], f"doc_id {kind}, text string")
+        assert sorted((r.doc_id, r.text) for r in line_dedup.without_copies(df).collect()) == [(i, "a line that is copied\nits own first line"), (j, "more of the other"), (j, "yet another text of this id")]
+
+
+def test_pipeline_keeps_texts_that_share_an_id(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in SHARED] + [(None, None, None, None, None), (7, None, None, None, 1), (8, "", "en", "s", 0)], schema)
+    left = pipeline.lines(spark, docs, SF)
+    assert left.columns == docs.columns and any("Zebra crossing notes" in (r.text or "") for r in left.collect())
+    single = pipeline.near_duplicates(spark, left, SF)
+    assert sum("Zebra crossing notes" in (r.text or "") for r in single.collect()) == 1
+    for name, stage in pipeline.STAGES:  # nothing, and nulls only
+        for some in (docs.limit(0), spark.createDataFrame([(None, None, None, None, None)] * 3, schema)):
+            stage(spark, some, SF).collect()
+
+
 def test_pipeline(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     sentencepiece = pytest.importorskip("sentencepiece")
@@ -86,7 +114,7 @@ def test_pipeline(spark):
     raw, named, lined, single, mixed, coded = ([r.asDict() for r in s.collect()] for s in seen)
     assert len(named) >= 0.98 * len(raw) and all(r["text"] for r in named)
     gone = brute_dropped([(r["doc_id"], r["text"]) for r in named])
-    want = {r["doc_id"]: "\n".join(x for p, x in enumerate(r["text"].split("\n")) if p not in gone.get(r["doc_id"], [])) for r in named}
+    want = {r["doc_id"]: "\n".join(x for p, x in enumerate(r["text"].split("\n")) if p not in gone.get((r["doc_id"], r["text"]), [])) for r in named}
     assert {r["doc_id"]: r["text"] for r in lined} == {i: t for i, t in want.items() if t.strip()}
     lined.sort(key=lambda r: r["doc_id"])
     roots = brute_components([brute_print(r["text"]) for r in lined])
