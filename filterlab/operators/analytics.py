@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from filterlab.functions import bits
+from filterlab.operators import order_stats
+from filterlab.sources.shared import stored
 
 
 def sample_stdev(x: Column | str) -> Column:
@@ -26,17 +28,15 @@ def half_range(x: Column | str) -> Column:
     return (F.max(x) - F.min(x)) / 2
 
 
-def upper_median(x: str) -> Column:
-    """The middle value, the upper one of two: never a mean of two. It is the discrete median from the
-    top; values are counted before the shuffle, so equal ones cost one entry of a group."""
-    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{x}` DESC)")
+def upper_median(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
+    """The middle value of each group, the upper one of two: never a mean of two. Null for a group of nulls."""
+    return order_stats.joined(df.select(*by).distinct(), order_stats.middles(df, by, x).select(*by, "upper_median"), by)
 
 
 def summary(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
     """n, mean, stdev, median, min, max, half range of x for each group."""
-    return df.groupBy(*by).agg(
-        F.count(x).alias("n"), F.avg(x).alias("mean"), sample_stdev(x).alias("stdev"), F.median(x).alias("median"), F.min(x).alias("least"), F.max(x).alias("most"), half_range(x).alias("half_range")
-    )
+    rest = df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), sample_stdev(x).alias("stdev"), F.min(x).alias("least"), F.max(x).alias("most"), half_range(x).alias("half_range"))
+    return order_stats.joined(rest, order_stats.middles(df, by, x).select(*by, "median"), by)
 
 
 def na_mean(x: Column | str) -> Column:
@@ -50,8 +50,10 @@ def pivoted(df: DataFrame, by: Sequence[str], arm: str, arms: Sequence[str], x:
 
 
 def ratio_of_medians(df: DataFrame, by: Sequence[str], arm: str, top: str, bottom: str, x: str) -> DataFrame:
-    a, b = (F.median(F.when(F.col(arm) == v, F.col(x))) for v in (top, bottom))
-    return df.groupBy(*by).agg(a.alias("top"), b.alias("bottom")).withColumn("ratio", F.col("top") / F.col("bottom"))
+    middles = order_stats.middles(df.where(F.col(arm).isin(top, bottom)), [*by, arm], x)
+    a, b = (F.max(F.when(F.col(arm) == v, F.col("median"))) for v in (top, bottom))
+    medians = middles.groupBy(*by).agg(a.alias("top"), b.alias("bottom"))
+    return order_stats.joined(df.select(*by).distinct(), medians, by).withColumn("ratio", F.col("top") / F.col("bottom"))
 
 
 def bootstrap_ratio(df: DataFrame, by: Sequence[str], arm: str, top: str, bottom: str, x: str, order: str, resamples: int = 200, seed: int = 0xE7, level: float = 0.95) -> DataFrame:
@@ -98,7 +100,6 @@ def bootstrap_ratio_of_medians(df: DataFrame, by: Sequence[str], arm: str, top:
     draws are made, by their own distribution: the work is rows + groups x resamples, not their product."""
     by = list(by)
     rows = df.where(F.col(arm).isin(top, bottom) & F.col(x).isNotNull()).select(*by, F.col(arm).alias("arm"), F.col(x).cast("double").alias("x"))
-    numbered = rows.withColumn("place", F.row_number().over(W.partitionBy(*by, "arm").orderBy("x")).cast("bigint") - 1)
     draws = rows.groupBy(*by, "arm").agg(F.count("*").alias("n")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
     keyed = draws.repartition(*by, "arm", "s").withColumn("key", F.xxhash64(F.lit(seed), *by, "arm", "s"))
 
@@ -109,13 +110,16 @@ def bootstrap_ratio_of_medians(df: DataFrame, by: Sequence[str], arm: str, top:
 
     types = dict(rows.dtypes)
     drawn = keyed.mapInPandas(middles, ", ".join([*(f"`{c}` {types[c]}" for c in by), "arm string", "s int", "places array<bigint>"]))
-    each = drawn.select(*by, "arm", "s", F.explode("places").alias("place"))
+    each = stored(drawn.select(*by, "arm", "s", F.explode("places").alias("place")), "bootstrap-places")
+    # middle draws lie around the middle: a small part of a large group's places
+    wanted = each.groupBy(*by, "arm").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    numbered = order_stats.sorted_slice(rows, [*by, "arm"], "x", wanted).withColumnRenamed("value", "x")
     medians = each.join(numbered, [*by, "arm", "place"]).groupBy(*by, "s").agg(*(F.avg(F.when(F.col("arm") == v, F.col("x"))).alias(name) for v, name in ((top, "a"), (bottom, "b"))))
     over = F.when(F.col("b") == 0, F.lit(float("nan"))).otherwise(F.col("a") / F.when(F.col("b") != 0, F.col("b")))
     ranked = medians.where("a IS NOT NULL AND b IS NOT NULL").withColumn("ratio", over).withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy("ratio", "s")) - 1)
     low, high = int(resamples * (1 - level) / 2 + 1e-9), int(resamples * (1 + level) / 2 + 1e-9) - 1
     bounds = ranked.groupBy(*by).agg(F.max(F.when(F.col("rank") == low, F.col("ratio"))).alias("low"), F.max(F.when(F.col("rank") == high, F.col("ratio"))).alias("high"))
-    exact = rows.groupBy(*by).agg(*(F.median(F.when(F.col("arm") == v, F.col("x"))).alias(name) for v, name in ((top, "a"), (bottom, "b")))).select(*by, over.alias("ratio"))
+    exact = ratio_of_medians(rows, by, "arm", top, bottom, "x").select(*by, F.col("top").alias("a"), F.col("bottom").alias("b")).select(*by, over.alias("ratio"))
     return exact.join(bounds, by)
 
 
@@ -131,8 +135,8 @@ def best_of(df: DataFrame, by: Sequence[str], arm: str, x: str) -> DataFrame:
 
 def against_baseline(df: DataFrame, arm: str, baseline: str, x: str) -> DataFrame:
     """x less the baseline arm's x, for each arm."""
-    base = F.max(F.when(F.col(arm) == baseline, F.col(x))).over(W.partitionBy())
-    return df.withColumn("delta", F.col(x) - base)
+    base = df.where(F.col(arm) == baseline).agg(F.max(x).alias("__base"))  # one row
+    return df.join(F.broadcast(base)).withColumn("delta", F.col(x) - F.col("__base")).drop("__base")
 
 
 def speed_up(df: DataFrame, by: Sequence[str], threads: str, x: str) -> DataFrame:
@@ -166,10 +170,18 @@ def identity_join(a: DataFrame, b: DataFrame, on: Sequence[str], x: str) -> Data
     return both.select(*on, (F.col("__in_a").isNotNull() & F.col("__in_b").isNotNull() & F.col("__a").eqNullSafe(F.col("__b"))).alias("equal"))
 
 
+#: Values of b that a value of a meets in one part of the work.
+PAIRED = 1_000
+
+
 def missing_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Pairs of a value of a and a value of b that no row has."""
-    values = df.select(b).distinct().agg(F.collect_set(b).alias("all"))  # the arms: a handful
-    return df.select(a).distinct().join(F.broadcast(values)).select(a, F.explode("all").alias(b)).join(df.select(a, b).distinct(), [a, b], "left_anti")
+    """Pairs of a value of a and a value of b that no row has. Values of b are dealt to parts of some PAIRED, each value
+    of a goes to every part: the result is of that size, but neither side is broadcast or gathered."""
+    values = stored(df.select(b).distinct(), "pairs")
+    parts = max(1, -(-values.count() // PAIRED))
+    dealt = values.withColumn("__part", F.pmod(F.xxhash64(b), F.lit(parts)))
+    every = df.select(a).distinct().withColumn("__part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
+    return every.join(dealt, "__part").select(a, b).join(df.select(a, b).distinct(), [a, b], "left_anti")
 
 
 def differs_clearly(mean_a: Column, mean_b: Column, stdev_a: Column, stdev_b: Column) -> Column:

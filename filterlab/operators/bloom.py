@@ -44,6 +44,11 @@ def _or(places: bool) -> list[Column]:
     return [F.bit_or(one(k)).alias(f"w{k}") for k in range(8)]
 
 
+def ored_places() -> list[Column]:
+    """The words of a block, aggregated over the rows of placed keys."""
+    return _or(True)
+
+
 def build(keys: DataFrame, blocks: int, column: str = "key", strategy: str = "grouped", parts: int = 4) -> DataFrame:
     """The filter of the keys.
 

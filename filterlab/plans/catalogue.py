@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from filterlab.functions import bits
 from filterlab.operators import analytics as an
-from filterlab.operators import bloom, checks, joins, ribbon
+from filterlab.operators import bloom, checks, file_index, joins, ribbon
 from filterlab.sources import artifacts, keys
+from filterlab.sources.shared import new_path
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -271,6 +272,52 @@ def definite_absent_anti(spark, sf_dir):
     return joins.anti_join(order_keys(spark, sf_dir).withColumnRenamed("key", "o_orderkey"), table(spark, sf_dir, "lineitem").select("l_orderkey"), "o_orderkey", "l_orderkey")
 
 
+#: Files that the indexed copy of lineitem has.
+_FILES = 32
+
+
+def _indexed_lines(spark, sf_dir) -> tuple[str, str]:
+    """lineitem written as _FILES files, dealt by the order's remainder, and the index of their order keys."""
+    at, index = new_path(spark, "lines"), new_path(spark, "lines-index")
+    lines = table(spark, sf_dir, "lineitem").withColumn("part", F.col("l_orderkey") % _FILES)
+    lines.repartition(_FILES, "part").write.partitionBy("part").parquet(at)
+    file_index.write_index(spark, at, "l_orderkey", index)
+    return at, index
+
+
+def _some_orders(spark, sf_dir):
+    return table(spark, sf_dir, "orders").where("o_custkey BETWEEN 7 AND 8").select("o_orderkey", "o_orderstatus")
+
+
+_SQL_SOME = "SELECT o_orderkey FROM orders WHERE o_custkey BETWEEN 7 AND 8"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey IN ({_SQL_SOME})")
+def file_index_semi_join(spark, sf_dir):
+    """The lines of a few orders, from the files whose filter may hold one."""
+    at, index = _indexed_lines(spark, sf_dir)
+    return file_index.semi_join(spark, at, index, "l_orderkey", _some_orders(spark, sf_dir), "o_orderkey").select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query(f"SELECT o_orderkey FROM ({_SQL_SOME} UNION ALL SELECT -1 - o_orderkey FROM orders WHERE o_custkey = 7) WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def file_index_absent(spark, sf_dir):
+    """Keys without a line, most of them told by the index alone."""
+    at, index = _indexed_lines(spark, sf_dir)
+    none = table(spark, sf_dir, "orders").where("o_custkey = 7").select((-1 - F.col("o_orderkey")).alias("o_orderkey"))
+    return file_index.absent(spark, at, index, "l_orderkey", _some_orders(spark, sf_dir).select("o_orderkey").unionAll(none), "o_orderkey")
+
+
+@query(f"WITH s AS ({_SQL_SOME}) SELECT (SELECT count(DISTINCT l_orderkey % {_FILES}) FROM lineitem) AS files, (SELECT count(DISTINCT l_orderkey % {_FILES}) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM s)) AS needed, true AS opens_needed, true AS skips_most_others")
+def file_index_opened(spark, sf_dir):
+    """Files of the table, files that hold a match, and whether those opened are these and few others."""
+    at, index = _indexed_lines(spark, sf_dir)
+    some = _some_orders(spark, sf_dir)
+    opened = {f.split("part=")[1].split("/")[0] for f in file_index.pruned(spark, at, index, some, "o_orderkey").inputFiles()}
+    matched = spark.read.parquet(at).join(some, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").agg(F.count_distinct("part").alias("needed"), F.count_if(~F.col("part").cast("string").isin(*opened or [""])).alias("missed"))
+    files = len(spark.read.parquet(at).inputFiles())
+    return matched.select(F.lit(files).cast("bigint").alias("files"), "needed", (F.col("missed") == 0).alias("opens_needed"), (4 * (F.lit(len(opened)) - F.col("needed")) <= files - F.col("needed")).alias("skips_most_others"))
+
+
 # --- ribbon filters --------------------------------------------------------------------------------
 _SPEC = ribbon.Spec()
 
@@ -556,7 +603,7 @@ def single_row_stdev(spark, sf_dir):
 
 @query(f"WITH {_RUNS} SELECT size, list_sort(list(x))[count(x) // 2 + 1] AS upper_median FROM runs GROUP BY size")
 def upper_median(spark, sf_dir):
-    return _runs(spark, sf_dir).groupBy("size").agg(an.upper_median("x").alias("upper_median"))
+    return an.upper_median(_runs(spark, sf_dir), ["size"], "x")
 
 
 @query(f"WITH {_RUNS} SELECT size, round(median(x) FILTER (WHERE arm = 'R'), 4) AS top, round(median(x) FILTER (WHERE arm = 'A'), 4) AS bottom, round(median(x) FILTER (WHERE arm = 'R') / median(x) FILTER (WHERE arm = 'A'), 8) AS ratio FROM runs GROUP BY size")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from filterlab.functions import bits
-from filterlab.operators import bloom, checks, joins, ribbon
+from filterlab.operators import bloom, checks, file_index, joins, ribbon
 from filterlab.operators import ribbon_kernel as kernel
 from filterlab.sources import keys
 
@@ -88,6 +88,23 @@ def test_joins_equal_plain_joins(spark):
     assert sorted(joins.inner_join(a, b, "k", "j").collect()) == sorted(a.join(b, F.col("k") == F.col("j")).collect())
 
 
+def test_file_index(spark, tmp_path):
+    at, index = str(tmp_path / "table"), str(tmp_path / "index")
+    rows = spark.range(20_000).select(F.when(F.col("id") % 50 > 0, F.col("id")).alias("k"), F.col("id").alias("v"), (F.col("id") % 40).alias("part"))
+    rows.repartition("part").write.partitionBy("part").parquet(at)
+    file_index.write_index(spark, at, "k", index)
+    asked = spark.createDataFrame([(81,), (81 + 40,), (4003,), (None,), (10**9,)], "j long")
+    few = file_index.pruned(spark, at, index, asked, "j")
+    assert few.columns == rows.columns and 2 <= len(few.inputFiles()) <= 6 and len(spark.read.parquet(at).inputFiles()) == 40
+    plain = spark.read.parquet(at).join(asked, F.col("k") == F.col("j"))
+    assert sorted(file_index.inner_join(spark, at, index, "k", asked, "j").collect()) == sorted(plain.collect())
+    assert sorted(file_index.semi_join(spark, at, index, "k", asked, "j").collect()) == sorted(plain.drop("j").collect())
+    assert {r.j for r in file_index.absent(spark, at, index, "k", asked, "j").collect()} == {None, 10**9}
+    assert file_index.pruned(spark, at, index, asked.where("j > 100000"), "j").count() == 0
+    spark.createDataFrame([(10**9, 1, 3)], "k long, v long, part int").write.mode("append").partitionBy("part").parquet(at)  # after the index
+    assert {r.j for r in file_index.absent(spark, at, index, "k", asked, "j").collect()} == {None}
+
+
 # --- ribbon ---------------------------------------------------------------------------------------
 def solve(equations, slots, r):
     """Whether the equations have a solution, by Gaussian elimination over columns."""
