@@ -9,10 +9,16 @@ Training: a bounded sample of labelled documents, chosen by a hash of the id amo
 ``may_train`` admits, of each language alike; chains are drawn from lines of different documents,
 so label changes occur inside chains and the transitions learn them. The sample is at most
 ``DOCS_PER_LANG`` documents a language, ``TRAIN_CHARS`` characters of each, in whole lines from a place that
-a hash chooses (one line, if it is longer, is cut); ``MAX_LANGS`` languages at most, the most frequent in
-the sample, bound the model. Prediction reads whole texts, and only texts; ``word_labels`` gives its
+a hash chooses (one line, if it is longer, is cut); the sample as a whole is bounded by ``MAX_LANGS`` times as many documents,
+taken in turn from all languages alike. Prediction reads whole texts, and only texts; ``word_labels`` gives its
 word-by-word labels.
 
+Whether a text is in any learned language at all is told by its spelling: ``familiar`` is the mean share of its words' letter
+trigrams that the sample's words have, and ``Tagger.limit`` what a text should reach. The limit is calibrated on sample documents
+held out in turn: FAMILIAR times the median, over them, of what their words reach that no other document has. So a clean text of new
+words passes, gibberish and other scripts don't; a language of like spelling (Italian
+beside Spanish, Dutch beside German) passes too: nothing that is learned here tells it from prose of new words.
+
 One more label, noise, is learned from words of the sample with their letters shuffled, and given to words
 all of whose letters lie in blocks of Unicode that the sample has nothing of. It is never predicted;
 ``noise`` is its share of a document, so a caller can tell text in no learned language.
@@ -40,6 +46,8 @@ BUCKET_BITS, STEPS, RATE, L2, SEED = 15, 40, 0.3, 1e-6, 7
 BUCKETS = 1 << BUCKET_BITS
 #: Words whose emissions a worker keeps; words that are labelled at a time.
 CACHE_WORDS, CHUNK_WORDS = 400_000, 200_000
+#: Of the usual familiarity of words that the sample lacks, the part that a text needs; sample documents held out are every so many.
+FAMILIAR, HELD_OUT_EVERY = 0.5, 5
 UND = "und"
 #: The label of words that look like none of the learned languages.
 NOISE = "zxx"
@@ -94,6 +102,27 @@ def emissions(cores: list[str], weights: np.ndarray) -> np.ndarray:
     return out
 
 
+def shapes(word: str) -> list[str]:
+    """The letter trigrams of a word of letters, with its ends marked."""
+    whole = f"^{word}$"
+    return [whole[k : k + 3] for k in range(len(word))]
+
+
+def familiarity(word: str, known: frozenset[str]) -> float:
+    return sum(x in known for x in shapes(word)) / len(word) if word else 0.0
+
+
+def calibrated(texts: list[str]) -> tuple[frozenset[str], float]:
+    """The trigrams of the sample's words, and the familiarity that a text should reach."""
+    words = [{c for w in t.split() if (c := core(w))} for t in texts]
+    found = []
+    for k in range(min(HELD_OUT_EVERY, len(words))):
+        others = set().union(*(w for j, w in enumerate(words) if j % HELD_OUT_EVERY != k))
+        known = frozenset(x for w in others for x in shapes(w))
+        found += [float(np.mean([familiarity(w, known) for w in new])) for d in words[k::HELD_OUT_EVERY] if (new := d - others)]
+    return frozenset(x for d in words for w in d for x in shapes(w)), FAMILIAR * float(np.median(found)) if found else 0.0
+
+
 @dataclass
 class Chains:
     """Words of many chains laid out by time: the t-th words of all chains that have one lie together."""
@@ -143,17 +172,18 @@ def forward_backward(potentials: np.ndarray, chains: Chains, start: np.ndarray,
 class Tagger:
     """A trained field. Emissions of words are kept in a bounded cache of each worker."""
 
-    def __init__(self, labels: list[str], weights: np.ndarray, start: np.ndarray, move: np.ndarray, seen: frozenset[int]) -> None:
-        self.labels, self.weights, self.start, self.move, self.seen = labels, weights, start, move, seen
+    def __init__(self, labels: list[str], weights: np.ndarray, start: np.ndarray, move: np.ndarray, seen: frozenset[int], known: frozenset[str] = frozenset(), limit: float = 0.0) -> None:
+        self.labels, self.weights, self.start, self.move, self.seen, self.known, self.limit = labels, weights, start, move, seen, known, limit
         self._fresh()
 
     def _fresh(self) -> None:
         self.index: dict[str, int] = {}
         self.rows = np.empty((1 << 12, len(self.labels)), np.float32)
         self.lettered = np.empty(1 << 12, bool)
+        self.familiar = np.empty(1 << 12, np.float32)
 
     def __getstate__(self) -> dict:
-        return {k: self.__dict__[k] for k in ("labels", "weights", "start", "move", "seen")}
+        return {k: self.__dict__[k] for k in ("labels", "weights", "start", "move", "seen", "known", "limit")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -168,17 +198,19 @@ class Tagger:
             more = max(len(self.rows), k + len(new) - len(self.rows))
             self.rows = np.concatenate([self.rows, np.empty((more, len(self.labels)), np.float32)])
             self.lettered = np.concatenate([self.lettered, np.empty(more, bool)])
+            self.familiar = np.concatenate([self.familiar, np.empty(more, np.float32)])
         cores = [core(w) for w in new]
         e = emissions(cores, self.weights)
         self.rows[k : k + len(new)] = np.maximum(np.exp(e - e.max(1, keepdims=True)), 1e-12)
         strange = [i for i, c in enumerate(cores) if c and not any(block_of(x) in self.seen for x in c)]
         self.rows[k : k + len(new)][strange] = np.where(np.arange(len(self.labels)) == len(self.labels) - 1, 1.0, 1e-12)
         self.lettered[k : k + len(new)] = [bool(c) for c in cores]
+        self.familiar[k : k + len(new)] = [familiarity(c, self.known) for c in cores]
         self.index.update(zip(new, range(k, k + len(new)), strict=True))
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        """The mean marginals of each text's words that have letters; zeros if it has none."""
-        out, total = np.zeros((len(texts), len(self.labels))), np.zeros(len(texts))
+    def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The mean marginals and the mean familiarity of each text's words that have letters; zeros if it has none."""
+        out, total, familiar = np.zeros((len(texts), len(self.labels))), np.zeros(len(texts)), np.zeros(len(texts))
         docs: list[int] = []
         lengths: list[int] = []
         words: list[str] = []
@@ -199,6 +231,7 @@ class Tagger:
             for k in range(len(self.labels)):
                 out[:, k] += np.bincount(doc[have], marginals[have, k], len(texts))
             total[:] += np.bincount(doc[have], minlength=len(texts))
+            familiar[:] += np.bincount(doc[have], self.familiar[rows][have], len(texts))
             for x in (docs, lengths, words):
                 x.clear()
 
@@ -213,7 +246,7 @@ class Tagger:
                 done()
         if words:
             done()
-        return out / np.maximum(total, 1)[:, None]
+        return out / np.maximum(total, 1)[:, None], familiar / np.maximum(total, 1)
 
     def labels_of(self, text: str | None) -> list[str]:
         """The likeliest label of each word."""
@@ -232,14 +265,14 @@ class Tagger:
         best[chains.order] = marginals.argmax(1)
         return [self.labels[k] if self.lettered[r] else UND for k, r in zip(best, rows, strict=True)]
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """The best language of each text, its score, and the share of noise."""
-        s = self.scores(texts)
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """The best language of each text, its score, the share of noise, and the text's familiarity."""
+        s, familiar = self.scores(texts)
         if not self.labels:
-            return [UND] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+            return [UND] * len(texts), *np.zeros((3, len(texts)))
         langs = s[:, :-1]
         names = [self.labels[k] if lettered else UND for k, lettered in zip(langs.argmax(1), s.sum(1) > 0, strict=True)]
-        return names, np.clip(langs.max(1), 0, 1), np.clip(s[:, -1], 0, 1)
+        return names, np.clip(langs.max(1), 0, 1), np.clip(s[:, -1], 0, 1), familiar
 
 
 def fit(texts: list[str], langs: list[str]) -> Tagger:
@@ -298,7 +331,7 @@ def fit(texts: list[str], langs: list[str]) -> Tagger:
             a += 0.1 * (g - a)
             b += 0.01 * (g * g - b)
             x += RATE * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
-    return Tagger(labels, weights.astype(np.float32), np.exp(start - start.max(initial=-1e9)).astype(np.float32), np.exp(move - move.max(initial=-1e9)).astype(np.float32), seen)
+    return Tagger(labels, weights.astype(np.float32), np.exp(start - start.max(initial=-1e9)).astype(np.float32), np.exp(move - move.max(initial=-1e9)).astype(np.float32), seen, *calibrated(texts))
 
 
 def sampled_text(text: str, h: int) -> str:
@@ -336,12 +369,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def predicted(docs: DataFrame, tagger: Tagger, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns keep of docs (all if None), lang_pred, score and noise."""
+    """The columns keep of docs (all if None), lang_pred, score, noise and familiar."""
     def predict(texts: list[str | None]) -> list[pa.Array]:
-        names, scores, noise = tagger.predict(texts)
-        return [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(noise, pa.float64())]
+        names, *numbers = tagger.predict(texts)
+        return [pa.array(names, pa.string()), *(pa.array(x, pa.float64()) for x in numbers)]
 
-    return mapped(docs, text_col, lambda: predict, "lang_pred string, score double, noise double", keep)
+    return mapped(docs, text_col, lambda: predict, "lang_pred string, score double, noise double, familiar double", keep)
 
 
 def word_labels(docs: DataFrame, tagger: Tagger, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -354,7 +387,7 @@ def word_labels(docs: DataFrame, tagger: Tagger, text_col: str = "text", keep: l
 
 
 def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, held_out, lang_pred, score, noise of every row; learns from the rows that aren't held out."""
+    """doc_id, held_out, lang_pred, score, noise, familiar of every row; learns from the rows that aren't held out."""
     out = held_out(F.col(id_col))
     tagger = train(docs, F.col(id_col).isNotNull() & ~out, id_col, text_col, lang_col)
     slim = docs.select(F.col(id_col).alias("doc_id"), out.alias("held_out"), F.col(text_col).alias("text"))
