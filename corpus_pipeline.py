@@ -16,16 +16,16 @@ from filterlab.llm.common import stored, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that are more of one learned language than of none: null texts, texts without
-    a letter and texts that look like noise, or like no learned language, go. If there is nothing to learn
-    from, all documents stay that have a letter."""
+    """Keeps the documents that are spelled like the learned languages: null texts, texts without a letter, and texts
+    whose words are less familiar than the tagger's limit (gibberish, other scripts, languages of other spelling) go; what
+    mixes learned languages stays. If there is nothing to learn from, all documents stay that have a letter."""
     out = langid.held_out(F.col("doc_id"))
     tagger = langid.train(docs, F.col("doc_id").isNotNull() & ~out)
     if not tagger.labels:
         return docs.where(F.rlike("text", F.lit(r"\p{L}")))
     # with names that no column of docs has
-    named = langid.predicted(docs, tagger, "text", docs.columns).toDF(*docs.columns, "__lang", "__score", "__noise")
-    return named.where((F.col("__lang") != langid.UND) & (F.col("__score") > F.col("__noise"))).select(*docs.columns)
+    named = langid.predicted(docs, tagger, "text", docs.columns).toDF(*docs.columns, "__lang", "__score", "__noise", "__familiar")
+    return named.where((F.col("__lang") != langid.UND) & (F.col("__familiar") >= tagger.limit)).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
