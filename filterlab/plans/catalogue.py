@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from filterlab.functions import bits
 from filterlab.operators import analytics as an
-from filterlab.operators import bloom, checks, file_index, joins, ribbon
-from filterlab.sources import artifacts, keys
+from filterlab.operators import bloom, checks, file_index, joins, plain_bloom, ribbon
+from filterlab.sources import artifacts, filter_store, keys
 from filterlab.sources.shared import new_path
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,6 +119,13 @@ def dedupe_adjacent_hosts(spark, sf_dir):
     return keys.without_adjacent_repeats(hosts, "host", "page_id")
 
 
+@query("WITH l AS (SELECT o_orderkey, o_orderpriority, lag(o_orderpriority) OVER (ORDER BY o_orderdate, o_orderkey) AS b FROM orders) SELECT o_orderkey, o_orderpriority FROM l WHERE o_orderpriority IS DISTINCT FROM b AND o_orderpriority IS NOT NULL")
+def dedupe_adjacent_priorities(spark, sf_dir):
+    """Over an order of two columns that isn't a number without gaps."""
+    rows = table(spark, sf_dir, "orders").select("o_orderdate", "o_orderkey", "o_orderpriority")
+    return keys.without_adjacent_repeats(rows, "o_orderpriority", ["o_orderdate", "o_orderkey"]).select("o_orderkey", "o_orderpriority")
+
+
 # --- Bloom filters -------------------------------------------------------------------------------
 def _sql_blocks(n: str, bpk: str) -> str:
     return f"greatest(1, ceil(ceil({n} * {bpk}) / 256))::BIGINT"
@@ -272,6 +279,38 @@ def definite_absent_anti(spark, sf_dir):
     return joins.anti_join(order_keys(spark, sf_dir).withColumnRenamed("key", "o_orderkey"), table(spark, sf_dir, "lineitem").select("l_orderkey"), "o_orderkey", "l_orderkey")
 
 
+_PLAIN_AT = "((((u >> 32) + i::UBIGINT * ((u % 4294967296)::UBIGINT | 1::UBIGINT)) % 4294967296)::UBIGINT * bits::UBIGINT >> 32)::BIGINT"
+
+
+@query(
+    f"WITH {_sql_fpr()}, m AS (SELECT u FROM mixed), b AS (SELECT blocks * 256 AS bits, greatest(1, round(blocks * 256 / (SELECT count(*) FROM keys) * ln(2)))::BIGINT AS k FROM size), "
+    f"there AS (SELECT DISTINCT {_PLAIN_AT} AS at FROM m, b, range(64) t(i) WHERE i < k), asked AS (SELECT ordinal, {_PLAIN_AT} AS at FROM probe, b, range(64) t(i) WHERE i < k), "
+    "h AS (SELECT ordinal, bool_and(there.at IS NOT NULL) AS hit FROM asked LEFT JOIN there ON there.at = asked.at GROUP BY ordinal), "
+    "pair AS (SELECT 'split-block' AS structure, fp, n FROM fpr UNION ALL SELECT 'plain', count(*) FILTER (WHERE hit), count(*) FROM h) SELECT structure, blocks * 32 AS bytes, fp, n, round(fp / n, 9) AS fpr FROM pair, size"
+)
+def bloom_equal_budget(spark, sf_dir):
+    """Two structures of the same bytes: blocks of eight words, and k bits anywhere."""
+    some, absent = line_keys(spark, sf_dir).distinct(), keys.absent_stream(spark, _PROBES)
+    n = some.count()
+    blocks = bloom.n_blocks(n)
+    k = plain_bloom.best_k(n, 256 * blocks)
+    plain = plain_bloom.probed(absent, plain_bloom.build(some, 256 * blocks, k), 256 * blocks, k)
+    every = bloom.might_contain(absent, bloom.build(some, blocks), blocks).select(F.lit("split-block").alias("structure"), "hit").unionByName(plain.select(F.lit("plain").alias("structure"), "hit"))
+    rates = every.groupBy("structure").agg(F.lit(32 * blocks).cast("bigint").alias("bytes"), F.count_if("hit").alias("fp"), F.count("*").alias("n"))
+    return rates.withColumn("fpr", F.round(F.col("fp") / F.col("n"), 9))
+
+
+@query(f"WITH {_SQL_FILTER} SELECT 2::BIGINT AS version, 'bloom' AS kind, * FROM filter")
+def filter_store_bloom(spark, sf_dir):
+    """A Bloom filter written as the second version of a store, read back and checked."""
+    root = new_path(spark, "filters")
+    filter_, blocks = _line_filter(spark, sf_dir)
+    filter_store.write(filter_.where(F.lit(False)), root, "bloom", blocks=0)
+    filter_store.write(filter_, root, "bloom", blocks=blocks)
+    back, manifest = filter_store.read(spark, root)
+    return back.select(F.lit(manifest.version).cast("bigint").alias("version"), F.lit(manifest.kind).alias("kind"), "block", *bloom.WORDS)
+
+
 #: Files that the indexed copy of lineitem has.
 _FILES = 32
 
@@ -492,6 +531,15 @@ def ribbon_lookup_by_join(spark, sf_dir):
     return ribbon.looked_up_by_join(some, ranged, slots, spec)
 
 
+@query(f"WITH {_SQL_PRINTS} SELECT key, value FROM prints")
+def filter_store_ribbon(spark, sf_dir):
+    """A standard ribbon from a store answers with its keys' fingerprints."""
+    root, some = new_path(spark, "filters"), order_keys(spark, sf_dir)
+    filter_, spec = ribbon.build_standard(some, ribbon.Spec(overhead=1.15))
+    filter_store.write(filter_, root, "ribbon", w=spec.w, r=spec.r)
+    return ribbon.looked_up(some.distinct(), filter_store.read(spark, root)[0], spec)
+
+
 @query("SELECT s::BIGINT AS shuffle, true AS same FROM range(1, 6) t(s)")
 def ribbon_shuffled_identity(spark, sf_dir):
     """Keys inserted in five orders drawn by seeds, and in order of arrival (that of the rows), against the sorted order."""

@@ -10,8 +10,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from filterlab.functions import bits
+from filterlab.sources.shared import earlier, in_ranges, stored
 
 #: The seeds of the member and absent streams, and what absent keys are XORed with.
 MEMBER_SEED, ABSENT_SEED, ABSENT_XOR = 0xA11CE, 0xD15EA5E, 0x5555555555555555
@@ -55,18 +57,70 @@ def fixed_length_strings(spark: SparkSession, n: int, length: int = 16, seed: in
     return ids.select("ordinal", F.unhex(F.concat(F.lpad(F.hex("ordinal"), 16, "0"), F.substring(rest, 1, 2 * (length - 8)))).alias("key"))
 
 
-def sample_keys(keys: DataFrame, n: int, seed: int, column: str = "key") -> DataFrame:
-    """n of the distinct keys, drawn by a seeded hash and sorted; the same ones in every run."""
-    drawn = bits.with_mix64(keys.select(column).where(F.col(column).isNotNull()).distinct(), F.col(column).bitwiseXOR(F.lit(bits.signed(seed))), "draw")
-    return drawn.orderBy(F.col("draw").bitwiseXOR(F.lit(-(1 << 63))), column).limit(n).select(column).orderBy(column)
+#: Keys left to choose the last of a sample from.
+FEW = 10_000
+
+
+def _last_drawn(drawn: DataFrame, n: int, column: str) -> tuple[int, object]:
+    """The n-th least (draw, key): counts by twelve bits of the draw show where it lies, again and again."""
+    shift = 52
+    while True:
+        counts = {r.b: r.n for r in drawn.groupBy(F.shiftrightunsigned("draw", shift).bitwiseAND(F.lit(4095)).alias("b")).agg(F.count("*").alias("n")).collect()}  # 4,096 rows
+        for b in sorted(counts):
+            if n <= counts[b]:
+                break
+            n -= counts[b]
+        drawn = drawn.where(F.shiftrightunsigned("draw", shift).bitwiseAND(F.lit(4095)) == b)
+        if counts[b] <= FEW or shift < 12:
+            break
+        shift -= 12
+    unsigned = F.col("draw").bitwiseXOR(F.lit(-(1 << 63)))
+    last = drawn.orderBy(unsigned, column).limit(n).agg(F.max(F.struct(unsigned.alias("u"), F.col(column).alias("key"))).alias("m")).first().m
+    return last.u, last.key
 
 
-def without_adjacent_repeats(rows: DataFrame, value: str, order: str) -> DataFrame:
-    """The rows whose value isn't null and differs from that of the row before, order being a
-    number without gaps. The row before is found by a join, so no task reads all rows."""
-    before = rows.select((F.col(order) + 1).alias("__at"), F.col(value).alias("__before"))
-    joined = rows.where(F.col(value).isNotNull()).join(before, F.col(order) == F.col("__at"), "left")
-    return joined.where(~F.col("__before").eqNullSafe(F.col(value))).select(*rows.columns)
+def sample_keys(keys: DataFrame, n: int, seed: int, column: str = "key", rows: int | None = None) -> DataFrame:
+    """n of the distinct keys, drawn by a seeded hash and sorted; the same ones in every run. If there are fewer, the
+    largest multiple of n / 10 that there is. rows: how many rows keys must have.
+
+    The sample is a filter: the last of it is found from counts, so keys aren't sorted to be cut."""
+    if rows is not None and (found := keys.count()) != rows:
+        raise ValueError(f"{found} keys, not {rows}")
+    drawn = bits.with_mix64(keys.select(column).where(F.col(column).isNotNull()).distinct(), F.col(column).bitwiseXOR(F.lit(bits.signed(seed))), "draw")
+    drawn = stored(drawn, "drawn")
+    total, tenth = drawn.count(), max(1, n // 10)
+    n = n if total >= n else total // tenth * tenth
+    if not n:
+        raise ValueError(f"{total} distinct keys are too few")
+    u, key = _last_drawn(drawn, n, column)
+    unsigned = F.col("draw").bitwiseXOR(F.lit(-(1 << 63)))
+    return drawn.where((unsigned < u) | ((unsigned == u) & (F.col(column) <= key))).select(column).orderBy(column)
+
+
+def without_adjacent_repeats(rows: DataFrame, value: str, order: str | list[str], n: int | None = None, distinct: bool = False) -> DataFrame:
+    """The rows whose value isn't null and differs from that of the row before, in any order (ties go by the value);
+    the first n of them, if n is given, which must be there. distinct: no value may be left twice.
+
+    Rows are range-sorted. Inside a range the row before is the window's; a range's first row has the last value
+    of the range before carried to it, by a row for each range."""
+    columns = [order] if isinstance(order, str) else list(order)
+    held = in_ranges(rows, [*map(F.col, columns), F.col(value)], "adjacent")
+    inside = W.partitionBy("__range").orderBy("__place")
+    last = held.groupBy("__range").agg(F.max_by(F.struct(F.col(value).alias("v")), "__place").alias("__last"))
+    carried = last.select("__range", F.lag("__last").over(W.orderBy("__range")).alias("__carried"))
+    before = held.withColumn("__before", F.lag(F.struct(F.col(value).alias("v"))).over(inside)).join(carried, "__range", "left")
+    kept = before.where(F.col(value).isNotNull() & ~F.coalesce("__before", "__carried")["v"].eqNullSafe(F.col(value)))
+    if n is not None or distinct:
+        kept = stored(kept.select(*rows.columns, "__range", "__place"), "adjacent-kept")
+    if n is not None:
+        sums = kept.groupBy("__range").agg(F.count("*").alias("__n"))
+        ahead = sums.select("__range", earlier("__n", "__range").alias("__ahead"))
+        kept = kept.join(ahead, "__range").withColumn("__at", F.col("__ahead") + F.row_number().over(inside)).where(F.col("__at") <= n)
+        if (found := kept.count()) != n:
+            raise ValueError(f"only {found} rows, not {n}")
+    if distinct and kept.groupBy(value).count().where("count > 1").limit(1).count():
+        raise ValueError(f"values of {value} are not distinct")
+    return kept.select(*rows.columns)
 
 
 def read_u64(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
