@@ -68,9 +68,14 @@ def _bands() -> list[list[int]]:
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, row, pos, line, key, check of the lines that take part; row: a hash of the text."""
-    have = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    lines = have.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
+    """doc_id, row, base, pos, line, key, check of the lines that take part; row: a hash of the text; base: a number for id and
+    row, in order of both, that leaves room for positions (null if ids aren't whole numbers)."""
+    have = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).withColumn("__row", F.xxhash64(text_col))
+    base = F.lit(None).cast("decimal(38,0)")
+    if isinstance(docs.schema[id_col].dataType, IntegralType):  # 19 digits of id, 9 of hash, 10 of position
+        of_row = F.col(id_col).cast("decimal(20,0)") * F.lit(10**9).cast("decimal(10,0)") + F.pmod("__row", F.lit(10**9))
+        base = (of_row.cast("decimal(28,0)") * F.lit(1 << 31).cast("decimal(10,0)")).cast("decimal(38,0)")
+    lines = have.select(F.col(id_col).alias("doc_id"), F.col("__row").alias("row"), base.alias("base"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
     return lines.where(F.rlike("line", F.lit(r"[\p{L}\p{N}]"))).withColumns({"key": F.xxhash64("line"), "check": F.hash("line")})
 
 
@@ -214,9 +219,8 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = lines_of(docs, id_col, text_col)
     nodes = line_components(lines.select("key", "line"))
     place = F.struct("doc_id", "row", "pos")
-    if isinstance(docs.schema[id_col].dataType, IntegralType):  # one number is compared faster: 19 digits of id, 9 of hash, 10 of position
-        of_row = F.col("doc_id").cast("decimal(20,0)") * F.lit(10**9).cast("decimal(10,0)") + F.pmod("row", F.lit(10**9))
-        place = (of_row.cast("decimal(28,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos")).cast("decimal(38,0)")
+    if isinstance(docs.schema[id_col].dataType, IntegralType):  # one number is compared faster
+        place = (F.col("base") + F.col("pos")).cast("decimal(38,0)")
     at = stored(lines.select("key", "check", "doc_id", "row", "pos", place.alias("place")), "line-places")
     by_line = at.groupBy("key", "check").agg(F.min("place").alias("place"), F.max("place").alias("last"))
     by_line = by_line.join(nodes, (F.col("key") == F.col("node")) & (F.col("check") == F.col("node_check")), "left").where("root IS NOT NULL OR place < last")
