@@ -154,6 +154,11 @@ def weighted_ratio(part: Column, whole: Column) -> Column:
     return F.sum(part) / F.sum(whole)
 
 
+def mean_ratio(part: Column, whole: Column) -> Column:
+    """The mean of the rows' ratios; rows whose whole is 0 or missing have none."""
+    return F.avg(part / F.nullif(whole, F.lit(0)))
+
+
 def one_value(x: Column | str) -> Column:
     """Whether a group agrees on one value; groups of nulls don't."""
     return F.count_distinct(x) == 1

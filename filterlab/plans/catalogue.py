@@ -866,6 +866,33 @@ def fixed_length_keys(spark, sf_dir):
     return keys.fixed_length_strings(spark, 50_000, 64, 7).select("ordinal", F.lower(F.hex("key")).alias("key"))
 
 
+@query("SELECT o_orderkey AS n, o_orderpriority AS strategy, o_totalprice AS total_ns_per_key, o_orderstatus AS arm FROM orders")
+def run_records(spark, sf_dir):
+    """Orders as run records, a folder for each arm, read back with the schema of all records; the arm is read from the path."""
+    at = new_path(spark, "records")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("n"), F.col("o_orderpriority").alias("strategy"), F.col("o_totalprice").alias("total_ns_per_key"), F.col("o_orderstatus").alias("arm"))
+    artifacts.write_records(o, at, "arm")
+    back = artifacts.read_records(spark, at, one_per_file=False, corrupt="corrupt").where("corrupt IS NULL")
+    return back.select("n", "strategy", "total_ns_per_key", artifacts.path_part(r"/arm=([^/]+)/").alias("arm"))
+
+
+@query("SELECT event_id, user_id, event_type, CASE WHEN user_id % 5 > 0 THEN value END AS value FROM events")
+def text_table(spark, sf_dir):
+    """A gzipped table of text in which NA stands for what is missing."""
+    at = new_path(spark, "table")
+    some = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.when(F.col("user_id") % 5 > 0, F.col("value")).alias("value"))
+    artifacts.write_table(some, at, "NA", gzipped=True)
+    return artifacts.read_table(spark, at, "event_id bigint, user_id bigint, event_type string, value double")
+
+
+@query("WITH p AS (SELECT l_orderkey, l_extendedprice / l_quantity AS ratio, l_extendedprice AS a, l_quantity AS b FROM lineitem) SELECT l_orderkey, round(avg(ratio) + 1e-9, 6) AS mean_of_ratios, round(sum(a) / sum(b) + 1e-9, 6) AS ratio_of_sums FROM p GROUP BY 1")
+def mean_of_ratios(spark, sf_dir):
+    """Each row's ratio averaged, beside the ratio of the sums, which weighs rows; 1e-9 keeps exact halves from rounding either way."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey")
+    a, b = F.col("l_extendedprice"), F.col("l_quantity")
+    return lines.agg(F.round(an.mean_ratio(a, b) + 1e-9, 6).alias("mean_of_ratios"), F.round(an.weighted_ratio(a, b) + 1e-9, 6).alias("ratio_of_sums"))
+
+
 # --- artifacts -------------------------------------------------------------------------------------------
 @query("SELECT event_id, event_type AS arm, round(value, 3) AS ns_per_key, event_id % 1000 AS n FROM events")
 def parse_log_lines(spark, sf_dir):

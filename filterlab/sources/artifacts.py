@@ -16,9 +16,12 @@ RUN_RECORD = (
 ESTIMATES = "mean struct<point_estimate: double, confidence_interval: struct<lower_bound: double, upper_bound: double>>, std_dev struct<point_estimate: double>"
 
 
-def read_records(spark: SparkSession, path: str, glob: str = "*.json", schema: str = RUN_RECORD, one_per_file: bool = True) -> DataFrame:
-    """JSON records, one to a file or one to a line, with the path each came from."""
-    reader = spark.read.schema(schema).option("multiLine", one_per_file).option("pathGlobFilter", glob)
+def read_records(spark: SparkSession, path: str, glob: str = "*.json", schema: str = RUN_RECORD, one_per_file: bool = True, corrupt: str | None = None) -> DataFrame:
+    """JSON records, one to a file or one to a line, in all folders below path, with the path each came from. corrupt: a
+    column that holds what isn't a record of the schema (which is null otherwise)."""
+    reader = spark.read.schema(schema + (f", {corrupt} string" if corrupt else "")).option("multiLine", one_per_file).option("pathGlobFilter", glob).option("recursiveFileLookup", True)
+    if corrupt:
+        reader = reader.option("columnNameOfCorruptRecord", corrupt)
     return reader.json(path).withColumn("path", F.col("_metadata.file_path"))
 
 
@@ -31,14 +34,15 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("name string, bytes bigint, sha256 string").csv(path, sep=" ")
 
 
-def write_records(df: DataFrame, path: str) -> None:
-    """JSON records; refuses a path that is there."""
-    df.write.mode("errorifexists").json(path)
+def write_records(df: DataFrame, path: str, by: str | None = None) -> None:
+    """JSON records, in a folder for each value of by; refuses a path that is there."""
+    writer = df.write.mode("errorifexists")
+    (writer.partitionBy(by) if by else writer).json(path)
 
 
-def write_table(df: DataFrame, path: str) -> None:
+def write_table(df: DataFrame, path: str, missing: str = "", gzipped: bool = False) -> None:
     """CSV, all or nothing: the commit of a Spark write."""
-    df.write.mode("errorifexists").csv(path, header=True)
+    df.write.mode("errorifexists").csv(path, header=True, nullValue=missing, compression="gzip" if gzipped else "none")
 
 
 def path_part(pattern: str, group: int = 1, path: Column | str = "path") -> Column:

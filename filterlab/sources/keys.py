@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from filterlab.functions import bits
+from filterlab.sources import raw
 from filterlab.sources.shared import earlier, in_ranges, stored
 
 #: The seeds of the member and absent streams, and what absent keys are XORed with.
@@ -123,36 +122,14 @@ def without_adjacent_repeats(rows: DataFrame, value: str, order: str | list[str]
     return kept.select(*rows.columns)
 
 
-def read_u64(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
+def read_u64(spark: SparkSession, path: str, n: int | None = None, part_bytes: int = raw.PART_BYTES) -> DataFrame:
     """ordinal, key of a raw file of little-endian 64-bit keys, or of its first n."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+    spark.dataSource.register(raw.RawNumbers)
+    reader = spark.read.format("raw_u64").option("partBytes", str(part_bytes))
+    return (reader if n is None else reader.option("n", str(n))).load(path)
 
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for content in pdf.content:
-                if len(content) % 8:
-                    raise ValueError("the file isn't a whole number of keys")
-                keys = np.frombuffer(content, "<i8")[:n]
-                for at in range(0, len(keys), 1 << 16):
-                    yield pd.DataFrame({"ordinal": np.arange(at, min(at + (1 << 16), len(keys))), "key": keys[at : at + (1 << 16)]})
 
-    return files.mapInPandas(unpack, "ordinal long, key long")
-
-
-def read_strings(spark: SparkSession, path: str) -> DataFrame:
+def read_strings(spark: SparkSession, path: str, part_bytes: int = raw.PART_BYTES) -> DataFrame:
     """ordinal, key of a raw string file: a count, count + 1 offsets, then the bytes."""
-    files = spark.read.format("binaryFile").load(path).select("content")
-
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for content in pdf.content:
-                (count,) = struct.unpack_from("<Q", content)
-                offsets = np.frombuffer(content, "<u8", count + 1, 8).astype(int)
-                start = 8 * (count + 2)
-                if start + offsets[-1] != len(content):
-                    raise ValueError("the offsets don't cover the file")
-                for at in range(0, count, 1 << 14):
-                    part = range(at, min(at + (1 << 14), count))
-                    yield pd.DataFrame({"ordinal": part, "key": [content[start + offsets[k] : start + offsets[k + 1]].decode() for k in part]})
-
-    return files.mapInPandas(unpack, "ordinal long, key string")
+    spark.dataSource.register(raw.RawStrings)
+    return spark.read.format("raw_strings").option("partBytes", str(part_bytes)).load(path)
