@@ -156,11 +156,13 @@ def drop_signatures(drops: Column) -> Column:
 
 
 #: Shapes (slots, width, result bits) of random instances: small ones for all orders, large ones for sampled orders.
+#: The shapes (slots, width, result bits), fractions of slots and the seed of the experiment that these checks repeat.
 SMALL, LARGE = ((10, 4, 3),), ((40, 8, 7), (96, 16, 7), (200, 32, 8))
+SEED = 12345
 KINDS = ("homogeneous", "consistent", "arbitrary")
 
 
-def random_instances(spark: SparkSession, n: int, kind: str, shapes=SMALL, fewest: float = 0.5, most: float = 0.8, seed: int = 12345) -> DataFrame:
+def random_instances(spark: SparkSession, n: int, kind: str, shapes=SMALL, fewest: float = 0.5, most: float = 0.8, seed: int = SEED) -> DataFrame:
     """instance, m, w, r, i, start, coeff, rhs: the equations of n random systems with fewest * m up to most * m (exclusive)
     equations. Results are zero (homogeneous), those of a hidden solution (consistent), or random (arbitrary). All
     values are hashes of the seed and their place, the same for any partitioning."""
@@ -214,7 +216,7 @@ def instance_orders(instances: DataFrame, orders: int | None = None, seed: int =
 CLASSES = {"A": ("homogeneous", True), "B": ("arbitrary", False), "C": ("arbitrary", True), "D": ("consistent", True)}
 
 
-def order_classes(spark: SparkSession, n: int, orders: int | None = None, classes=CLASSES, seed: int = 12345) -> DataFrame:
+def order_classes(spark: SparkSession, n: int, orders: int | None = None, classes=CLASSES, seed: int = SEED) -> DataFrame:
     """class, tested, identical, occupied_identical: of n random instances of each class's kind those that are dependent as the class
     asks, and how many of them have one solution, and one set of occupied slots, in every order tried."""
     # few independent systems are found near m equations, so the large ones of class B have fewer

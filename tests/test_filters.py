@@ -124,6 +124,7 @@ def solve(equations, slots, r):
     return True
 
 
+# fixed values: shapes and fractions of the experiment that the order checks repeat
 @pytest.mark.parametrize(("slots", "w", "r"), [(10, 4, 3), (40, 8, 7), (96, 16, 7)])
 def test_kernel_solves_in_any_order(slots, w, r):
     rng = random.Random(slots)
