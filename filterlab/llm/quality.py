@@ -14,9 +14,14 @@ Limits come from the spread of all documents around their nearest reference: its
 neither a very even corpus rejects ordinary prose nor a very mixed one keeps everything.
 
 Guards: the character-class distance is used from ``MIN_CHARS`` characters on, the common-word
-distance from ``MIN_WORDS`` words on, if each reference lets expect ``MIN_COMMON`` common words in so
-many; shorter documents pass the divergence test. So do documents whose language has a name but no
-reference: one is made from ``MIN_REFERENCE`` words on.
+distance from ``MIN_WORDS`` words on, and each reference by itself only judges texts of which it lets
+expect ``MIN_COMMON`` common words. A text that is too short for a reference is not judged by its
+words at all if its characters are like that reference's, since it may be of that language; else the
+other references judge it. Documents whose language has a name but no reference pass the
+divergence test: a reference is made from ``MIN_REFERENCE`` words on.
+
+References are a stored table; documents meet them in blocks of about ``BLOCK_REFERENCES``, each sent
+to all tasks, and keep the nearest of all blocks. With that many languages or fewer there is one block.
 
 Null and empty texts have no words and fail the base rules. Null languages serve as no reference.
 Repeated rows give repeated results; an empty table gives an empty result. Other columns of the input
@@ -37,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from filterlab.llm.common import BATCH_ROWS, mapped, stored
+from filterlab.llm.common import BATCH_ROWS, forget, mapped, stored
 
 MIN_WORDS, MIN_CHARS, MIN_REFERENCE = 50, 200, 1000
 #: Least and greatest limits of the class distance and of the word distance.
@@ -45,8 +50,8 @@ CLASS_LIMITS, WORD_LIMITS, SPREAD = (0.25, 0.30), (0.75, 0.90), 3.0
 #: Common words that a text of some language has by expectation; fewer can be none by chance.
 MIN_COMMON = 12
 COMMON_WORDS = 64
-#: Words whose counts a task holds; references whose limits are broadcast.
-HELD_WORDS, BROADCAST_REFERENCES = 200_000, 10_000
+#: Words whose counts a task holds; references that a task holds, and whose limits are broadcast.
+HELD_WORDS, BLOCK_REFERENCES = 200_000, 5_000
 WINDOW = 8
 SYMBOL = re.compile(r"[#*$%&|<>]")
 #: Character classes by Unicode category; white space is a class of its own, all other categories are the last.
@@ -76,19 +81,41 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a + b) / 2, 0))
 
 
-def word_distance(got: np.ndarray, n: int, shares: np.ndarray) -> float | None:
-    """Of a text of n words, got of each common word; shares: theirs in the language, then all others'.
-    None if the text is too short for its common words to tell."""
-    common = 1 - shares[-1]
-    if n * common < MIN_COMMON:
-        return None
-    lacking = max(0.0, 1 - got.sum() / (n * common))
-    p = np.append(got / max(got.sum(), 1) * (1 - lacking), lacking)
-    return float(js_distance(p, np.append(shares[:-1] / common, 0.0)))
-
-
-def language_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> pd.DataFrame:
-    """lang, classes (their shares), words (the most common), word_shares (theirs, then all others').
+class References:
+    """References as arrays, and the place of each common word in them."""
+
+    def __init__(self, refs: pd.DataFrame) -> None:
+        self.langs = refs.lang.tolist()
+        self.classes = np.array(refs.classes.tolist(), float).reshape(-1, N_CLASSES)
+        self.shares = np.zeros((len(refs), COMMON_WORDS + 1))  # of a text's common words; the last cell is what it lacks
+        self.common = np.zeros(len(refs))
+        self.places: dict[str, list[tuple[int, int]]] = {}
+        for k, (words, shares) in enumerate(zip(refs.words, refs.word_shares, strict=True)):
+            self.common[k] = 1 - shares[-1]
+            self.shares[k, : len(words)] = np.asarray(shares[:-1]) / self.common[k]
+            for j, w in enumerate(words):
+                self.places.setdefault(w, []).append((k, j))
+
+    def by_class(self, counts: np.ndarray) -> np.ndarray:
+        """Distance of a text of these class counts from each reference."""
+        return js_distance(counts / counts.sum(), self.classes)
+
+    def by_words(self, low: dict[str, int], n: int) -> np.ndarray:
+        """Distance of a text of n words, low: how often each, from each reference; nan where it lets expect
+        fewer than MIN_COMMON common words."""
+        got = np.zeros_like(self.shares)
+        for w, many in low.items():
+            for k, j in self.places.get(w, ()):
+                got[k, j] = many
+        found = got.sum(1)
+        lacking = np.maximum(0.0, 1 - found / (n * self.common))
+        p = got / np.maximum(found, 1)[:, None] * (1 - lacking)[:, None]
+        p[:, -1] = lacking
+        return np.where(n * self.common < MIN_COMMON, np.nan, js_distance(p, self.shares))
+
+
+def language_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """A stored table: lang, classes (their shares), words (the most common), word_shares (theirs, then all others').
 
     Counted over all documents in one pass: counts are summed in each task, let go at HELD_WORDS
     words, and only then shuffled, so a hot language or word costs a few rows for each task."""
@@ -121,15 +148,14 @@ def language_references(docs: DataFrame, text_col: str = "text", lang_col: str =
     totals = summed.where("kind <> 'w'").groupBy("lang").agg(F.sum(F.when(F.col("kind") == "n", F.col("n"))).alias("total"), *(F.sum(F.when(F.col("kind") == f"c{k}", F.col("n"))).alias(f"c{k}") for k in range(N_CLASSES)))
     # a limit by rank is applied before the shuffle too: a hot language sends COMMON_WORDS rows from each task
     ranked = summed.where("kind = 'w'").withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= COMMON_WORDS)
-    top = ranked.groupBy("lang").agg(F.collect_list(F.struct(F.col("word").alias("w"), "n")).alias("top"))
-    rows = totals.where(F.col("total") >= MIN_REFERENCE).join(top, "lang").orderBy("lang").collect()  # COMMON_WORDS words for each language
-    out = []
-    for r in rows:
-        classes = np.array([r[f"c{k}"] for k in range(N_CLASSES)], float)
-        words = sorted(((x.w, x.n) for x in r.top), key=lambda x: (-x[1], x[0]))
-        shares = np.array([n for _, n in words] + [r.total - sum(n for _, n in words)], float)
-        out.append({"lang": r.lang, "classes": classes / classes.sum(), "words": [w for w, _ in words], "word_shares": shares / shares.sum()})
-    return pd.DataFrame(out, columns=["lang", "classes", "words", "word_shares"])
+    top = ranked.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("less"), "word"))).alias("top"))  # COMMON_WORDS at most
+    chars = sum((F.col(f"c{k}") for k in range(N_CLASSES)), F.lit(0))
+    share = F.transform("top", lambda x: -x.less / F.col("total"))
+    others = (F.col("total") + F.aggregate("top", F.lit(0).cast("long"), lambda a, x: a + x.less)) / F.col("total")
+    refs = totals.where(F.col("total") >= MIN_REFERENCE).join(top, "lang").select("lang", F.array(*(F.col(f"c{k}") / chars for k in range(N_CLASSES))).alias("classes"), F.col("top.word").alias("words"), F.concat(share, F.array(others)).alias("word_shares"))
+    found = stored(refs, "quality-references")
+    forget(summed)
+    return found
 
 
 def repeated_window_words(ids: np.ndarray, width: int = WINDOW) -> int:
@@ -152,9 +178,9 @@ def repeated_window_words(ids: np.ndarray, width: int = WINDOW) -> int:
     return int((edge.cumsum()[:-1] > 0).sum())
 
 
-def judge(text: str | None, refs: pd.DataFrame) -> tuple:
-    """The counts, base_failed, and the nearest reference by classes and by words with its distance, None
-    where a guard holds, of one text."""
+def judge(text: str | None, refs: References) -> tuple:
+    """The counts, base_failed, the nearest reference by classes and by words with its distance, None where a
+    guard holds, and whether a reference excuses its words, of one text."""
     if text is None:
         text = ""
     words = text.encode("utf-8", "surrogatepass").split()
@@ -164,21 +190,21 @@ def judge(text: str | None, refs: pd.DataFrame) -> tuple:
     lines = [x for x in text.split("\n") if x.strip(" \t\n\v\f\r")]
     repeat = repeated_window_words(ids)
     failed = n < 20 or 100 * repeat > 30 * n
-    by_class = by_words = (None, None)
-    if len(refs):
+    by_class, by_words, excused = (None, None), (None, None), False
+    if refs.langs and (len(text) >= MIN_CHARS or n >= MIN_WORDS):
+        far = refs.by_class(class_counts(text))
         if len(text) >= MIN_CHARS:
-            mine = class_counts(text)
-            far = js_distance(mine / mine.sum(), np.stack(refs.classes))
-            by_class = (refs.lang.iloc[int(far.argmin())], float(far.min()))
+            by_class = (refs.langs[int(far.argmin())], float(far.min()))
         if n >= MIN_WORDS:
-            low: dict[bytes, int] = {}
+            low: dict[str, int] = {}
             for w, k in zip(names, np.bincount(ids, minlength=len(names)).tolist(), strict=True):
                 w = w.decode("utf-8", "surrogatepass").lower()
                 low[w] = low.get(w, 0) + k
-            each = [word_distance(np.array([low.get(w, 0) for w in common], float), n, shares) for common, shares in zip(refs.words, refs.word_shares, strict=True)]
-            if None not in each:
-                by_words = (refs.lang.iloc[int(np.argmin(each))], min(each))
-    return n, chars, len(SYMBOL.findall(text)), len(lines) - len(set(lines)), repeat, failed, *by_class, *by_words
+            each = refs.by_words(low, n)
+            excused = bool((far[np.isnan(each)] <= CLASS_LIMITS[1]).any())
+            if not np.isnan(each).all():
+                by_words = (refs.langs[int(np.nanargmin(each))], float(np.nanmin(each)))
+    return n, chars, len(SYMBOL.findall(text)), len(lines) - len(set(lines)), repeat, failed, *by_class, *by_words, excused
 
 
 FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_lang string, class_distance double, word_lang string, word_distance double"
@@ -193,25 +219,56 @@ def limits(judged: DataFrame, lang_col: str, distance_col: str, least: float, mo
     return spread.select(lang_col, F.least(F.lit(most), F.greatest(F.lit(least), F.col("high") + F.lit(SPREAD) * (F.col("high") - F.col("low")))).alias(distance_col.replace("distance", "limit")))
 
 
-def quality(docs: DataFrame, refs: pd.DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, FIELDS, class_limit, word_limit and kept of every row. refs: of language_references();
-    counted over docs if None."""
-    refs = language_references(docs, text_col, lang_col) if refs is None else refs
+def judged_by(slim: DataFrame, block: DataFrame) -> DataFrame:
+    """The columns of slim but its text, FIELDS, excused, and named: whether the row's language is in the block."""
+    pdf = block.toPandas()  # about BLOCK_REFERENCES rows
+
+    def make():
+        refs = References(pdf)
+
+        def judging(texts: list[str | None]) -> list[pa.Array]:
+            rows = [judge(t, refs) for t in texts]
+            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.string(), pa.float64(), pa.string(), pa.float64(), pa.bool_()]
+            return [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
 
-    def judging(texts: list[str | None]) -> list[pa.Array]:
-        rows = [judge(t, refs) for t in texts]
-        kinds = [pa.int64()] * 5 + [pa.bool_(), pa.string(), pa.float64(), pa.string(), pa.float64()]
-        return [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+        return judging
 
-    named = F.col(lang_col).isNotNull() & ~F.col(lang_col).isin(refs.lang.tolist())
-    slim = docs.select(F.col(id_col).alias("doc_id"), named.alias("no_reference"), F.col(text_col).alias("text"))
-    judged = stored(mapped(slim, "text", lambda: judging, FIELDS, ["doc_id", "no_reference"]), "quality-judged")
+    keep = [c for c in slim.columns if c != "text"]
+    judged = mapped(slim, "text", make, FIELDS + ", excused boolean", keep)
+    named = block.select(F.col("lang").alias("__lang"), F.lit(True).alias("named"))
+    return judged.join(F.broadcast(named), F.col("lang") == F.col("__lang"), "left").drop("__lang").withColumn("named", F.col("named").isNotNull())
+
+
+def nearest(slim: DataFrame, refs: DataFrame, per_block: int) -> DataFrame:
+    """A stored table: the columns of slim but its text, FIELDS, excused and named, by all references."""
+    blocks = max(1, -(-refs.count() // per_block))
+    if blocks == 1:
+        return stored(judged_by(slim, refs), "quality-judged")
+    numbered = stored(slim.withColumn("__row", F.monotonically_increasing_id()), "quality-rows")
+    block = F.pmod(F.xxhash64("lang"), F.lit(blocks))
+    parts = [stored(judged_by(numbered, refs.where(block == b)), "quality-block") for b in range(blocks)]
+    one = functools.reduce(DataFrame.unionAll, parts)
+    same = [c for c in one.columns if c not in ("__row", "class_lang", "class_distance", "word_lang", "word_distance", "excused", "named")]
+    least = {k: F.min(F.when(F.col(f"{k}_distance").isNotNull(), F.struct(f"{k}_distance", f"{k}_lang"))) for k in ("class", "word")}
+    whole = one.groupBy("__row").agg(*(F.first(c).alias(c) for c in same), *(v.alias(k) for k, v in least.items()), F.bool_or("excused").alias("excused"), F.bool_or("named").alias("named"))
+    found = stored(whole.select(*same, "class.class_lang", "class.class_distance", "word.word_lang", "word.word_distance", "excused", "named"), "quality-judged")
+    forget(numbered, *parts)
+    return found
+
+
+def quality(docs: DataFrame, refs: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_block: int = BLOCK_REFERENCES) -> DataFrame:
+    """doc_id, FIELDS, class_limit, word_limit and kept of every row. refs: of language_references();
+    counted over docs if None. per_block: references that a task holds at a time, on average."""
+    refs = language_references(docs, text_col, lang_col) if refs is None else refs
+    all_judged = nearest(docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), refs, per_block)
+    judged = all_judged.withColumns({f"word_{x}": F.when(~F.col("excused"), F.col(f"word_{x}")) for x in ("lang", "distance")})
 
     def beyond(what: str) -> Column:
         return F.coalesce(F.col(f"{what}_distance") > F.col(f"{what}_limit"), F.lit(False))
 
     # a row for each reference at most; sent to all tasks, so a hot language isn't one task
-    few = F.broadcast if len(refs) <= BROADCAST_REFERENCES else lambda df: df
+    few = F.broadcast if refs.count() <= BLOCK_REFERENCES else lambda df: df
     both = judged.join(few(limits(judged, "class_lang", "class_distance", *CLASS_LIMITS)), "class_lang", "left").join(few(limits(judged, "word_lang", "word_distance", *WORD_LIMITS)), "word_lang", "left")
-    kept = ~F.col("base_failed") & (F.col("no_reference") | ~(beyond("class") | beyond("word")))
+    no_reference = F.col("lang").isNotNull() & ~F.col("named")
+    kept = ~F.col("base_failed") & (no_reference | ~(beyond("class") | beyond("word")))
     return both.select("doc_id", *(x.split()[0] for x in FIELDS.split(", ")), "class_limit", "word_limit", kept.alias("kept"))
