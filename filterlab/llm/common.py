@@ -24,6 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_key(df: DataFrame) -> Column:
+    """128 bits of hashes of a row's columns. A null leaves a hash as it is, so which columns are null is hashed too."""
+    both = [*(df[c] for c in df.columns), *(df[c].isNull() for c in df.columns)]
+    return F.struct(F.xxhash64(*both).alias("one"), F.xxhash64(F.lit(1), *both).alias("other"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir. Where that is unset a local session gets a folder of its
     own; a cluster has no folder that all its machines share, so there it is an error."""
@@ -37,12 +43,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
+def stored(df: DataFrame, tag: str, plain: bool = False) -> DataFrame:
     """df written once as a table in the shared folder and read back: its lineage ends there,
-    so a lost executor costs the reading of a file and not the work before it."""
+    so a lost executor costs the reading of a file and not the work before it. Plain: without dictionaries
+    and compression, which hashes don't gain by."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/filterlab/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    options = {"parquet.enable.dictionary": "false", "compression": "none"} if plain else {}
+    df.write.options(**options).parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     _paths[found] = path
     return found

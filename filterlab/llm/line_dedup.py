@@ -40,6 +40,8 @@ SHINGLE, SIMILARITY = 8, 0.8
 GRID = 4
 #: Shingles that meet the minima of their line together, in one row.
 PER_ROW = 4
+#: A band is hot if it holds at least one of HOT_SHARE sampled lines, and HOT_SAMPLES of them; one line of SAMPLED is in the sample.
+HOT_SHARE, HOT_SAMPLES, SAMPLED = 1_000, 20, 256
 #: Words of 64 bits in a sketch.
 SKETCH_WORDS = 32
 #: A round of leaders is followed by another while it connects at least this share of the open rows.
@@ -106,12 +108,29 @@ def signatures(lines: DataFrame) -> DataFrame:
 
 
 def band_members(lines: DataFrame) -> DataFrame:
-    """band, key, least: the lines of every band that holds more than one, and its least."""
+    """band, key, least: the lines of every band that holds more than one, and its least.
+
+    A window finds the least and the greatest line of a band, which puts a band in one task. Bands that are likely to hold
+    1 / HOT_SHARE of all lines or more, by a sample of the keys, are aggregated instead (combined before the shuffle) and
+    joined with a broadcast table of at most 20 * HOT_SHARE rows. The sample only chooses the way; both give the same rows."""
     bands = F.array(*(F.xxhash64(F.lit(k), *(F.col(f"m{i}") for i in band)) for k, band in enumerate(_bands())))
+    minima = stored(signatures(lines), "line-minima", plain=True)
+    banded = minima.select("key", F.explode(bands).alias("band"))
+    sample = minima.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(SAMPLED)) == 0)
+    enough = max(HOT_SAMPLES, sample.count() // HOT_SHARE)
+    hot = sample.select(F.explode(bands).alias("at")).groupBy("at").count().where(F.col("count") >= enough).select("at")
+    hot = stored(hot.coalesce(1), "line-hot")
     every = W.partitionBy("band")
-    banded = signatures(lines).select("key", F.explode(bands).alias("band"))
-    banded = banded.withColumn("least", F.min("key").over(every)).withColumn("most", F.max("key").over(every))
-    return banded.where("least < most").select("band", "key", "least")
+    cool = banded
+    if any_hot := hot.count() > 0:
+        cool = banded.join(F.broadcast(hot), F.col("band") == F.col("at"), "left_anti")
+    cool = cool.withColumn("least", F.min("key").over(every)).withColumn("most", F.max("key").over(every))
+    members = cool.where("least < most").select("band", "key", "least")
+    if any_hot:
+        warm = banded.join(F.broadcast(hot), F.col("band") == F.col("at"), "left_semi")
+        least = stored(warm.groupBy(F.col("band").alias("at")).agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").drop("most"), "line-hot-bounds")
+        members = members.unionAll(banded.join(F.broadcast(least), F.col("band") == F.col("at")).select("band", "key", "least"))
+    return members
 
 
 def sketches(texts: DataFrame) -> DataFrame:
@@ -148,10 +167,12 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def still_open(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """band, key, root of the rows (band, key) whose band holds lines of more than one component."""
-    named = rows.join(roots, F.col("key") == F.col("node"), "left").select("band", "key", F.coalesce("root", "key").alias("root"))
-    every = W.partitionBy("band")
-    return named.withColumn("low", F.min("root").over(every)).withColumn("high", F.max("root").over(every)).where("low < high").select("band", "key", "root")
+    """band, key, root of the rows (band, key) whose band holds lines of more than one component; a stored table."""
+    named = stored(rows.join(roots, F.col("key") == F.col("node"), "left").select("band", "key", F.coalesce("root", "key").alias("root")), "line-named")
+    mixed = named.groupBy(F.col("band").alias("at")).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("at")
+    found = stored(named.join(mixed, F.col("band") == F.col("at"), "left_semi"), "line-open")
+    forget(named)
+    return found
 
 
 def unsettled_pairs(rows: DataFrame) -> DataFrame:
@@ -179,7 +200,7 @@ def line_components(lines: DataFrame) -> DataFrame:
     pairs = stored(members.where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b")).distinct(), "line-pairs")
     roots = components(verified(pairs, texts))
     # the leaders of the first round were compared with all others of their bands
-    rows = stored(still_open(members.where("key <> least").select("band", "key"), roots), "line-open")
+    rows = still_open(members.where("key <> least").select("band", "key"), roots)
     forget(members, wanted, pairs)
     sketched = stored(sketches(texts.join(rows.select("key").distinct(), "key", "left_semi")), "line-sketches")
     turn, n_open = 0, rows.count()
@@ -198,7 +219,7 @@ def line_components(lines: DataFrame) -> DataFrame:
         found, before = links.count(), rows
         if found:
             roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(links))
-        rows = stored(still_open(led.where(~F.array_contains("leaders", F.col("key"))).select("band", "key"), roots), "line-open")
+        rows = still_open(led.where(~F.array_contains("leaders", F.col("key"))).select("band", "key"), roots)
         forget(before, led, pairs, links)
         if found < WORTH_A_ROUND * n_open:
             break

@@ -45,6 +45,15 @@ def brute_dropped(rows, similarity=0.8):
     return out
 
 
+def test_hot_bands_give_the_same_members(spark, monkeypatch):
+    docs = spark.createDataFrame(odd_rows(), "doc_id long, text string")
+    lines = line_dedup.lines_of(docs, "doc_id", "text").select("key", "line")
+    want = sorted(map(tuple, line_dedup.band_members(lines).collect()))
+    monkeypatch.setattr(line_dedup, "SAMPLED", 2)
+    monkeypatch.setattr(line_dedup, "HOT_SAMPLES", 3)  # some bands are hot now, others aren't
+    assert want and sorted(map(tuple, line_dedup.band_members(lines).collect())) == want
+
+
 def odd_rows():
     rng = random.Random(12)
     words = ["river", "stone", "Straße", "漢字", "walks", "under", "bridge", "slowly", "1984", "evening"]
