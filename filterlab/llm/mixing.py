@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from filterlab.llm.common import WORD, stored
+from filterlab.llm.common import WORD, row_key, stored
 
 #: Rows of a bucket of the shuffled order, and of a range of the sorted one, on average; buckets at least; sources broadcast.
 ROWS_PER_BUCKET, MIN_BUCKETS, BROADCAST_SOURCES = 50_000, 64, 10_000
@@ -106,8 +106,8 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most: int = 3, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself, in order of finish time: every row of docs as often as the plan takes it, with docs'
-    own columns. Rows are known by a hash of all their columns, so rows alike in all of them share their copies."""
-    rows = timed(docs, weights, share, most, seed, id_col, text_col, source_col, F.xxhash64(*docs.columns))
+    own columns. Rows are known by 128 bits of hashes of all their columns, so rows alike in all of them share their copies."""
+    rows = timed(docs, weights, share, most, seed, id_col, text_col, source_col, row_key(docs))
     taken = truncated(rows, most).join(rows.select("row", "tag"), "row").select(F.col("tag").alias("__mix_tag"), F.col("upto").alias("__mix_upto"))
-    keyed = docs.withColumn("__mix_row", F.xxhash64(*docs.columns)).dropDuplicates(["__mix_row"])
+    keyed = docs.withColumn("__mix_row", row_key(docs)).dropDuplicates(["__mix_row"])
     return taken.join(keyed, F.col("__mix_tag") == F.col("__mix_row")).sort("__mix_upto").select(*docs.columns)

@@ -183,8 +183,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
         return pd.DataFrame({"g": g.g, "q": np.repeat(np.arange(g.rows, dtype=np.int32), at.shape[1]), "block": others.block.to_numpy()[at].ravel(), "bound": [float(max(-1e300, min(1e300, x))) for x in np.take_along_axis(found, at, 1).ravel()]})
 
     def reaching(g, others: pd.DataFrame) -> pd.DataFrame:
-        floors = [-np.inf if x is None else x for x in floors_of(g)]
-        sent = (limits(g, others) >= np.array(floors, object)[:, None]).any(0)
+        found, floors = limits(g, others), [-np.inf if x is None else x for x in floors_of(g)]
+        if found.dtype != object:  # bounds that doubles hold are under 2**53, where a larger floor is as good as any
+            floors = [float(max(-1e300, min(1e300, x))) for x in floors]
+        sent = (found >= np.array(floors, found.dtype)[:, None]).any(0)
         return pd.DataFrame({"g": g.g, "block": others.block.to_numpy()[sent.astype(bool)]})
 
     def meet(function, schema: str, left: DataFrame) -> DataFrame:

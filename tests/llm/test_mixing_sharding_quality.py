@@ -50,6 +50,12 @@ def test_mix(spark):
     assert mixing.mix_plan(docs.limit(0)).count() == 0 and mixing.mixed(docs.limit(0)).count() == 0
 
 
+def test_rows_that_differ_in_the_place_of_a_null_are_both_mixed(spark):
+    rows = [(None, "one two three", "s", None, "a"), (None, "one two three", "s", "a", None)]
+    out = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, extra string"))
+    assert sorted(map(str, out.collect())) == sorted(map(str, spark.createDataFrame(rows, out.schema).collect()))
+
+
 def test_shards(spark):
     rows = ROWS + [(1000 + i, f"text {i} " * (i % 40), "en", "a", 0, "", "", "") for i in range(3000)] + [(9000 + i, "same", "en", "a", 0, "", "", "") for i in range(1500)]
     docs = spark.createDataFrame(rows, SCHEMA)
