@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filterlab.llm import langid, line_dedup, mixing, simhash, spm
-from filterlab.llm.common import stored, table
+from filterlab.llm.common import row_key, stored, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each SimHash group: that of the least id, null ids last; of rows that share it, the one of
     the least hash over all columns. Rows alike in all columns are one."""
-    row = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.xxhash64(*docs.columns).alias("hash"))
+    row = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), row_key(docs).alias("hash"))
     keyed = docs.withColumn("__row", row)
     first = simhash.simhash_groups(keyed, id_col="__row").where("doc_id = component_id").select(F.col("doc_id.hash").alias("__hash"), F.col("doc_id.id").alias("__id")).distinct()
     kept = keyed.join(first, (F.col("__row.hash") == F.col("__hash")) & F.col("__row.id").eqNullSafe(F.col("__id")))
