@@ -74,15 +74,17 @@ def mapped(df: DataFrame, column: str, make: Callable[[], Callable[[list], list[
     that turns a list of values of a column into one array for each new field."""
     kept, new = df.columns if keep is None else keep, StructType.fromDDL(fields)
     schema = StructType([*(df.schema[c] for c in kept), *new])
+    also = [] if column in kept else [df[column].alias("__mapped")]  # texts are long: a column that is kept goes once
+    place = len(kept) if also else kept.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make()
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(kept))), *function(part.column(len(kept)).to_pylist())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(kept))), *function(part.column(place).to_pylist())], names=schema.names)
 
-    return df.select(*kept, df[column].alias("__mapped")).mapInArrow(run, schema)
+    return df.select(*kept, *also).mapInArrow(run, schema)
 
 
 #: Rows of a range on average, and ranges at least, when rows are numbered.

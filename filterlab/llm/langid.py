@@ -45,7 +45,7 @@ DOCS_PER_LANG, TRAIN_CHARS, MAX_LANGS = 150, 20_000, 60
 BUCKET_BITS, STEPS, RATE, L2, SEED = 15, 40, 0.3, 1e-6, 7
 BUCKETS = 1 << BUCKET_BITS
 #: Words whose emissions a worker keeps; words that are labelled at a time.
-CACHE_WORDS, CHUNK_WORDS = 400_000, 200_000
+CACHE_WORDS, CHUNK_WORDS = 200_000, 200_000
 #: Of the usual familiarity of words that the sample lacks, the part that a text needs; sample documents held out are every so many.
 FAMILIAR, HELD_OUT_EVERY = 0.5, 5
 UND = "und"

@@ -30,8 +30,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 
 MARK = "▁"
-#: Words, and token pairs, whose results a worker keeps; longer words are encoded anew each time.
-CACHE_WORDS, LONGEST_KEPT, CACHE_PAIRS = 1_000_000, 64, 500_000
+#: Words, and token pairs, whose results a task keeps; longer words are encoded anew each time.
+CACHE_WORDS, LONGEST_KEPT, CACHE_PAIRS = 250_000, 64, 250_000
 ROWS_AT_ONCE = 256
 _NEVER = 1 << 40
 
@@ -124,6 +124,12 @@ class Model:
         self.line_break = self.pack(self.encode_chars("\n"))
         self.words = Words(self)
 
+    def forget(self) -> None:
+        """Empties the caches: the model outlives its task, and what runs next in the worker needs the memory."""
+        self.words.clear()
+        self.words.bare.clear()
+        self.memo.clear()
+
     def compatible(self, a: int, b: int) -> bool:
         """Whether a then b is what byte-pair encoding makes of their joined text."""
         found = self.memo.get(a * self.span + b)
@@ -293,10 +299,10 @@ def model(path: str) -> Model:
     return Model(path)
 
 
-def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids, decoded of every row. model_path must lead to the model on every machine."""
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(model_path)
+def coded(batches: Iterator[pa.RecordBatch], model_path: str) -> Iterator[pa.RecordBatch]:
+    """doc_id, ids, decoded of batches of ids and texts."""
+    m = model(model_path)
+    try:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):  # a few texts at a time: results are larger than texts
                 part = batch.slice(at, ROWS_AT_ONCE)
@@ -304,6 +310,11 @@ def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array([m.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
+    finally:
+        m.forget()
 
+
+def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids, decoded of every row. model_path must lead to the model on every machine."""
     schema = StructType([StructField("doc_id", docs.schema[id_col].dataType), StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())])
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(code, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lambda batches: coded(batches, model_path), schema)
