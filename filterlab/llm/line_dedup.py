@@ -191,6 +191,13 @@ def unsettled_pairs(rows: DataFrame) -> DataFrame:
     return pairs.select(F.col("key").alias("a"), "b").distinct()
 
 
+def rooted(texts: DataFrame, roots: DataFrame) -> DataFrame:
+    """node, node_check, root of each line (key, line), which is its own root if roots don't name it. Lines are hashed
+    before the join, so that none is shuffled for its hash."""
+    checks = texts.select("key", F.hash("line").alias("node_check"))
+    return checks.join(roots, F.col("key") == F.col("node"), "left").select(F.col("key").alias("node"), "node_check", F.coalesce("root", "key").alias("root"))
+
+
 def line_components(lines: DataFrame) -> DataFrame:
     """node, node_check, root: key, check and component of the lines (key, line) that share a band with others."""
     members = stored(band_members(lines), "line-bands")
@@ -229,7 +236,7 @@ def line_components(lines: DataFrame) -> DataFrame:
     links = stored(verified(rest, texts), "line-links")
     if links.count():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(links))
-    nodes = stored(texts.join(roots, F.col("key") == F.col("node"), "left").select(F.col("key").alias("node"), F.hash("line").alias("node_check"), F.coalesce("root", "key").alias("root")), "line-nodes")
+    nodes = stored(rooted(texts, roots), "line-nodes")
     forget(rows, sketched, texts, rest, links)
     return nodes
 

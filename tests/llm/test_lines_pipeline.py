@@ -54,6 +54,15 @@ def test_hot_bands_give_the_same_members(spark, monkeypatch):
     assert want and sorted(map(tuple, line_dedup.band_members(lines).collect())) == want
 
 
+def test_nodes_are_joined_without_their_lines(spark):
+    texts = spark.createDataFrame([(1, "a line"), (2, "another"), (3, "more")], "key long, line string")
+    found = line_dedup.rooted(texts, spark.createDataFrame([(2, 1)], "node long, root long"))
+    assert sorted((r.node, r.root) for r in found.collect()) == [(1, 1), (2, 1), (3, 3)]
+    assert {(r.key, r.c) for r in texts.selectExpr("key", "hash(line) c").collect()} == {(r.node, r.node_check) for r in found.collect()}
+    join = found._jdf.queryExecution().optimizedPlan().children().head()
+    assert join.nodeName() == "Join" and "line#" not in join.output().mkString(" ")
+
+
 def odd_rows():
     rng = random.Random(12)
     words = ["river", "stone", "Straße", "漢字", "walks", "under", "bridge", "slowly", "1984", "evening"]
