@@ -18,7 +18,8 @@ component, of which one line stays, the one with the least (doc_id, hash of the
    much, the pairs still open (lines of one band in different components) are compared all at once.
 4. From the second round on a pair is read in full only if sketches don't prove it too different:
    shingle sets are XORed into 2,048 bits, common shingles cancel, so the bits that two sketches
-   differ in are a lower bound of their sets' symmetric difference.
+   differ in are a lower bound of their sets' symmetric difference. Lines of a band meet with sketches folded into
+   1,024 bits, which bound it too; the pairs left are looked at with whole ones.
 
 Null texts and rows with a null doc_id are left as they are. A row is known by its id and a hash of its text, so each
 text of an id that several rows share keeps its own lines; rows alike in both are one document, and lose the same
@@ -28,6 +29,8 @@ are told apart by 96 bits of two hashes, shingles by 64.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
@@ -44,6 +47,8 @@ PER_ROW = 4
 HOT_SHARE, HOT_SAMPLES, SAMPLED = 1_000, 20, 256
 #: Words of 64 bits in a sketch.
 SKETCH_WORDS = 32
+#: Words that a sketch is folded into for a first look: few enough that the code of a comparison is compiled.
+FOLDED_WORDS = 16
 #: A round of leaders is followed by another while it connects at least this share of the open rows.
 WORTH_A_ROUND = 0.01
 #: Leaders of a band in each round but the first.
@@ -85,24 +90,23 @@ def _wide(line: Column) -> Column:
     return F.encode(line, "UTF-32")  # four bytes for each code point: shingles are cut in no time
 
 
-def _shingle(wide: Column, at: Column) -> Column:
-    return F.substring(wide, 4 * at + 1, F.lit(4 * SHINGLE))
-
-
 def shingles(line: Column) -> Column:
     """The set of a line's shingles, each by its 64-bit hash."""
-    places = F.sequence(F.lit(0), F.greatest(F.length(line) - SHINGLE, F.lit(0)))
-    # the wide form is bound as a lambda's variable: written into the inner lambda, it would be made for each shingle
-    sets = F.transform(F.array(_wide(line)), lambda wide: F.array_distinct(F.transform(places, lambda at: F.xxhash64(_shingle(wide, at)))))
-    return F.element_at(sets, 1)
+    places = F.sequence(F.lit(1), 4 * F.greatest(F.length(line) - SHINGLE, F.lit(0)) + 1, F.lit(4))  # bytes of the wide form
+    # the wide form is bound as a lambda's variable: written into the inner lambda, it would be made for each shingle.
+    # Lambdas are interpreted, so they hold no more than they must
+    hashes = F.transform(F.array(_wide(line)), lambda wide: F.transform(places, lambda at: F.xxhash64(F.substring(wide, at, F.lit(4 * SHINGLE)))))
+    return F.array_distinct(F.element_at(hashes, 1))
 
 
 def signatures(lines: DataFrame) -> DataFrame:
     """key, m0 .. m15: the minima of every distinct line that has a whole shingle."""
-    wide = lines.where(F.length("line") >= SHINGLE).select("key", _wide(F.col("line")).alias("wide"), (F.length("line") - SHINGLE).alias("last"))
-    cut = wide.select("key", "wide", "last", F.explode(F.sequence(F.lit(0), "last", F.lit(PER_ROW))).alias("at"))
+    wide = lines.select("key", _wide(F.col("line")).alias("wide"))
+    wide = wide.select("key", "wide", (F.octet_length("wide") - (4 * SHINGLE - 1)).alias("last"))  # places count bytes, from 1
+    places = F.when(F.col("last") > 0, F.sequence(F.lit(1), "last", F.lit(4 * PER_ROW)))
+    cut = wide.select("key", "wide", "last", F.explode(places).alias("at"))
     # the last row of a line names its last shingle repeatedly, which no minimum minds
-    hashes = [F.xxhash64(_shingle(F.col("wide"), F.least(F.col("at") + j, "last"))).alias(f"h{j}") for j in range(PER_ROW)]
+    hashes = [F.xxhash64(F.substring("wide", F.least(F.col("at") + 4 * j, "last"), F.lit(4 * SHINGLE))).alias(f"h{j}") for j in range(PER_ROW)]
     least = [F.min(F.least(*(F.col(f"h{j}").bitwiseXOR(F.lit(m)) for j in range(PER_ROW)))) for m in _masks()]
     return cut.select("key", *hashes).groupBy("key").agg(*(m.alias(f"m{k}") for k, m in enumerate(least)))
 
@@ -143,14 +147,26 @@ def sketches(texts: DataFrame) -> DataFrame:
     return words.groupBy("key").agg(F.sum("n").alias("n"), *(F.max(F.when(F.col("word") == k, F.col("x"))).alias(f"x{k}") for k in range(SKETCH_WORDS))).select("key", "n", *(F.coalesce(f"x{k}", zero).alias(f"x{k}") for k in range(SKETCH_WORDS)))
 
 
-def may_match(one: str, other: str) -> Column:
+def folded(sketched: DataFrame) -> DataFrame:
+    """key, n, x0, x1 ..: sketches XORed into FOLDED_WORDS words, which bound the symmetric difference too, if less closely."""
+    words = [reduce(Column.bitwiseXOR, (F.col(f"x{j}") for j in range(k, SKETCH_WORDS, FOLDED_WORDS))) for k in range(FOLDED_WORDS)]
+    return sketched.select("key", "n", *(w.alias(f"x{k}") for k, w in enumerate(words)))
+
+
+def may_match(one: str, other: str, words: int = SKETCH_WORDS) -> Column:
     """Whether two sketched sets can be similar enough; their columns end in one and other.
     J >= s just if the symmetric difference is at most (1 - s) / (1 + s) of the sizes' sum."""
-    differing = sum((F.bit_count(F.col(f"x{k}{one}").bitwiseXOR(F.col(f"x{k}{other}"))) for k in range(SKETCH_WORDS)), F.lit(0))
+    differing = sum((F.bit_count(F.col(f"x{k}{one}").bitwiseXOR(F.col(f"x{k}{other}"))) for k in range(words)), F.lit(0))
     gap = F.abs(F.col(f"n{one}") - F.col(f"n{other}"))
     return F.greatest(differing, gap) * F.lit(1 + SIMILARITY) <= F.lit(1 - SIMILARITY) * (F.col(f"n{one}") + F.col(f"n{other}")) + F.lit(1e-6)
 
 
+def closer(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) those whose whole sketches may match."""
+    both = pairs.join(suffixed(sketched, "_a", key="a"), "a").join(suffixed(sketched, "_b", key="b"), "b")
+    return both.where(may_match("_a", "_b")).select("a", "b")
+
+
 def suffixed(sketched: DataFrame, end: str, **names: str) -> DataFrame:
     """The columns of sketches renamed with an end, and others as names say."""
     return sketched.select(*(F.col(c).alias(names.get(c, c + end)) for c in sketched.columns))
@@ -161,9 +177,14 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     than pairs, are made before they meet their pairs."""
     left = texts.select(F.col("key").alias("a"), F.col("line").alias("line_a"))
     right = texts.join(pairs.select(F.col("b").alias("key")).distinct(), "key", "left_semi").select(F.col("key").alias("b"), shingles(F.col("line")).alias("y"))
-    sets = pairs.join(left, "a").join(right, "b").select("a", "b", shingles(F.col("line_a")).alias("x"), "y")
-    counted = sets.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("both"))
-    return counted.where(F.col("both") >= SIMILARITY * (F.col("nx") + F.col("ny") - F.col("both"))).select("a", "b")
+    # a set is no larger than its line has places for shingles, and similar sets are nearly of a size
+    near = pairs.join(left, "a").join(right, "b").where(F.greatest(F.length("line_a") - (SHINGLE - 1), F.lit(1)) >= SIMILARITY * F.size("y"))
+    # exploded from an array of one, the set is made once: a filter below a projection has its columns written out in it
+    sets = near.select("a", "b", F.explode(F.array(shingles(F.col("line_a")))).alias("x"), "y")
+    nx, ny, both = F.size("x"), F.size("y"), F.size(F.array_intersect("x", "y"))
+    sets = sets.where(F.least(nx, ny) >= SIMILARITY * F.greatest(nx, ny))
+    # both >= SIMILARITY * (nx + ny - both), with both, which is costly, once
+    return sets.where(both * (1 + SIMILARITY) + 1e-6 >= SIMILARITY * (nx + ny)).select("a", "b")
 
 
 def still_open(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -176,8 +197,8 @@ def still_open(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def unsettled_pairs(rows: DataFrame) -> DataFrame:
-    """a, b: the pairs of one band, but different roots, of the sketched rows (band, key, root, n, x0 ..) that may
-    match. A band of m lines takes m * m comparisons, so it is cut into parts of some PART lines: each part, a row
+    """a, b: the pairs of one band, but different roots, of the rows with folded sketches (band, key, root, n, x0 ..) that
+    may match. A band of m lines takes m * m comparisons, so it is cut into parts of some PART lines: each part, a row
     of tasks' own, meets the whole band. Tasks are counted by comparisons, not by bytes: rows are few and pairs many."""
     sizes = stored(rows.groupBy("band").agg(F.count("*").alias("m")).select(F.col("band").alias("at"), "m", F.ceil(F.col("m") / PART).cast("int").alias("parts")), "line-sizes")
     work = sizes.agg(F.sum(F.col("m").cast("double") * F.col("m"))).first()[0] or 0
@@ -186,7 +207,7 @@ def unsettled_pairs(rows: DataFrame) -> DataFrame:
     one = cut.withColumn("part", F.pmod(F.xxhash64("key", F.lit(0)), F.col("parts"))).drop("parts").withColumnRenamed("band", "band_a").withColumnRenamed("part", "part_a")
     every = cut.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts").cast("bigint") - 1))).drop("parts")
     other = suffixed(every, "_b", band="band", part="part", key="b").repartition(tasks, "band", "part")
-    met = (F.col("band_a") == F.col("band")) & (F.col("part_a") == F.col("part")) & (F.col("root") < F.col("root_b")) & may_match("", "_b")
+    met = (F.col("band_a") == F.col("band")) & (F.col("part_a") == F.col("part")) & (F.col("root") < F.col("root_b")) & may_match("", "_b", FOLDED_WORDS)
     pairs = one.repartition(tasks, "band_a", "part_a").join(other.hint("merge"), met)
     return pairs.select(F.col("key").alias("a"), "b").distinct()
 
@@ -210,6 +231,7 @@ def line_components(lines: DataFrame) -> DataFrame:
     rows = still_open(members.where("key <> least").select("band", "key"), roots)
     forget(members, wanted, pairs)
     sketched = stored(sketches(texts.join(rows.select("key").distinct(), "key", "left_semi")), "line-sketches")
+    short = stored(folded(sketched), "line-folded")
     turn, n_open = 0, rows.count()
     while n_open:
         turn += 1
@@ -217,11 +239,11 @@ def line_components(lines: DataFrame) -> DataFrame:
         salts = [F.xxhash64("band", F.lit(turn), F.lit(k)) for k in range(LEADERS)]
         first = rows.groupBy("band").agg(*(F.min(F.col("key").bitwiseXOR(salt)).alias(f"l{k}") for k, salt in enumerate(salts)))
         first = first.select(F.col("band").alias("at"), F.array_distinct(F.array(*(F.col(f"l{k}").bitwiseXOR(salt) for k, salt in enumerate(salts)))).alias("leaders"))
-        led = stored(rows.join(first, F.col("band") == F.col("at")).drop("at"), "line-led")
-        heads = led.where(F.array_contains("leaders", F.col("key"))).select(F.col("band").alias("at"), F.col("key").alias("b"), F.col("root").alias("head"))
-        pairs = led.join(heads, (F.col("band") == F.col("at")) & (F.col("root") != F.col("head"))).select(F.col("key").alias("a"), "b").distinct()
-        pairs = pairs.join(suffixed(sketched, "_a", key="a"), "a").join(suffixed(sketched, "_b", key="b"), "b").where(may_match("_a", "_b")).select("a", "b")
-        pairs = stored(pairs, "line-pairs")
+        led = stored(rows.join(short, "key").join(first, F.col("band") == F.col("at")).drop("at"), "line-led")
+        heads = suffixed(led.where(F.array_contains("leaders", F.col("key"))).drop("leaders"), "_b", band="at", key="b", root="head")
+        once = ~F.array_contains("leaders", F.col("key")) | (F.col("key") < F.col("b"))  # of two leaders, one meets the other
+        met = led.join(heads, (F.col("band") == F.col("at")) & (F.col("root") != F.col("head")) & once & may_match("", "_b", FOLDED_WORDS))
+        pairs = stored(closer(met.select(F.col("key").alias("a"), "b").distinct(), sketched), "line-pairs")
         links = stored(verified(pairs, texts), "line-links")
         found, before = links.count(), rows
         if found:
@@ -231,13 +253,13 @@ def line_components(lines: DataFrame) -> DataFrame:
         if found < WORTH_A_ROUND * n_open:
             break
         n_open = rows.count()
-    rows = stored(rows.join(sketched, "key"), "line-unsettled")
-    rest = stored(unsettled_pairs(rows), "line-pairs")
+    rows = stored(rows.join(short, "key"), "line-unsettled")
+    rest = stored(closer(unsettled_pairs(rows), sketched), "line-pairs")
     links = stored(verified(rest, texts), "line-links")
     if links.count():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(links))
     nodes = stored(rooted(texts, roots), "line-nodes")
-    forget(rows, sketched, texts, rest, links)
+    forget(rows, sketched, short, texts, rest, links)
     return nodes
 
 
@@ -264,8 +286,8 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_kept, dropped of every row of docs (no lines in a null text)."""
     gone = dropped_lines(docs, id_col, text_col).select(F.col("doc_id").alias("d"), F.col("row").alias("r"), "dropped")
-    n = F.coalesce(F.size(F.split(text_col, "\n")), F.lit(0))
-    counts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row"), F.when(F.col(text_col).isNull(), 0).otherwise(n).cast("long").alias("n_lines"))
+    n = F.octet_length(text_col) - F.octet_length(F.replace(text_col, F.lit("\n"), F.lit(""))) + 1
+    counts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row"), F.coalesce(n, F.lit(0)).cast("long").alias("n_lines"))
     none = F.array().cast("array<int>")
     joined = counts.join(gone, (F.col("doc_id") == F.col("d")) & (F.col("row") == F.col("r")), "left").withColumn("dropped", F.coalesce("dropped", none))
     return joined.select("doc_id", "n_lines", (F.col("n_lines") - F.size("dropped")).alias("n_kept"), "dropped")

@@ -63,6 +63,35 @@ def test_nodes_are_joined_without_their_lines(spark):
     assert join.nodeName() == "Join" and "line#" not in join.output().mkString(" ")
 
 
+def test_a_pair_makes_its_set_once(spark):
+    texts = spark.createDataFrame([(1, "a line"), (2, "another")], "key long, line string")
+    plan = line_dedup.verified(spark.createDataFrame([(1, 2)], "a long, b long"), texts)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sequence(") == 2 and plan.count("array_intersect(") == 1  # one for each side, written out in no filter
+
+
+def test_similar_lines_pass_every_sketch(spark):
+    rng = random.Random(5)
+    rows, pairs = [], []
+    for k in range(60):  # lines with repeats, and copies of them with a few characters changed
+        x = [rng.choice("abcdé漢 ") for _ in range(rng.randrange(8, 400))] * rng.randrange(1, 4)
+        y = list(x)
+        for _ in range(rng.randrange(1, 9)):
+            y[rng.randrange(len(y))] = "#"
+        rows += [(2 * k, "".join(x)), (2 * k + 1, "".join(y))]
+    sets = {k: {x[j : j + line_dedup.SHINGLE] for j in range(max(1, len(x) - line_dedup.SHINGLE + 1))} for k, x in rows}
+    alike = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= line_dedup.SIMILARITY * len(sets[a] | sets[b])}
+    texts = spark.createDataFrame(rows, "key long, line string")
+    every = spark.createDataFrame([(a, b) for a in sets for b in sets if a < b], "a long, b long")
+    sketched = line_dedup.sketches(texts).cache()
+    short = line_dedup.folded(sketched)
+    assert {r.key: r.n for r in short.collect()} == {k: len(s) for k, s in sets.items()}
+    both = every.join(line_dedup.suffixed(short, "_a", key="a"), "a").join(line_dedup.suffixed(short, "_b", key="b"), "b")
+    first = {(r.a, r.b) for r in both.where(line_dedup.may_match("_a", "_b", line_dedup.FOLDED_WORDS)).select("a", "b").collect()}
+    second = {(r.a, r.b) for r in line_dedup.closer(every, sketched).collect()}
+    assert alike and alike <= second <= first and len(first) < every.count() / 2
+    assert {(r.a, r.b) for r in line_dedup.verified(every, texts).collect()} == alike
+
+
 def odd_rows():
     rng = random.Random(12)
     words = ["river", "stone", "Straße", "漢字", "walks", "under", "bridge", "slowly", "1984", "evening"]
