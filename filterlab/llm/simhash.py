@@ -94,16 +94,28 @@ def linked(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b)) <= THRESHOLD
 
 
+def first_links(prints: DataFrame) -> DataFrame:
+    """a, b: fingerprints and the least one that lives at one of their anchors, if they are linked.
+
+    Replicas are some 34 rows a fingerprint, which Spark sizes like one, so both joins with them are by merge, lest they be broadcast."""
+    first = homes(prints.select("fp")).groupBy("anchor").agg(F.min("fp").alias("least"))
+    stars = replicas(prints.select("fp")).hint("merge").join(first, "anchor").where((F.col("least") != F.col("fp")) & linked(F.col("least"), F.col("fp")))
+    return stars.select(F.col("fp").alias("a"), F.col("least").alias("b"))
+
+
+def open_links(named: DataFrame) -> DataFrame:
+    """a, b: the roots of linked fingerprints (fp, root) of different roots, the lesser one first."""
+    here, there = homes(named), replicas(named).select("anchor", F.col("fp").alias("fp2"), F.col("root").alias("root2"))
+    met = here.join(there.hint("merge"), (here.anchor == there.anchor) & (F.col("root") < F.col("root2")) & linked(F.col("fp"), F.col("fp2")))
+    return met.select(F.col("root").alias("a"), F.col("root2").alias("b"))
+
+
 def fingerprint_components(prints: DataFrame) -> DataFrame:
     """(node, root) over the distinct fingerprints in column fp; those without links are left out."""
-    first = homes(prints.select("fp")).groupBy("anchor").agg(F.min("fp").alias("least"))
-    stars = replicas(prints.select("fp")).join(first, "anchor").where((F.col("least") != F.col("fp")) & linked(F.col("least"), F.col("fp")))
-    stars = stored(stars.select(F.col("fp").alias("a"), F.col("least").alias("b")), "simhash-stars")
+    stars = stored(first_links(prints), "simhash-stars")
     roots = components(stars)
     named = stored(prints.select("fp").join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root")), "simhash-roots")
-    here, there = homes(named), replicas(named).select("anchor", F.col("fp").alias("fp2"), F.col("root").alias("root2"))
-    rest = here.join(there, (here.anchor == there.anchor) & (F.col("root") < F.col("root2")) & linked(F.col("fp"), F.col("fp2"))).select(F.col("root").alias("a"), F.col("root2").alias("b"))
-    joined = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(rest.distinct()))
+    joined = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(open_links(named).distinct()))
     forget(stars, named, roots)
     return joined
 
