@@ -342,7 +342,7 @@ def build_over_ranges(keys: DataFrame, spec: Spec = Spec(), column: str = "key",
         rest = bands.join(touched, "range", "left_anti").withColumns(none)
         bands = stored(rest.select(*again.columns).unionByName(again), "ribbon-bands")
     # a range without any equation solves to its free slots
-    whole = bands.sparkSession.range(ranges).withColumnRenamed("id", "range").join(bands.drop(*none), "range", "left")
+    whole = bands.sparkSession.range(ranges).withColumnRenamed("id", "range").join(bands.drop(*none).hint("merge"), "range", "left")
     whole = stored(whole.fillna(0, ["n", "redundant", "contradictions"]), "ribbon-banded")
 
     def rows_of(p) -> dict[int, tuple[int, int]]:
@@ -363,8 +363,8 @@ def build_over_ranges(keys: DataFrame, spec: Spec = Spec(), column: str = "key",
                 out.append(packed_map(p.range, kernel.composed(left, right)))
             yield pd.DataFrame(out, columns=["range", "masks", "consts"])
 
-    one_at_a_time = F.col("range")  # a range's table is large: a task takes few
-    maps = stored(whole.repartition(ranges, one_at_a_time).mapInPandas(mapped, _MAP), "ribbon-maps")
+    tasks = max(1, -(-slots // max(width, SHARD_KEYS)))  # a task takes some SHARD_KEYS slots, or a range that has more
+    maps = stored(whole.repartition(tasks, "range").mapInPandas(mapped, _MAP), "ribbon-maps")
     reach = 1
     while reach < ranges:  # each map covers reach ranges from its own on, or all to the end
         right = maps.select((F.col("range") - reach).alias("range"), F.col("masks").alias("masks2"), F.col("consts").alias("consts2"))
@@ -381,7 +381,7 @@ def build_over_ranges(keys: DataFrame, spec: Spec = Spec(), column: str = "key",
                 out.append((p.range, first, p.n, len(rows), p.redundant, p.contradictions, z.astype("<u2").tobytes()))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in RANGED.split(", ")])
 
-    return stored(whole.join(states, "range", "left").repartition(ranges, one_at_a_time).mapInPandas(solved, RANGED), "ribbon-ranged"), slots
+    return stored(whole.join(states, "range", "left").repartition(tasks, "range").mapInPandas(solved, RANGED), "ribbon-ranged"), slots
 
 
 def build_standard_over_ranges(keys: DataFrame, spec: Spec, column: str = "key", range_slots: int = SHARD_KEYS) -> tuple[DataFrame, int, Spec]:
@@ -404,19 +404,36 @@ def slot_values(filter_: DataFrame) -> DataFrame:
     return at.select((F.col("first") + F.col("k")).alias("slot"), (byte(0) + 256 * byte(1)).alias("value"))
 
 
+def slot_planes(filter_: DataFrame, r: int) -> DataFrame:
+    """block, b0, b1 ..: 64 neighbouring slots of a ranged filter a row; bit j of word k is bit k of the value of the block's slot j."""
+    each = slot_values(filter_).withColumns({"block": F.shiftright("slot", 6), "at": F.col("slot").bitwiseAND(F.lit(63))})
+
+    def plane(k: int) -> Column:
+        return F.bit_or(bits.shift_left(F.shiftright("value", k).bitwiseAND(F.lit(1)).cast("bigint"), F.col("at")))
+
+    return each.groupBy("block").agg(*(plane(k).alias(f"b{k}") for k in range(r)))
+
+
 def looked_up_by_join(probes: DataFrame, filter_: DataFrame, slots: int, spec: Spec = Spec(), column: str = "key", out: str = "value") -> DataFrame:
     """The distinct keys of probes that aren't null, with the value that a ranged filter gives them, as a relation:
-    each key's equation is exploded into its slots, these meet the slots' values, which are XORed by key.
-    Only generated code: no task needs more of the filter than its part of the join. Slots are hashes, and a key is one
+    each key's equation is cut at the two blocks of 64 slots that it lies in, its parts meet the blocks' values, bit by bit,
+    and are XORed by key. Only generated code: no task needs more of the filter than its part of the join, which goes by merge, since
+    Spark sizes exploded slots like their packed row and would broadcast them. Slots are hashes, and a key is one
     row however often it is asked for, so neither side has a hot key. For equations of 64 slots."""
     if spec.w != 64:
         raise ValueError("an equation's slots are the bits of one word here")
     keys = probes.select(F.col(column).alias("key")).where("key IS NOT NULL").distinct()
     placed = bits.with_hash(keys, "key", "h", spec.seed, filled=True).withColumn("start", bits.scaled(F.col("h"), slots - spec.w + 1))
     placed = bits.with_mix64(placed, "h", "coeff", filled=True).select("key", "start", F.col("coeff").bitwiseOR(F.lit(1)).alias("coeff"))
-    each = placed.select("key", "start", "coeff", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("j"))
-    each = each.where(bits.shift_right(F.col("coeff"), F.col("j")).bitwiseAND(F.lit(1)) == 1).select("key", (F.col("start") + F.col("j")).alias("slot"))
-    return each.join(slot_values(filter_), "slot").groupBy("key").agg(F.bit_xor("value").alias(out))
+    each = placed.select("key", "start", "coeff", F.explode(F.array(F.lit(0), F.lit(1))).alias("next"))
+    off = F.col("start").bitwiseAND(F.lit(63))
+    # a shift by 64 is one by 0: what starts with a block has no part in the next
+    rest = F.when(off > 0, F.call_function("shiftrightunsigned", F.col("coeff"), (64 - off).cast("int"))).otherwise(0)
+    part = F.when(F.col("next") == 0, bits.shift_left(F.col("coeff"), off)).otherwise(rest)
+    each = each.select("key", (F.shiftright("start", 6) + F.col("next")).alias("block"), part.alias("part"))
+    value = sum((F.shiftleft(F.bit_count(F.col("part").bitwiseAND(F.col(f"b{k}"))).bitwiseAND(F.lit(1)), k) for k in range(spec.r)), F.lit(0))
+    met = each.join(slot_planes(filter_, spec.r).hint("merge"), "block").select("key", value.alias("value"))
+    return met.groupBy("key").agg(F.bit_xor("value").alias(out))
 
 
 def digest(filter_: DataFrame) -> DataFrame:
