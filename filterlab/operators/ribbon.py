@@ -436,6 +436,16 @@ def looked_up_by_join(probes: DataFrame, filter_: DataFrame, slots: int, spec: S
     return met.groupBy("key").agg(F.bit_xor("value").alias(out))
 
 
+def broken_ranges(keys: DataFrame, filter_: DataFrame, slots: int, range_slots: int, spec: Spec = Spec(), column: str = "key") -> DataFrame:
+    """range: the ranges of slots that the equation of a key lies in, for each key whose equation the filter's values break."""
+    found = looked_up_by_join(keys, filter_, slots, spec, column, "value")
+    want = fingerprint(F.col("key"), spec.r) if spec.standard else F.lit(0)
+    at = starts(found.where(F.col("value") != want).select("key"), slots, spec)
+    width = max(range_slots, spec.w)
+    last = F.floor((F.col("start") + spec.w - 1) / width)
+    return at.select(F.explode(F.sequence(F.floor(F.col("start") / width), last)).alias("range")).distinct()
+
+
 def digest(filter_: DataFrame) -> DataFrame:
     """One row: sha256 over the shards' solutions in order, slots, occupied slots, redundant keys.
     A shard is reduced to its own digest first."""
