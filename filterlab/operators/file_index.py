@@ -11,6 +11,7 @@ Files that came to the table after the index are always read. Null keys are in n
 
 from __future__ import annotations
 
+import math
 import re
 from urllib.parse import unquote
 
@@ -22,11 +23,19 @@ from filterlab.operators import bloom
 from filterlab.sources.shared import stored
 
 
+#: Bits that each doubling of the files adds to those of a key: some 2 make half as many keys stray.
+FILE_BITS = 5.0
+
+
 def write_index(spark: SparkSession, table: str, column: str, out: str, bits_per_key: float = 10.0) -> None:
-    """Writes the index of a Parquet table's column to out: files (file, n, least, most, blocks) and words (file, block, w0 .. w7)."""
+    """Writes the index of a Parquet table's column to out: files (file, n, least, most, blocks) and words (file, block, w0 .. w7).
+
+    bits_per_key is what the filter of an only file has. Of n files each is asked for every key, and some n keys are asked for
+    before they need most files, so files that open for nothing grow with n * n: FILE_BITS for each doubling make up for it."""
     keys = stored(spark.read.parquet(table).select(F.col("_metadata.file_path").alias("file"), F.col(column).alias("key")).distinct(), "index-keys")
     sizes = stored(keys.groupBy("file").agg(F.count("key").alias("n"), F.min("key").alias("least"), F.max("key").alias("most")), "index-sizes")
-    blocks = bloom.n_blocks(sizes.agg(F.max("n")).first()[0] or 0, bits_per_key)
+    most, files = sizes.agg(F.max("n"), F.count("*")).first()
+    blocks = bloom.n_blocks(most or 0, bits_per_key + FILE_BITS * math.log2(max(files, 1)))
     sizes.withColumn("blocks", F.lit(blocks).cast("bigint")).write.parquet(f"{out}/files")
     words = bloom.placed(keys, blocks).groupBy("file", "block").agg(*bloom.ored_places())
     words.join(sizes.select("file", "least", "most"), "file").repartitionByRange("block").write.parquet(f"{out}/words")
