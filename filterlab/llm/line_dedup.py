@@ -178,7 +178,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left = texts.select(F.col("key").alias("a"), F.col("line").alias("line_a"))
     right = texts.join(pairs.select(F.col("b").alias("key")).distinct(), "key", "left_semi").select(F.col("key").alias("b"), shingles(F.col("line")).alias("y"))
     # a set is no larger than its line has places for shingles, and similar sets are nearly of a size
-    near = pairs.join(left, "a").join(right, "b").where(F.greatest(F.length("line_a") - (SHINGLE - 1), F.lit(1)) >= SIMILARITY * F.size("y"))
+    # by merge: Spark sizes a set like one shingle, and would broadcast sets
+    near = pairs.join(left, "a").join(right.hint("merge"), "b").where(F.greatest(F.length("line_a") - (SHINGLE - 1), F.lit(1)) >= SIMILARITY * F.size("y"))
     # exploded from an array of one, the set is made once: a filter below a projection has its columns written out in it
     sets = near.select("a", "b", F.explode(F.array(shingles(F.col("line_a")))).alias("x"), "y")
     nx, ny, both = F.size("x"), F.size("y"), F.size(F.array_intersect("x", "y"))
@@ -278,7 +279,8 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     by_line = stored(by_line.select("key", "check", "place", "last", F.coalesce("root", "key").alias("root"), F.when(F.col("root").isNull(), F.col("check")).alias("alone")), "line-roots")
     kept = by_line.groupBy("root", "alone").agg(F.min("place").alias("kept"), F.max("last").alias("last")).where("kept < last")
     kept = kept.select(F.col("root").alias("r"), F.col("alone").alias("l"), "kept")
-    by_line = by_line.join(kept, (F.col("root") == F.col("r")) & F.col("alone").eqNullSafe(F.col("l"))).select("key", "check", "kept")
+    # by merge: in memory its rows are several times what their files are, by which Spark would broadcast them
+    by_line = by_line.hint("merge").join(kept, (F.col("root") == F.col("r")) & F.col("alone").eqNullSafe(F.col("l"))).select("key", "check", "kept")
     gone = at.join(by_line, ["key", "check"]).where("place <> kept")
     return gone.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
 

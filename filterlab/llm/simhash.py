@@ -128,4 +128,5 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = prints.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     by_print = named.join(ids, "root").select(F.col("fp").alias("p"), "component_id")
-    return rows.join(by_print, F.col("fp") == F.col("p")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    # by merge: in memory rows are several times what their files are, by which Spark would broadcast them
+    return rows.hint("merge").join(by_print, F.col("fp") == F.col("p")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
